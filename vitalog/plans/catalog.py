@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
-from . import document_queries, record_queries, workout_queries
+from . import document_queries, export_queries, record_queries, workout_queries
 from .views import without_zone
 
-_MODULES = (record_queries, workout_queries, document_queries)
+_MODULES = (record_queries, workout_queries, document_queries, export_queries)
 
 
 def _runner(build: Callable) -> Callable[[SparkSession, str], DataFrame]:
