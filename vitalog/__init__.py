@@ -2,9 +2,9 @@
 
 from .params import INTERVALS, RECORD_TYPES, WORKOUT_TYPES, SearchParams
 from .session import configure, local_session
-from .store import HealthStore
+from .store import DocumentStore, ExportFiles, HealthStore, to_rows
 
 __all__ = [
-    "HealthStore", "INTERVALS", "RECORD_TYPES", "SearchParams", "WORKOUT_TYPES",
-    "configure", "local_session",
+    "DocumentStore", "ExportFiles", "HealthStore", "INTERVALS", "RECORD_TYPES", "SearchParams", "WORKOUT_TYPES",
+    "configure", "local_session", "to_rows",
 ]

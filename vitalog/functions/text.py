@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed value: a token is a run of letters, digits and underscores.
-_BREAK = r"[^\p{L}\p{N}_]"
+_TOKEN_CHAR = r"[\p{L}\p{N}_]"
 
 
 def query_tokens(query: str) -> list[str]:
@@ -17,10 +17,13 @@ def query_tokens(query: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\w+", query.lower())))
 
 
-def _has_token(text: Column, token: str) -> Column:
+def _has_token(lowered: Column, token: str) -> Column:
     # The plain substring test is cheap and decides most rows; the pattern settles word borders.
-    border = rf"(?:^|{_BREAK}){token}(?:$|{_BREAK})"
-    return text.contains(token) & text.rlike(border)
+    return lowered.contains(token) & lowered.rlike(rf"(?<!{_TOKEN_CHAR}){token}(?!{_TOKEN_CHAR})")
+
+
+# A long text is lowered once per row: as the only element of an array it is bound to a variable
+# that all the tests share.
 
 
 def text_matches(text: Column, query: str) -> Column:
@@ -28,18 +31,22 @@ def text_matches(text: Column, query: str) -> Column:
     tokens = query_tokens(query)
     if not tokens:
         return F.lit(False)
-    lowered = F.lower(text)
-    return F.coalesce(reduce(lambda a, b: a | b, (_has_token(lowered, t) for t in tokens)), F.lit(False))
+    found = F.exists(F.array(F.lower(text)),
+                     lambda t: reduce(lambda a, b: a | b, (_has_token(t, k) for k in tokens)))
+    return F.coalesce(found, F.lit(False))
+
+
+def token_scores(text: Column, query: str) -> Column:
+    """One-element array with the number of distinct query tokens in the text."""
+    return F.transform(F.array(F.lower(text)), lambda t: reduce(
+        lambda a, b: a + b,
+        (F.coalesce(_has_token(t, k).cast("int"), F.lit(0)) for k in query_tokens(query)),
+        F.lit(0)))
 
 
 def matched_tokens(text: Column, query: str) -> Column:
     """How many distinct query tokens the text holds (0 for a missing text)."""
-    lowered = F.lower(text)
-    return reduce(
-        lambda a, b: a + b,
-        (F.coalesce(_has_token(lowered, t).cast("int"), F.lit(0)) for t in query_tokens(query)),
-        F.lit(0),
-    )
+    return F.element_at(token_scores(text, query), 1)
 
 
 def attribute_contains(attrs: Column, query: str) -> Column:

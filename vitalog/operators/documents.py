@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.measures import measure_summary
-from ..functions.text import matched_tokens, text_matches
+from ..functions.text import matched_tokens, text_matches, token_scores
 from ..params import DEFAULT_LIMIT, SearchParams
 from .filters import all_of, in_dates, in_values
 from .ordering import tie_break
@@ -59,8 +59,9 @@ def doc_search_values(documents: DataFrame, value: str, record_type: str | None
 
 def token_match(documents: DataFrame, query: str, column: str = "textvalue") -> DataFrame:
     """All documents that share a token with the query, with the number of tokens shared."""
-    return (documents.filter(text_matches(F.col(column), query))
-            .withColumn("score", matched_tokens(F.col(column), query)))
+    # The score comes out of a generator, so the filter uses it instead of computing it again.
+    return (documents.select("*", F.explode(token_scores(F.col(column), query)).alias("score"))
+            .filter(F.col("score") > 0))
 
 
 def doc_range(documents: DataFrame, date_from=None, date_to=None, value_min=None,

@@ -53,16 +53,24 @@ def _first(found: DataFrame, condition: Column, limit: int) -> DataFrame:
     return found.filter(condition).orderBy(*POSITION).limit(max(1, limit))
 
 
+def _may_hold(text: Column, needle: str) -> Column:
+    """False only where no attribute can hold the needle as it is written; cheap to test."""
+    if not needle or any(c.isspace() for c in needle):
+        return F.lit(True)
+    return text.contains(needle) | text.contains("&")
+
+
 def search_elements(found: DataFrame, query: str = "", max_results: int = 50) -> DataFrame:
     """Records and workouts with the query in any attribute value, whatever the case."""
-    tags = start_tags(found.filter(F.col("tag").isin(*SEARCHED)))
-    return _first(tags, attribute_contains(F.col("attrs"), query), max_results)
+    likely = found.filter(F.col("tag").isin(*SEARCHED)
+                          & _may_hold(F.lower(F.col("inside")), query.lower()))
+    return _first(start_tags(likely), attribute_contains(F.col("attrs"), query), max_results)
 
 
 def elements_by_type(found: DataFrame, record_type: str = "", limit: int = 20) -> DataFrame:
     """Records of exactly one type."""
-    tags = start_tags(found.filter(F.col("tag") == "Record"))
-    return _first(tags, F.col("attrs")["type"] == F.lit(record_type), limit)
+    likely = found.filter((F.col("tag") == "Record") & _may_hold(F.col("inside"), record_type))
+    return _first(start_tags(likely), F.col("attrs")["type"] == F.lit(record_type), limit)
 
 
 def escaped(text: Column) -> Column:
@@ -85,14 +93,20 @@ def tag_text(tag: Column, attrs: Column, kind: Column) -> Column:
 def as_xml(found: DataFrame, hits: DataFrame) -> DataFrame:
     """The hits as complete XML elements with everything inside them, in document order.
 
-    ``hits`` must come from a ``limit``: only tags inside those elements are brought together.
+    ``hits`` must come from a ``limit``. Which tags lie inside them is worked out on positions
+    alone; only the tags that are shown are read with their text.
     """
-    owner = F.col("owner")
-    owned = with_owner(found, SEARCHED).filter(owner["tag"].isNotNull()).select(
-        "file", owner["block"].alias("owner_block"), owner["ordinal"].alias("owner_ordinal"),
-        "block", "ordinal", "kind", "tag", "inside")
+    owner, whole = F.col("owner"), F.col("tag").isin(*SEARCHED) & (F.col("kind") == "empty")
     wanted = hits.select("file", F.col("block").alias("owner_block"), F.col("ordinal").alias("owner_ordinal"))
-    parts = (owned.join(wanted, ["file", "owner_block", "owner_ordinal"])
+    inside = (
+        with_owner(found.filter(~whole).select(*POSITION, "kind", "tag", "depth"), SEARCHED)
+        .filter(owner["tag"].isNotNull())
+        .select(*POSITION, owner["block"].alias("owner_block"), owner["ordinal"].alias("owner_ordinal"))
+        .join(wanted, ["file", "owner_block", "owner_ordinal"])
+    )
+    alone = hits.filter(F.col("kind") == "empty").select(
+        *POSITION, F.col("block").alias("owner_block"), F.col("ordinal").alias("owner_ordinal"))
+    parts = (found.join(inside.unionByName(alone), POSITION)
              .withColumn("xml", tag_text(F.col("tag"), attributes(F.col("inside")), F.col("kind"))))
     pieces = F.sort_array(F.collect_list(F.struct("block", "ordinal", "xml")))
     return (

@@ -44,11 +44,16 @@ def summary_workouts_keyed(workouts: DataFrame, stats: DataFrame) -> DataFrame:
     )
 
 
+def united(of_records: DataFrame, of_workouts: DataFrame) -> DataFrame:
+    """Both summaries in one result, told apart by ``source_table``."""
+    return (of_records.withColumn("source_table", F.lit("records"))
+            .unionByName(of_workouts.withColumn("source_table", F.lit("workouts")),
+                         allowMissingColumns=True))
+
+
 def summary(records: DataFrame, workouts: DataFrame, stats: DataFrame) -> DataFrame:
     """Record types and workout types in one result."""
-    of_records = summary_records(records).withColumn("source_table", F.lit("records"))
-    of_workouts = summary_workouts(workouts, stats).withColumn("source_table", F.lit("workouts"))
-    return of_records.unionByName(of_workouts, allowMissingColumns=True)
+    return united(summary_records(records), summary_workouts(workouts, stats))
 
 
 def summary_total(records: DataFrame) -> DataFrame:

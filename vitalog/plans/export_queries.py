@@ -183,8 +183,8 @@ query("xml_search", _as_xml(lambda e: rawxml.search_elements(e, "USER_3", 50)),
 query("xml_by_type", _as_xml(lambda e: rawxml.elements_by_type(e, "error", 20)),
       f"""SELECT {RECORD_XML} AS xml FROM events WHERE event_type = 'error' {IN_FILE} LIMIT 20""")
 query("xml_search_hits",
-      lambda s, d: rawxml.hit_count(rawxml.search_elements(export_elements(s, d), "hkworkout5", 1_000_000)),
-      """SELECT COUNT(*) AS hits FROM (SELECT * FROM orders WHERE o_orderpriority LIKE '5%' LIMIT 1000000)""")
+      lambda s, d: rawxml.hit_count(rawxml.search_elements(export_elements(s, d), "hkworkout5")),
+      """SELECT COUNT(*) AS hits FROM (SELECT * FROM orders WHERE o_orderpriority LIKE '5%' LIMIT 50)""")
 
 
 # --- normalisation rules -------------------------------------------------------------------

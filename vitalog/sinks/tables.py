@@ -35,13 +35,18 @@ def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists",
     df.write.mode(mode).option("compression", COMPRESSION).partitionBy(*partition_by).parquet(path)
 
 
-def append(df: DataFrame, path: str) -> int:
-    """Append rows and return how many were written; appending the same rows again doubles them."""
+def write_counted(df: DataFrame, path: str, mode: str) -> int:
+    """Write and return the number of rows, counted while they pass."""
     seen = Observation()
-    write_parquet(df.observe(seen, F.count(F.lit(1)).alias("rows")), path, "append")
+    write_parquet(df.observe(seen, F.count(F.lit(1)).alias("rows")), path, mode)
     return seen.get["rows"]
 
 
+def append(df: DataFrame, path: str) -> int:
+    """Append rows and return how many; appending the same rows again doubles them."""
+    return write_counted(df, path, "append")
+
+
 def append_to_table(df: DataFrame, name: str) -> int:
     seen = Observation()
     (df.observe(seen, F.count(F.lit(1)).alias("rows"))

@@ -1,16 +1,27 @@
-"""The import job: export files in, the three tables and the documents out."""
+"""The import job: export files in, the three tables out."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import schemas
 from ..session import scratch_dir
 from ..sinks import tables as sinks
 from . import export_xml, markup
 
+STORED = {"records": schemas.RECORDS, "workouts": schemas.KEYED_WORKOUTS, "stats": schemas.KEYED_STATS}
+
+# A file beyond this size would keep one task busy for long; such exports are split.
+LARGE_FILE_BYTES = 1 << 30
+# What one shuffle partition of an import should hold.
+SHUFFLE_BYTES = 128 << 20
+_INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
 
 @dataclass(frozen=True)
 class Tables:
@@ -22,40 +33,78 @@ class Tables:
         return f"{self.root.rstrip('/')}/{name}"
 
     def read(self, spark: SparkSession, name: str) -> DataFrame:
-        schema = {"records": schemas.RECORDS, "workouts": schemas.KEYED_WORKOUTS,
-                  "stats": schemas.KEYED_STATS}[name]
-        return spark.read.schema(schema).parquet(self.path(name))
+        return spark.read.schema(STORED[name]).parquet(self.path(name))
 
 
-def import_export(spark: SparkSession, source: str, target: str, mode: str = "overwrite",
-                  large_files: bool = False) -> dict[str, int]:
-    """Import export files into ``records``, ``workouts`` and ``stats`` under ``target``.
+def file_sizes(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Bytes of all files under ``path``, and of the largest one; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    total, largest = files.agg(F.sum("length"), F.max("length")).first()
+    return total or 0, largest or 0
 
-    Workouts are landed with their statistics first and both tables derived from the landed rows.
-    ``large_files`` uses the splittable scan instead of one task per file. Returns the number of
-    rows written per table. ``overwrite`` makes a repeated import idempotent, ``append`` adds.
-    """
-    out = Tables(target)
-    if mode == "overwrite":
-        for name, schema in (("records", schemas.RECORDS), ("workouts", schemas.KEYED_WORKOUTS),
-                             ("stats", schemas.KEYED_STATS)):
-            sinks.write_parquet(spark.createDataFrame([], schema), out.path(name), "overwrite")
-    if large_files:
-        found = land_elements(spark, source)
-        parts = {"records": markup.records(found), "workouts": markup.workouts(found),
-                 "stats": markup.stats(found)}
-    else:
-        landing = scratch_dir(spark, "workouts-landing")
-        sinks.write_parquet(export_xml.scan_workouts(spark, source), landing)
-        nested = spark.read.parquet(landing)
-        parts = {"records": export_xml.records_of(export_xml.scan_records(spark, source)),
-                 "workouts": export_xml.workouts_of(nested), "stats": export_xml.stats_of(nested)}
-    return {name: sinks.append(df, out.path(name)) for name, df in parts.items()}
+
+@contextmanager
+def shuffles_sized_for(spark: SparkSession, size: int) -> Iterator[None]:
+    """Enough shuffle partitions for ``size`` bytes; small ones are merged again at run time."""
+    before = spark.conf.get(_INITIAL_PARTITIONS, None)
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SHUFFLE_BYTES)
+    spark.conf.set(_INITIAL_PARTITIONS, wanted)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_INITIAL_PARTITIONS)
+        else:
+            spark.conf.set(_INITIAL_PARTITIONS, before)
+
+
+def land(df: DataFrame, path: str) -> DataFrame:
+    """Write once and read back: later steps start from files that survive lost executors."""
+    sinks.write_parquet(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def land_elements(spark: SparkSession, source: str, path: str | None = None) -> DataFrame:
-    """Scan the markup once and keep the elements as Parquet, sorted along the document."""
-    path = path or scratch_dir(spark, "elements")
-    found = markup.elements(spark, source)
-    sinks.write_parquet(found, path)
-    return spark.read.schema(found.schema).parquet(path)
+    """Scan the markup once and keep its elements as Parquet.
+
+    The text is read and taken apart once, into tags; depth is then worked out on those.
+    """
+    size, _ = file_sizes(spark, source)
+    tags = land(markup.scan_tags(spark, source), scratch_dir(spark, "tags"))
+    with shuffles_sized_for(spark, size):
+        return land(markup.elements(tags), path or scratch_dir(spark, "elements"))
+
+
+def import_export(spark: SparkSession, source: str, target: str, mode: str = "overwrite",
+                  large_files: bool | None = None, layout: str = "plain") -> dict[str, int]:
+    """Import export files into ``records``, ``workouts`` and ``stats`` under ``target``.
+
+    Workouts are landed with their statistics first and both tables derived from the landed rows,
+    so that they agree on ``workout_id``. ``large_files`` uses the splittable scan instead of one
+    task per file; by default the size of the largest file decides. ``layout="sorted"`` keeps
+    ``records`` in one folder per type, sorted by time (an empty type reads back as NULL).
+
+    Returns the rows written per table. ``overwrite`` makes a repeated import idempotent,
+    ``append`` adds to what is there.
+    """
+    size, largest = file_sizes(spark, source)
+    if large_files is None:
+        large_files = largest > LARGE_FILE_BYTES
+    with shuffles_sized_for(spark, size):
+        if large_files:
+            found = land_elements(spark, source)
+            parts = {"records": markup.records(found), "workouts": markup.workouts(found),
+                     "stats": markup.stats(found)}
+        else:
+            nested = land(export_xml.scan_workouts(spark, source), scratch_dir(spark, "workouts"))
+            parts = {"records": export_xml.records_of(export_xml.scan_records(spark, source)),
+                     "workouts": export_xml.workouts_of(nested), "stats": export_xml.stats_of(nested)}
+        out = Tables(target)
+        counts = {name: sinks.write_counted(df, out.path(name), mode)
+                  for name, df in parts.items() if not (name == "records" and layout == "sorted")}
+        if layout == "sorted":
+            landing = scratch_dir(spark, "records")
+            counts["records"] = sinks.write_counted(parts["records"], landing, "errorifexists")
+            sinks.write_sorted(spark.read.schema(schemas.RECORDS).parquet(landing),
+                               out.path("records"), mode=mode, by_type=True)
+    return counts

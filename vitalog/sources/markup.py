@@ -63,10 +63,13 @@ def scan_tags(spark: SparkSession, path: str) -> DataFrame:
                          hides.alias("hides"))
 
 
-def elements(spark: SparkSession, path: str) -> DataFrame:
-    """The tags outside comments and character data, with their depth (the root has depth 0)."""
+def elements(tags: DataFrame) -> DataFrame:
+    """The tags outside comments and character data, with their depth (the root has depth 0).
+
+    ``tags`` is read twice, the second time for a few narrow columns; see ``landing``.
+    """
     step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
-    tags = scan_tags(spark, path).withColumn("step", step.cast("bigint"))
+    tags = tags.withColumn("step", step.cast("bigint"))
 
     # Inside a split, "hidden" is known from its first comment border on; before that it is
     # whatever the split began with, so both possible depths are kept.
