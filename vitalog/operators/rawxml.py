@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import attribute_contains
+from ..session import checkpointed
 from ..sources.markup import POSITION, attributes, start_tags, with_owner
 
 SEARCHED = ("Record", "Workout")
@@ -23,7 +24,7 @@ def structure(found: DataFrame) -> DataFrame:
 
     # Attributes are only taken apart where one of them is asked for.
     wanted = found.filter(F.col("kind") != "close").select(
-        "tag", F.when(tag.isin(*SEARCHED), attributes(F.col("inside"))).alias("attrs"))
+        "tag", F.when(tag.isin(*SEARCHED), attributes(F.col("inside"), tag)).alias("attrs"))
     pairs = wanted.select(F.inline(F.array(
         entry("root_elements", tag),
         entry("record_types", F.when(tag == "Record", attrs["type"])),
@@ -93,21 +94,24 @@ def tag_text(tag: Column, attrs: Column, kind: Column) -> Column:
 def as_xml(found: DataFrame, hits: DataFrame) -> DataFrame:
     """The hits as complete XML elements with everything inside them, in document order.
 
-    ``hits`` must come from a ``limit``. Which tags lie inside them is worked out on positions
-    alone; only the tags that are shown are read with their text.
+    ``hits`` must come from a ``limit``; it is computed when this is called, so that only the
+    files with hits are looked at again. Which tags lie inside them is worked out on positions
+    alone, and only the tags that are shown are read with their text.
     """
-    owner, whole = F.col("owner"), F.col("tag").isin(*SEARCHED) & (F.col("kind") == "empty")
-    wanted = hits.select("file", F.col("block").alias("owner_block"), F.col("ordinal").alias("owner_ordinal"))
+    hits = checkpointed(hits.select(*POSITION, "kind"))
+    tag = F.col("tag")
+    whole = tag.isin(*SEARCHED) & (F.col("kind") == "empty")
+    as_owner = [F.col("block").alias("owner_block"), F.col("ordinal").alias("owner_ordinal")]
+    opened, alone = hits.filter(F.col("kind") == "open"), hits.filter(F.col("kind") == "empty")
+    candidates = (found.filter(~whole).select(*POSITION, "file_id", "kind", "tag", "depth")
+                  .join(opened.select("file").distinct(), "file", "left_semi"))
     inside = (
-        with_owner(found.filter(~whole).select(*POSITION, "kind", "tag", "depth"), SEARCHED)
-        .filter(owner["tag"].isNotNull())
-        .select(*POSITION, owner["block"].alias("owner_block"), owner["ordinal"].alias("owner_ordinal"))
-        .join(wanted, ["file", "owner_block", "owner_ordinal"])
+        with_owner(candidates, SEARCHED).select(*POSITION, "owner_block", "owner_ordinal")
+        .join(opened.select("file", *as_owner), ["file", "owner_block", "owner_ordinal"])
     )
-    alone = hits.filter(F.col("kind") == "empty").select(
-        *POSITION, F.col("block").alias("owner_block"), F.col("ordinal").alias("owner_ordinal"))
-    parts = (found.join(inside.unionByName(alone), POSITION)
-             .withColumn("xml", tag_text(F.col("tag"), attributes(F.col("inside")), F.col("kind"))))
+    shown = inside.unionByName(alone.select(*POSITION, *as_owner))
+    parts = (found.join(shown, POSITION)
+             .withColumn("xml", tag_text(tag, attributes(F.col("inside"), tag), F.col("kind"))))
     pieces = F.sort_array(F.collect_list(F.struct("block", "ordinal", "xml")))
     return (
         parts.groupBy("file", F.col("owner_block").alias("block"), F.col("owner_ordinal").alias("ordinal"))

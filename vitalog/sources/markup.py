@@ -17,7 +17,8 @@ from ..functions.dates import lenient_iso_text, parse_date
 from ..functions.numeric import safe_float
 from . import normalize
 
-SPLIT = ["file", "block"]
+# A split is known by a hash of its file and its offset, which sort and compare faster than paths.
+SPLIT = ["file_id", "block"]
 POSITION = ["file", "block", "ordinal"]
 
 # XML syntax.
@@ -35,7 +36,13 @@ def _earlier_in_split():
 
 
 def _earlier_splits():
-    return Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return Window.partitionBy("file_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _same_file(found: Column) -> Column:
+    """The file of a split; fails the job should two files ever share a hash."""
+    return F.when(F.min(found) == F.max(found), F.min(found)).otherwise(
+        F.raise_error(F.lit("two files have the same hash")).cast("string"))
 
 
 def scan_tags(spark: SparkSession, path: str) -> DataFrame:
@@ -59,8 +66,8 @@ def scan_tags(spark: SparkSession, path: str) -> DataFrame:
                     | (text.startswith("![CDATA[") & ~text.contains("]]>")))
     hides = F.when(opens_hidden, F.lit(True)).when(
         text.contains("-->") | text.contains("]]>"), F.lit(False))
-    return pieces.select(*POSITION, kind.alias("kind"), tag.alias("tag"), inside.alias("inside"),
-                         hides.alias("hides"))
+    return pieces.select(F.xxhash64("file").alias("file_id"), *POSITION, kind.alias("kind"),
+                         tag.alias("tag"), inside.alias("inside"), hides.alias("hides"))
 
 
 def elements(tags: DataFrame) -> DataFrame:
@@ -82,6 +89,7 @@ def elements(tags: DataFrame) -> DataFrame:
     })
 
     per_split = known.groupBy(*SPLIT).agg(
+        _same_file(F.col("file")).alias("checked_file"),
         F.max_by("hides", F.when(F.col("hides").isNotNull(), F.col("ordinal"))).alias("last_hides"),
         F.coalesce(F.sum(F.when(shown, F.col("step"))), F.lit(0)).alias("sum_shown"),
         F.coalesce(F.sum(F.when(unsure, F.col("step"))), F.lit(0)).alias("sum_unsure"),
@@ -91,37 +99,60 @@ def elements(tags: DataFrame) -> DataFrame:
     net = F.col("sum_shown") + F.when(F.col("began_hidden"), 0).otherwise(F.col("sum_unsure"))
     carried = began.withColumn("began_depth", F.coalesce(F.sum(net).over(_earlier_splits()), F.lit(0)))
 
-    joined = local.join(carried.select(*SPLIT, "began_hidden", "began_depth"), SPLIT)
+    joined = local.join(carried.select(*SPLIT, "checked_file", "began_hidden", "began_depth"), SPLIT)
     depth = (F.col("began_depth") + F.col("depth_shown")
              + F.when(F.col("began_hidden"), 0).otherwise(F.col("depth_unsure")))
     # A closing tag is as deep as the element it closes.
     depth = depth - F.when(F.col("kind") == "close", 1).otherwise(0)
     visible = ~F.coalesce(F.col("hidden"), F.col("began_hidden"))
     return (joined.filter(visible & (F.col("kind") != "other"))
-            .select(*POSITION, "kind", "tag", "inside", depth.cast("int").alias("depth")))
+            .select("file_id", F.col("checked_file").alias("file"), "block", "ordinal",
+                    "kind", "tag", "inside", depth.cast("int").alias("depth")))
+
+
+OWNER = ["owner_block", "owner_ordinal", "owner_depth"]
 
 
 def with_owner(found: DataFrame, owners: tuple[str, ...]) -> DataFrame:
-    """Add the ``owners`` element each tag belongs to, itself included, as ``owner``.
+    """Add the position and depth of the ``owners`` element each tag belongs to, itself included.
 
-    ``owner`` holds its position, name and depth; the name is NULL outside of any. Owners are
-    taken not to contain one another.
+    The three ``owner_*`` columns are NULL outside of any. Owners are taken not to contain one
+    another.
     """
     is_owner = F.col("tag").isin(*owners)
     begins = is_owner & (F.col("kind") != "close")
-    here = F.struct("block", "ordinal", "tag", "depth")
-    nothing = F.struct("block", "ordinal", F.lit(None).cast("string").alias("tag"), "depth")
-    # What the tags after this one belong to, where this one changes it.
-    after = F.when(is_owner, F.when(F.col("kind") == "open", here).otherwise(nothing))
-    marked = found.withColumn("after", after)
-    local = marked.withColumn("local", F.last("after", ignorenulls=True).over(_earlier_in_split()))
+    # What the tags after this one belong to, where this one changes it; depth -1 is "nothing".
+    marked = found.withColumns({
+        "mark_ordinal": F.when(is_owner, F.col("ordinal")),
+        "mark_depth": F.when(is_owner, F.when(F.col("kind") == "open", F.col("depth")).otherwise(-1)),
+    })
+
+    def latest(name: str, over) -> Column:
+        return F.last(name, ignorenulls=True).over(over)
 
-    per_split = marked.groupBy(*SPLIT).agg(F.max("after").alias("last_after"))
-    carried = per_split.withColumn(
-        "carried", F.last("last_after", ignorenulls=True).over(_earlier_splits()))
-    return (local.join(carried.select(*SPLIT, "carried"), SPLIT)
-            .withColumn("owner", F.when(begins, here).otherwise(F.coalesce("local", "carried")))
-            .drop("after", "local", "carried"))
+    local = marked.withColumns({
+        "local_ordinal": latest("mark_ordinal", _earlier_in_split()),
+        "local_depth": latest("mark_depth", _earlier_in_split()),
+    })
+    per_split = marked.groupBy(*SPLIT).agg(
+        F.max("mark_ordinal").alias("last_ordinal"),
+        F.max_by("mark_depth", "mark_ordinal").alias("last_depth"),
+    ).withColumn("last_block", F.when(F.col("last_ordinal").isNotNull(), F.col("block")))
+    carried = per_split.select(
+        *SPLIT, *[latest(f"last_{n}", _earlier_splits()).alias(f"carried_{n}")
+                  for n in ("block", "ordinal", "depth")])
+
+    here = F.col("local_ordinal").isNotNull()
+    depth = F.when(here, F.col("local_depth")).otherwise(F.col("carried_depth"))
+    inside = depth >= 0
+    return local.join(carried, SPLIT).select(
+        *found.columns,
+        F.when(begins, F.col("block")).when(inside & here, F.col("block"))
+        .when(inside, F.col("carried_block")).alias("owner_block"),
+        F.when(begins, F.col("ordinal")).when(inside & here, F.col("local_ordinal"))
+        .when(inside, F.col("carried_ordinal")).alias("owner_ordinal"),
+        F.when(begins, F.col("depth")).when(inside, depth).alias("owner_depth"),
+    )
 
 
 def decode(text: Column) -> Column:
@@ -132,17 +163,35 @@ def decode(text: Column) -> Column:
     return F.when(blank.contains("&"), F.coalesce(resolved, blank)).otherwise(blank)
 
 
-def attributes(inside: Column) -> Column:
-    """The attributes of a start tag as a map, in the order they are written."""
-    names = F.regexp_extract_all(inside, F.lit(_ATTRIBUTE), F.lit(1))
-    quoted = F.regexp_extract_all(inside, F.lit(_ATTRIBUTE), F.lit(2))
-    return F.map_from_arrays(names, F.transform(
-        quoted, lambda q: decode(F.substring(q, F.lit(2), F.length(q) - 2))))
+def attributes(inside: Column, tag: Column) -> Column:
+    """The attributes of a start tag as a map, in the order they are written.
+
+    A double quote cannot occur in a double-quoted value, so cutting at them gives names and
+    values in turn. Tags with a single-quoted value are matched by pattern.
+    """
+    written = F.substring(inside, F.length(tag) + 1, F.length(inside))
+
+    def cut(pieces: Column) -> Column:
+        names = F.filter(pieces, lambda _, i: (i % 2 == 0) & (i < F.size(pieces) - 1))
+        return F.map_from_arrays(F.transform(names, lambda n: F.btrim(n, F.lit(" =\t\r\n"))),
+                                 F.filter(pieces, lambda _, i: i % 2 == 1))
+
+    # As the only element of an array the pieces are computed once and bound to a variable.
+    by_quotes = F.element_at(F.transform(F.array(F.split(written, '"', -1)), cut), 1)
+    by_pattern = F.map_from_arrays(
+        F.regexp_extract_all(written, F.lit(_ATTRIBUTE), F.lit(1)),
+        F.transform(F.regexp_extract_all(written, F.lit(_ATTRIBUTE), F.lit(2)),
+                    lambda q: F.substring(q, F.lit(2), F.length(q) - 2)))
+    single_quoted = inside.contains("'") & inside.rlike(r"=\s*'")
+    as_written = F.when(single_quoted, by_pattern).otherwise(by_quotes)
+    return F.when(inside.rlike(r"[&\n\r\t]"),
+                  F.transform_values(as_written, lambda _, v: decode(v))).otherwise(as_written)
 
 
 def start_tags(found: DataFrame) -> DataFrame:
     """Elements only, with their attributes."""
-    return found.filter(F.col("kind") != "close").withColumn("attrs", attributes(F.col("inside")))
+    return found.filter(F.col("kind") != "close").withColumn(
+        "attrs", attributes(F.col("inside"), F.col("tag")))
 
 
 def _as_columns(tags: DataFrame, names: tuple[str, ...], *extra: Column) -> DataFrame:
@@ -156,7 +205,7 @@ def records(found: DataFrame) -> DataFrame:
 
 
 def _workout_id(block: Column, ordinal: Column) -> Column:
-    return F.concat_ws("-", F.hex(F.xxhash64("file")), block, ordinal)
+    return F.concat_ws("-", F.hex("file_id"), block, ordinal)
 
 
 def workouts(found: DataFrame) -> DataFrame:
@@ -169,13 +218,11 @@ def workouts(found: DataFrame) -> DataFrame:
 def stats(found: DataFrame, absent: float | None = 0.0) -> DataFrame:
     """``stats`` rows from statistics written directly inside a workout."""
     wanted = found.filter(F.col("tag").isin("Workout", "WorkoutStatistics"))
-    owner = F.col("owner")
     direct = with_owner(wanted, ("Workout",)).filter(
-        (F.col("tag") == "WorkoutStatistics") & owner["tag"].isNotNull()
-        & (F.col("depth") == owner["depth"] + 1))
+        (F.col("tag") == "WorkoutStatistics") & (F.col("depth") == F.col("owner_depth") + 1))
     return normalize.stats(_as_columns(
         start_tags(direct), schemas.STAT_ATTRIBUTES,
-        _workout_id(owner["block"], owner["ordinal"]).alias("workout_id")), absent)
+        _workout_id(F.col("owner_block"), F.col("owner_ordinal")).alias("workout_id")), absent)
 
 
 def documents(found: DataFrame) -> DataFrame:
