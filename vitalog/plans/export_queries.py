@@ -17,8 +17,7 @@ from ..sources.landing import Tables, import_export
 from ..sources.tables import read_parquet, route_by_schema
 from ..streaming import ingest
 from . import sql
-from .export_files import (export_date, export_elements, export_path, lines_of,
-                           raw_event_attributes, write_files, FILES)
+from .export_files import FILES, export_elements, export_path, raw_event_attributes
 from .views import EVENTS, SCALE, event_records, order_records, pages, stats, table, workouts
 
 QUERIES = {}
@@ -388,15 +387,11 @@ query("compact_chunks", _compact, ORACLES["ingest_append"])
 
 
 def _incremental(spark, sf_dir):
-    """Files that arrive between runs are added once; a run without new files adds nothing."""
+    """Two micro-batches of files, then a second run that finds nothing new."""
     base = scratch_dir(spark, "incremental")
-    source, target, checkpoints = (f"{base}/{n}" for n in ("source", "target", "checkpoints"))
-    records, all_workouts = lines_of(spark, sf_dir)
-    write_files(records, source)
-    ingest.import_new_files(spark, source, target, checkpoints, max_files=8)
-    write_files(all_workouts, source)
+    source, target, checkpoints = export_path(spark, sf_dir), f"{base}/target", f"{base}/checkpoints"
     for _ in range(2):
-        ingest.import_new_files(spark, source, target, checkpoints)
+        ingest.import_new_files(spark, source, target, checkpoints, max_files=FILES // 2)
     found = {"records": ingest.read_records(spark, target), "workouts": ingest.read_workouts(spark, target),
              "stats": ingest.read_stats(spark, target)}
     parts = [df.groupBy("type").agg(F.count(F.lit(1)).alias("count"), F.min("startDate").alias("first"),
@@ -410,5 +405,3 @@ query("ingest_incremental", _incremental, f"""
   FROM ({RECORDS}) GROUP BY type
   UNION ALL SELECT 'workouts', type, COUNT(*), MIN("startDate"), MAX("startDate") FROM ({WORKOUTS}) GROUP BY type
   UNION ALL SELECT 'stats', type, COUNT(*), MIN("startDate"), MAX("startDate") FROM ({STATS}) GROUP BY type""")
-
-__all__ = ["ORACLES", "QUERIES", "export_date"]

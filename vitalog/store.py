@@ -190,7 +190,8 @@ class ExportFiles:
     def documents(self) -> DocumentStore:
         return DocumentStore(markup.documents(self.elements))
 
-    def import_to(self, target: str, mode: str = "overwrite", large_files: bool = False) -> HealthStore:
+    def import_to(self, target: str, mode: str = "overwrite", large_files: bool | None = None,
+                  layout: str = "plain") -> HealthStore:
         """Import into ``target`` and open the result."""
-        landing.import_export(self.spark, self.path, target, mode, large_files)
+        landing.import_export(self.spark, self.path, target, mode, large_files, layout)
         return HealthStore.from_import(self.spark, target)
