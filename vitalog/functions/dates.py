@@ -48,13 +48,12 @@ def bucket(at: Column, interval: str, tz: str | None = None) -> Column:
     return F.date_trunc(interval, local)
 
 
-def next_bucket(start: Column, interval: str) -> Column:
-    """Start of the bucket after the one that begins at ``start``."""
-    return start + F.expr(f"INTERVAL '1' {check_interval(interval).upper()}"
-                          if interval != "week" else "INTERVAL '7' DAY")
+def one_bucket(interval: str) -> Column:
+    """The length of a bucket as a calendar interval."""
+    return F.expr("INTERVAL '7' DAY" if check_interval(interval) == "week"
+                  else f"INTERVAL '1' {interval.upper()}")
 
 
 def bucket_range(first: Column, last: Column, interval: str) -> Column:
     """Array of all bucket starts from ``first`` to ``last``, both included."""
-    step = "INTERVAL '7' DAY" if check_interval(interval) == "week" else f"INTERVAL '1' {interval.upper()}"
-    return F.sequence(first, last, F.expr(step))
+    return F.sequence(first, last, one_bucket(interval))

@@ -60,11 +60,7 @@ def workout_conditions(params: SearchParams) -> Column:
 
 def stat_conditions(params: SearchParams) -> Column:
     """What ``params`` asks of a statistic row: the value range applies to ``sum``."""
-    return in_values_or_true(F.col("sum"), params.value_min, params.value_max)
-
-
-def in_values_or_true(column: Column, low, high) -> Column:
-    return all_of([in_values(column, low, high)])
+    return all_of([in_values(F.col("sum"), params.value_min, params.value_max)])
 
 
 def of_type(df: DataFrame, record_type: str | None, date_from=None, date_to=None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import bucket, bucket_range
+from ..functions.dates import bucket, bucket_range, one_bucket
 from ..functions.measures import measure_summary
 from .filters import of_type
 
@@ -49,7 +49,7 @@ def fill_gaps(buckets: DataFrame, interval: str, keys: tuple[str, ...] = ("type"
     to the next existing bucket; repeats carry 0 in ``zero`` and NULL in the other statistics.
     """
     following = F.lead(at).over(Window.partitionBy(*keys).orderBy(at))
-    last_missing = F.when(following.isNotNull(), _bucket_before(following, interval)).otherwise(F.col(at))
+    last_missing = F.when(following.isNotNull(), following - one_bucket(interval)).otherwise(F.col(at))
     values = [c for c in buckets.columns if c not in (*keys, at)]
     spread = (
         buckets.withColumn("_until", last_missing)
@@ -64,11 +64,6 @@ def fill_gaps(buckets: DataFrame, interval: str, keys: tuple[str, ...] = ("type"
     )
 
 
-def _bucket_before(start, interval: str):
-    return start - (F.expr("INTERVAL '7' DAY") if interval == "week"
-                    else F.expr(f"INTERVAL '1' {interval.upper()}"))
-
-
 def trend_gapfilled(records: DataFrame, record_type: str | None = None, interval: str = "month",
                     date_from=None, date_to=None, scale: int | None = None) -> DataFrame:
     """Calendar histogram: statistics per type and bucket, empty buckets included.

@@ -140,22 +140,26 @@ def workout_stat_pairs(workouts: DataFrame, stats: DataFrame) -> DataFrame:
     return matched_instants(w, s).withColumn("pairs", F.col("n_workouts") * F.col("n_stats"))
 
 
-def _as_stat_columns(stats: DataFrame) -> DataFrame:
+# A statistic's columns that would clash with the workout's.
+_STAT_NAMES = {"workout_id": "stat_workout_id", "type": "stat_type",
+               "startDate": "stat_startDate", "endDate": "stat_endDate"}
+
+
+def _beside_workout(stats: DataFrame) -> DataFrame:
     """Names a statistic's columns so that they can stand beside the workout's."""
-    clash = {"type": "stat_type", "startDate": "stat_startDate", "endDate": "stat_endDate"}
-    return stats.select(*(F.col(n).alias(clash.get(n, n)) for n in stats.columns))
+    return stats.select(*(F.col(n).alias(_STAT_NAMES.get(n, n)) for n in stats.columns))
 
 
 def keyed_pairs(workouts: DataFrame, stats: DataFrame) -> DataFrame:
     """Each statistic beside the workout it was recorded in: one row per statistic."""
-    return workouts.join(_as_stat_columns(stats), "workout_id", "inner")
+    side = _beside_workout(stats).withColumnRenamed("stat_workout_id", "workout_id")
+    return workouts.join(side, "workout_id", "inner")
 
 
 def stats_workout_keyed(workouts: DataFrame, stats: DataFrame, record_type: str | None = None,
                         scale: int | None = None) -> DataFrame:
     """As :func:`stats_workout`, paired by ``workout_id``."""
-    s = (_as_stat_columns(stats).withColumnRenamed("unit", "stat_unit")
-         .groupBy("workout_id", "stat_type", "stat_unit").agg(*_partials("sum", "s", scale)))
+    s = _keyed_stat_partials(stats, scale)
     w = of_type(workouts, record_type).select(
         "workout_id", "type", "durationUnit", *_one_workout(scale))
     rows = _measure_rows(w.join(s, "workout_id"), F.col("durationUnit"), scale)
@@ -166,8 +170,7 @@ def trend_workout_keyed(workouts: DataFrame, stats: DataFrame, record_type: str
                         interval: str = "month", date_from=None, date_to=None,
                         scale: int | None = None, tz: str | None = None) -> DataFrame:
     """As :func:`trend_workout`, paired by ``workout_id`` and split by statistic type."""
-    s = (_as_stat_columns(stats).withColumnRenamed("unit", "stat_unit")
-         .groupBy("workout_id", "stat_type", "stat_unit").agg(*_partials("sum", "s", scale)))
+    s = _keyed_stat_partials(stats, scale)
     w = of_type(workouts, record_type, date_from, date_to).select(
         "workout_id", "type", "sourceName", "durationUnit",
         bucket(F.col("startDate"), interval, tz).alias("interval"), *_one_workout(scale))
@@ -175,6 +178,11 @@ def trend_workout_keyed(workouts: DataFrame, stats: DataFrame, record_type: str
     return _final(rows, ["interval", "type", "sourceName", "stat_type"], scale).orderBy("interval")
 
 
+def _keyed_stat_partials(stats: DataFrame, scale: int | None) -> DataFrame:
+    return (stats.withColumnRenamed("type", "stat_type").withColumnRenamed("unit", "stat_unit")
+            .groupBy("workout_id", "stat_type", "stat_unit").agg(*_partials("sum", "s", scale)))
+
+
 def _one_workout(scale: int | None) -> list[Column]:
     """A single workout in the shape of the partial aggregates."""
     value = F.col("duration")
@@ -213,7 +221,7 @@ def search_workouts(workouts: DataFrame, stats: DataFrame, params: SearchParams)
 
     s_top = (s.join(newest_instants.select("startDate"), "startDate")
              .orderBy(*newest_first(s)).limit(2 * limit))
-    side = _beside_workout(s_top, s.columns)
+    side = _beside_workout(s_top.select(*s.columns))
     pairs = w_top.join(side, w_top["startDate"] == side["stat_startDate"])
     return _first_pairs(pairs, w, s, limit)
 
@@ -225,20 +233,11 @@ def search_workouts_keyed(workouts: DataFrame, stats: DataFrame, params: SearchP
     s = stats.filter(stat_conditions(params))
     w_top = (w.join(s.select("workout_id").distinct(), "workout_id")
              .orderBy(*newest_first(w)).limit(limit))
-    side = _beside_workout(s, s.columns)
+    side = _beside_workout(s)
     pairs = w_top.join(side, w_top["workout_id"] == side["stat_workout_id"])
     return _first_pairs(pairs, w, s, limit)
 
 
-# A statistic's columns that would clash with the workout's.
-_STAT_NAMES = {"workout_id": "stat_workout_id", "type": "stat_type",
-               "startDate": "stat_startDate", "endDate": "stat_endDate"}
-
-
-def _beside_workout(stats: DataFrame, names: list[str]) -> DataFrame:
-    return stats.select(*(F.col(n).alias(_STAT_NAMES.get(n, n)) for n in names))
-
-
 def _first_pairs(pairs: DataFrame, workouts: DataFrame, stats: DataFrame, limit: int) -> DataFrame:
     """Cut to ``limit`` in the order the two sides were cut in."""
     stat_names = ["workout_id"] if "workout_id" in stats.columns else []

@@ -15,7 +15,7 @@ from ..sinks import tables as sinks
 from ..sources import export_xml, markup, normalize
 from ..sources.landing import Tables, import_export
 from ..sources.tables import read_parquet, route_by_schema
-from ..streaming import ingest
+from ..streaming import ingest, samples
 from . import sql
 from .export_files import FILES, export_elements, export_path, raw_event_attributes
 from .views import EVENTS, SCALE, event_records, order_records, pages, stats, table, workouts
@@ -280,12 +280,13 @@ def _route_by_schema(spark, sf_dir):
 query("route_by_schema", _route_by_schema,
       """SELECT 'records' AS "table", event_type AS type, COUNT(*) AS "count" FROM events GROUP BY event_type
       UNION ALL SELECT 'records', o_orderpriority, COUNT(*) FROM orders GROUP BY o_orderpriority
-      UNION ALL SELECT 'workouts', 'HKWorkout' || o_orderpriority, COUNT(*) FROM orders GROUP BY o_orderpriority
+      UNION ALL SELECT 'workouts', o_orderpriority, COUNT(*) FROM orders GROUP BY o_orderpriority
       UNION ALL SELECT 'stats', l_returnflag, COUNT(*) FROM lineitem GROUP BY l_returnflag""")
 
 
 def _route_by_prefix(spark, sf_dir):
-    types = event_records(spark, sf_dir).select("type").unionByName(workouts(spark, sf_dir).select("type"))
+    named = F.concat(F.lit(WORKOUT_PREFIX), F.col("type")).alias("type")
+    types = event_records(spark, sf_dir).select("type").unionByName(workouts(spark, sf_dir).select(named))
     return (types.withColumn("table", F.when(F.col("type").startswith(WORKOUT_PREFIX), "workouts")
                              .otherwise("records"))
             .groupBy("table", "type").agg(F.count(F.lit(1)).alias("count")))
@@ -405,3 +406,17 @@ query("ingest_incremental", _incremental, f"""
   FROM ({RECORDS}) GROUP BY type
   UNION ALL SELECT 'workouts', type, COUNT(*), MIN("startDate"), MAX("startDate") FROM ({WORKOUTS}) GROUP BY type
   UNION ALL SELECT 'stats', type, COUNT(*), MIN("startDate"), MAX("startDate") FROM ({STATS}) GROUP BY type""")
+
+
+def _samples(spark, sf_dir):
+    """Weekly samples that two micro-batches of files add up to."""
+    base = scratch_dir(spark, "samples")
+    samples.sample_new_files(spark, export_path(spark, sf_dir), f"{base}/target", f"{base}/checkpoint",
+                             "week", SCALE, max_files=FILES // 2)
+    return samples.read_samples(spark, f"{base}/target", SCALE)
+
+
+query("ingest_samples", _samples, f"""
+  SELECT type, "sourceName", unit, CAST(date_trunc('week', "startDate") AS TIMESTAMP) AS "startDate",
+  {sql.mean("value")} AS value, MIN(value) AS min_value, MAX(value) AS max_value, COUNT(value) AS n_values
+  FROM ({RECORDS}) GROUP BY type, "sourceName", unit, date_trunc('week', "startDate")""")

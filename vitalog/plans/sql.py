@@ -17,7 +17,7 @@ ORDER_RECORDS = """records AS (
   FROM orders)"""
 
 WORKOUTS = """workouts AS (
-  SELECT o_orderkey AS workout_id, 'HKWorkout' || o_orderpriority AS type,
+  SELECT o_orderkey AS workout_id, o_orderpriority AS type,
          o_totalprice AS duration, 'min' AS "durationUnit", o_orderstatus AS "sourceName",
          o_orderdate AS "startDate"
   FROM orders)"""

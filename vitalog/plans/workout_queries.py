@@ -60,27 +60,27 @@ ORACLES["summary"] = sql.with_views(sql.EVENT_RECORDS, sql.WORKOUTS, sql.STATS)
 
 # --- search --------------------------------------------------------------------------------
 query("search_workouts",
-      lambda w, s: ops.search_workouts(w, s, SearchParams(record_type="HKWorkout5-LOW")),
-      VIEWS + f"""SELECT {COLUMNS} {PAIRS} WHERE w.type = 'HKWorkout5-LOW'
+      lambda w, s: ops.search_workouts(w, s, SearchParams(record_type="5-LOW")),
+      VIEWS + f"""SELECT {COLUMNS} {PAIRS} WHERE w.type = '5-LOW'
       ORDER BY w."startDate" DESC, w.workout_id, {STAT_ORDER} LIMIT 10""")
 query("search_workouts_in_year",
       lambda w, s: ops.search_workouts(w, s, SearchParams(
-          record_type="HKWorkout2-HIGH", source_name="P", date_from="1996-01-01T00:00:00+00:00",
+          record_type="2-HIGH", source_name="P", date_from="1996-01-01T00:00:00+00:00",
           date_to="1996-12-31T23:59:59+00:00", value_min="10", value_max="45.5", limit=200)),
-      VIEWS + f"""SELECT {COLUMNS} {PAIRS} WHERE w.type = 'HKWorkout2-HIGH' AND w."sourceName" = 'P'
+      VIEWS + f"""SELECT {COLUMNS} {PAIRS} WHERE w.type = '2-HIGH' AND w."sourceName" = 'P'
       AND w."startDate" >= TIMESTAMP '1996-01-01 00:00:00'
       AND w."startDate" <= TIMESTAMP '1996-12-31 23:59:59' AND s."sum" >= 10 AND s."sum" <= 45.5
       ORDER BY w."startDate" DESC, w.workout_id, {STAT_ORDER} LIMIT 200""")
 query("search_duration",
       lambda w, s: ops.search_workouts(w, s, SearchParams(
-          record_type="HKWorkout1-URGENT", min_workout_duration="100000",
+          record_type="1-URGENT", min_workout_duration="100000",
           max_workout_duration="250000.5", limit=40)),
-      VIEWS + f"""SELECT {COLUMNS} {PAIRS} WHERE w.type = 'HKWorkout1-URGENT'
+      VIEWS + f"""SELECT {COLUMNS} {PAIRS} WHERE w.type = '1-URGENT'
       AND w.duration >= 100000 AND w.duration <= 250000.5
       ORDER BY w."startDate" DESC, w.workout_id, {STAT_ORDER} LIMIT 40""")
 query("search_workouts_keyed",
-      lambda w, s: ops.search_workouts_keyed(w, s, SearchParams(record_type="HKWorkout3-MEDIUM", limit=30)),
-      VIEWS + f"""SELECT {COLUMNS} {KEYED} WHERE w.type = 'HKWorkout3-MEDIUM'
+      lambda w, s: ops.search_workouts_keyed(w, s, SearchParams(record_type="3-MEDIUM", limit=30)),
+      VIEWS + f"""SELECT {COLUMNS} {KEYED} WHERE w.type = '3-MEDIUM'
       ORDER BY w."startDate" DESC, w.workout_id, s.type, s."startDate", s."sum", s.maximum, s.unit
       LIMIT 30""")
 query("extreme_workouts", lambda w, s: search.extreme_records(w, "duration"), VIEWS + """
@@ -91,13 +91,13 @@ query("extreme_workouts", lambda w, s: search.extreme_records(w, "duration"), VI
 
 # --- statistics and trends -----------------------------------------------------------------
 TYPED, TYPED_KEYS = "w.type, s.type AS stat_type", "w.type, s.type"
-query("stats_workout", lambda w, s: ops.stats_workout(w, s, "HKWorkout5-LOW", SCALE),
-      per_measure(PAIRS, TYPED, TYPED_KEYS, "w.type = 'HKWorkout5-LOW'", 'w."durationUnit"'))
+query("stats_workout", lambda w, s: ops.stats_workout(w, s, "5-LOW", SCALE),
+      per_measure(PAIRS, TYPED, TYPED_KEYS, "w.type = '5-LOW'", 'w."durationUnit"'))
 query("stats_workout_stat_unit",
       lambda w, s: ops.stats_workout(w, s, None, SCALE, own_unit=False),
       per_measure(PAIRS, TYPED, TYPED_KEYS, "TRUE", "s.unit"))
-query("stats_workout_keyed", lambda w, s: ops.stats_workout_keyed(w, s, "HKWorkout5-LOW", SCALE),
-      per_measure(KEYED, TYPED, TYPED_KEYS, "w.type = 'HKWorkout5-LOW'", 'w."durationUnit"'))
+query("stats_workout_keyed", lambda w, s: ops.stats_workout_keyed(w, s, "5-LOW", SCALE),
+      per_measure(KEYED, TYPED, TYPED_KEYS, "w.type = '5-LOW'", 'w."durationUnit"'))
 
 
 def trend_sql(pairs: str, interval: str, where: str, duration_unit: str, stat_type: bool) -> str:
@@ -108,19 +108,19 @@ def trend_sql(pairs: str, interval: str, where: str, duration_unit: str, stat_ty
         f"""{at}, w.type, w."sourceName"{", s.type" if stat_type else ""}""", where, duration_unit)
 
 
-IN_1996 = """w.type = 'HKWorkout1-URGENT' AND w."startDate" >= TIMESTAMP '1996-01-01 00:00:00'
+IN_1996 = """w.type = '1-URGENT' AND w."startDate" >= TIMESTAMP '1996-01-01 00:00:00'
   AND w."startDate" <= TIMESTAMP '1996-12-31 23:59:59'"""
 YEAR_1996 = ("1996-01-01T00:00:00+00:00", "1996-12-31T23:59:59+00:00")
 query("trend_workout",
-      lambda w, s: ops.trend_workout(w, s, "HKWorkout1-URGENT", "month", *YEAR_1996, scale=SCALE),
+      lambda w, s: ops.trend_workout(w, s, "1-URGENT", "month", *YEAR_1996, scale=SCALE),
       trend_sql(PAIRS, "month", IN_1996, 'w."durationUnit"', False))
 query("trend_workout_stat_unit",
       lambda w, s: ops.trend_workout(w, s, None, "year", scale=SCALE, own_unit=False),
       trend_sql(PAIRS, "year", "TRUE", "s.unit", False))
 query("trend_workout_by_stat",
-      lambda w, s: ops.trend_workout(w, s, "HKWorkout1-URGENT", "week", *YEAR_1996, scale=SCALE,
+      lambda w, s: ops.trend_workout(w, s, "1-URGENT", "week", *YEAR_1996, scale=SCALE,
                                      by_stat_type=True),
       trend_sql(PAIRS, "week", IN_1996, 'w."durationUnit"', True))
 query("trend_workout_keyed",
-      lambda w, s: ops.trend_workout_keyed(w, s, "HKWorkout1-URGENT", "month", scale=SCALE),
-      trend_sql(KEYED, "month", "w.type = 'HKWorkout1-URGENT'", 'w."durationUnit"', True))
+      lambda w, s: ops.trend_workout_keyed(w, s, "1-URGENT", "month", scale=SCALE),
+      trend_sql(KEYED, "month", "w.type = '1-URGENT'", 'w."durationUnit"', True))

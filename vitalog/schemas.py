@@ -30,21 +30,6 @@ STATS = _struct(
 KEYED_WORKOUTS = T.StructType([T.StructField("workout_id", _S), *WORKOUTS.fields])
 KEYED_STATS = T.StructType([T.StructField("workout_id", _S), *STATS.fields])
 
-DOCUMENTS = T.StructType([
-    T.StructField("tag", _S),
-    T.StructField("attrs", T.MapType(_S, _S)),
-    T.StructField("type", _S),
-    T.StructField("sourceName", _S),
-    T.StructField("textvalue", _S),
-    T.StructField("value", _D),
-    T.StructField("startDate", _TS),
-    T.StructField("endDate", _TS),
-    T.StructField("dateComponents", _TS),
-    T.StructField("startDateText", _S),
-    T.StructField("endDateText", _S),
-    T.StructField("dateComponentsText", _S),
-])
-
 TABLES = {"records": RECORDS, "workouts": WORKOUTS, "stats": STATS}
 
 # Attributes as they are written in the export.
