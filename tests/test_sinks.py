@@ -11,7 +11,7 @@ from vitalog import HealthStore, schemas
 from vitalog.sinks import tables as sinks
 from vitalog.sources import normalize
 from vitalog.sources.tables import read_parquet, read_table, route_by_schema, table_kind
-from vitalog.streaming import ingest
+from vitalog.streaming import ingest, samples
 
 DAY = datetime(2024, 1, 1)
 
@@ -114,3 +114,20 @@ def test_new_files_are_imported_once(spark, tmp_path):
     assert run() == (6, 4, 4)
     linked = ingest.read_workouts(spark, target).join(ingest.read_stats(spark, target), "workout_id")
     assert linked.count() == 4
+
+
+def test_samples_of_new_files_add_up(spark, tmp_path):
+    source, target, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    (tmp_path / "in").mkdir()
+    record = ('<HealthData><Record type="steps" sourceName="phone" startDate="{} 10:00:00 +0000" value="{}"/>'
+              '</HealthData>')
+    got = []
+    # The second file is years older than the first: nothing is too late.
+    for name, at, value in (("a", "2024-05-02", 2), ("b", "2019-05-02", 3), ("c", "2024-05-30", 5)):
+        (tmp_path / "in" / f"{name}.xml").write_text(record.format(at, value))
+        for _ in range(2):
+            samples.sample_new_files(spark, source, target, checkpoint, "month", scale=1)
+        rows = samples.read_samples(spark, target, scale=1).orderBy("startDate").collect()
+        got.append([(str(r.startDate)[:7], r.value, r.n_values) for r in rows])
+    assert got == [[("2024-05", 2.0, 1)], [("2019-05", 3.0, 1), ("2024-05", 2.0, 1)],
+                   [("2019-05", 3.0, 1), ("2024-05", 3.5, 2)]]

@@ -11,11 +11,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# A whole number is summed in two parts, so that BIGINT holds the sums of any number of rows.
+_LOW_BITS = 20
+
+
 def exact_total(measure: Column, scale: int | None) -> Column:
-    """Sum in the smallest unit when ``scale`` is given, else a plain double sum."""
+    """Sum in the smallest unit, as a DECIMAL, when ``scale`` is given; else a plain double sum."""
     if scale is None:
         return F.sum(measure)
-    return F.sum(F.rint(measure * F.lit(float(10 ** scale))).cast("bigint"))
+    units = F.rint(measure * F.lit(float(10 ** scale))).cast("bigint")
+    high = F.sum(F.shiftright(units, _LOW_BITS)).cast("decimal(20,0)")
+    low = F.sum(units.bitwiseAND(F.lit(2 ** _LOW_BITS - 1))).cast("decimal(20,0)")
+    return high * F.lit(2 ** _LOW_BITS).cast("decimal(7,0)") + low
 
 
 def from_units(total: Column, scale: int | None) -> Column:

@@ -15,7 +15,8 @@ from ..session import scratch_dir
 from ..sources.landing import land_elements
 from .views import EVENTS, LINEITEM, ORDERS, table
 
-FILES = 16
+# Files are cut by key, so their number and not their size grows with the tables.
+KEYS_PER_FILE = 20_000
 _WRITTEN: dict[tuple, str] = {}
 
 
@@ -33,7 +34,7 @@ def export_date(at: Column, offset: str) -> Column:
 
 
 def _line(key: Column, section: int, sub: int, tie: Column, text: Column) -> list[Column]:
-    return [F.format_string("f%02d", F.pmod(key, F.lit(FILES))).alias("part"),
+    return [F.format_string("f%012d", F.floor(key / KEYS_PER_FILE)).alias("part"),
             F.lit(section).alias("section"), key.alias("key"), F.lit(sub).alias("sub"),
             tie.cast("string").alias("tie"), text.alias("text")]
 

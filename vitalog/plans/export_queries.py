@@ -17,7 +17,7 @@ from ..sources.landing import Tables, import_export
 from ..sources.tables import read_parquet, route_by_schema
 from ..streaming import ingest, samples
 from . import sql
-from .export_files import FILES, export_elements, export_path, raw_event_attributes
+from .export_files import export_elements, export_path, raw_event_attributes
 from .views import EVENTS, SCALE, event_records, order_records, pages, stats, table, workouts
 
 QUERIES = {}
@@ -167,7 +167,7 @@ RECORD_XML = " || ".join([
     sql_attribute("value", """CASE WHEN event_type = 'error' THEN props
       WHEN event_type <> 'signup' THEN CAST(value AS VARCHAR) END"""),
     """CASE WHEN event_type = 'view' THEN '><MetadataEntry key="k" value="v" /></Record>' ELSE ' />' END"""])
-IN_FILE = f"ORDER BY event_id % {FILES}, event_id"
+IN_FILE = "ORDER BY event_id"  # files are cut by ranges of the key
 
 
 def _as_xml(search):
@@ -388,11 +388,11 @@ query("compact_chunks", _compact, ORACLES["ingest_append"])
 
 
 def _incremental(spark, sf_dir):
-    """Two micro-batches of files, then a second run that finds nothing new."""
+    """Micro-batches of two files, then a second run that finds nothing new."""
     base = scratch_dir(spark, "incremental")
     source, target, checkpoints = export_path(spark, sf_dir), f"{base}/target", f"{base}/checkpoints"
     for _ in range(2):
-        ingest.import_new_files(spark, source, target, checkpoints, max_files=FILES // 2)
+        ingest.import_new_files(spark, source, target, checkpoints, max_files=2)
     found = {"records": ingest.read_records(spark, target), "workouts": ingest.read_workouts(spark, target),
              "stats": ingest.read_stats(spark, target)}
     parts = [df.groupBy("type").agg(F.count(F.lit(1)).alias("count"), F.min("startDate").alias("first"),
@@ -409,10 +409,10 @@ query("ingest_incremental", _incremental, f"""
 
 
 def _samples(spark, sf_dir):
-    """Weekly samples that two micro-batches of files add up to."""
+    """Weekly samples that micro-batches of two files add up to."""
     base = scratch_dir(spark, "samples")
     samples.sample_new_files(spark, export_path(spark, sf_dir), f"{base}/target", f"{base}/checkpoint",
-                             "week", SCALE, max_files=FILES // 2)
+                             "week", SCALE, max_files=2)
     return samples.read_samples(spark, f"{base}/target", SCALE)
 
 

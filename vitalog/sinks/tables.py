@@ -56,7 +56,8 @@ def append_to_table(df: DataFrame, name: str) -> int:
 
 def append_new(df: DataFrame, path: str) -> None:
     """Append the rows that are not stored yet, each once, so that a repeated import adds nothing."""
-    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    # Both sides are made distinct first: many copies of one row then meet as one.
+    stored = df.sparkSession.read.schema(df.schema).parquet(path).distinct()
     rows = [F.struct(*df.columns)]
     new = df.dropDuplicates().join(
         stored.select(F.xxhash64(*rows).alias("_h"), *[F.col(c).alias(f"_{c}") for c in df.columns]),
