@@ -388,11 +388,11 @@ query("compact_chunks", _compact, ORACLES["ingest_append"])
 
 
 def _incremental(spark, sf_dir):
-    """Micro-batches of two files, then a second run that finds nothing new."""
+    """Micro-batches of four files, then a second run that finds nothing new."""
     base = scratch_dir(spark, "incremental")
     source, target, checkpoints = export_path(spark, sf_dir), f"{base}/target", f"{base}/checkpoints"
     for _ in range(2):
-        ingest.import_new_files(spark, source, target, checkpoints, max_files=2)
+        ingest.import_new_files(spark, source, target, checkpoints, max_files=4)
     found = {"records": ingest.read_records(spark, target), "workouts": ingest.read_workouts(spark, target),
              "stats": ingest.read_stats(spark, target)}
     parts = [df.groupBy("type").agg(F.count(F.lit(1)).alias("count"), F.min("startDate").alias("first"),
@@ -409,10 +409,10 @@ query("ingest_incremental", _incremental, f"""
 
 
 def _samples(spark, sf_dir):
-    """Weekly samples that micro-batches of two files add up to."""
+    """Weekly samples that micro-batches of four files add up to."""
     base = scratch_dir(spark, "samples")
     samples.sample_new_files(spark, export_path(spark, sf_dir), f"{base}/target", f"{base}/checkpoint",
-                             "week", SCALE, max_files=2)
+                             "week", SCALE, max_files=4)
     return samples.read_samples(spark, f"{base}/target", SCALE)
 
 
