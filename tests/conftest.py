@@ -10,7 +10,7 @@ from vitalog import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("tests", 8, partitions=4, memory="6g")
+    session = local_session("tests", 8, partitions=2, memory="6g")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -9,7 +9,7 @@ from conftest import SAMPLE
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from vitalog import ExportFiles, SearchParams
+from vitalog import ExportFiles, HealthStore, SearchParams
 from vitalog.operators import rawxml
 from vitalog.sources import export_xml, landing, markup
 
@@ -28,7 +28,7 @@ def splits_of(spark, size):
             spark.conf.set(n, v)
 
 
-@pytest.fixture(scope="module", params=["100m", "160"])
+@pytest.fixture(scope="module", params=["100m", "200"])
 def found(spark, export, request):
     """The sample's elements, scanned whole and scanned in splits that cut most tags."""
     path = landing.scratch_dir(spark, "sample")
@@ -140,7 +140,9 @@ def test_import(spark, export, tmp_path, large, layout):
     target = str(tmp_path / "tables")
     counts = landing.import_export(spark, export, target, large_files=large, layout=layout)
     assert counts == {"records": 3, "workouts": 2, "stats": 2}
-    store = ExportFiles(spark, export).import_to(target, large_files=large, layout=layout)
+    if not large:
+        landing.import_export(spark, export, target)
+    store = HealthStore.from_import(spark, target)
     assert {(r.type, r["count"]) for r in store.summary().collect()} == {
         ("HKQuantityTypeIdentifierStepCount", 1), ("HKCategoryTypeIdentifierSleepAnalysis", 1),
         ("HKQuantityTypeIdentifierHeartRate", 1), ("HKWorkoutActivityTypeRunning", 2)}
@@ -208,3 +210,19 @@ def test_a_file_of_many_splits(spark, tmp_path):
     total, wrong = linked.agg(F.sum("sum"), F.sum((F.expr("'S' || substring(type, 2)") != F.col("stat")).cast("int"))).first()
     assert math.isclose(total, want) and wrong == 0
     assert found.filter("tag = 'HealthData' and depth = 0").count() == 2
+
+
+@pytest.mark.parametrize("broadcast_rows", [100, 0])
+def test_hidden_tags_are_left_out_whichever_way_they_are_joined(spark, tmp_path, broadcast_rows):
+    folder = tmp_path / "hidden"
+    folder.mkdir()
+    hidden = "<!-- " + '<Record type="c"/> ' * 40 + "-->"
+    body = "".join(f'<Record type="r{i}"/>{hidden if i % 9 == 0 else "<!-- x -->"}' for i in range(60))
+    (folder / "a.xml").write_text(f"<HealthData>{body}<![CDATA[{'<Record/>' * 30}]]><Record type='z'/></HealthData>")
+    with splits_of(spark, "400"):
+        tags = landing.land_tags(spark, str(folder)).coalesce(2)
+    shown = markup.visible(tags.filter("tag = 'Record'"), markup.hidden_spans(tags), broadcast_rows)
+    got = [r.type for r in markup.records(shown).collect()]
+    assert sorted(got) == sorted([f"r{i}" for i in range(60)] + ["z"])
+    plain = tags.filter("hides is null")
+    assert markup.visible(plain, markup.hidden_spans(plain)) is plain

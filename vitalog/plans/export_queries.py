@@ -239,6 +239,13 @@ query("norm_text",
       {VALUE_TEXT} AS "textValue" FROM events""")
 
 
+query("norm_narrow",
+      lambda s, d: normalize.narrowed(event_records(s, d)).select(
+          "record_id", F.col("value").cast("double").alias("value"), "startDate"),
+      """SELECT event_id AS record_id, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value,
+      CAST(date_trunc('second', ts) AS TIMESTAMP) AS "startDate" FROM events""")
+
+
 def _raw_stats(spark, sf_dir):
     source = stats(spark, sf_dir)
     written = F.date_format("startDate", "yyyy-MM-dd HH:mm:ss")

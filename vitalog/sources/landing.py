@@ -70,9 +70,12 @@ def land_elements(spark: SparkSession, source: str, path: str | None = None) ->
     The text is read and taken apart once, into tags; depth is then worked out on those.
     """
     size, _ = file_sizes(spark, source)
-    tags = land(markup.scan_tags(spark, source), scratch_dir(spark, "tags"))
     with shuffles_sized_for(spark, size):
-        return land(markup.elements(tags), path or scratch_dir(spark, "elements"))
+        return land(markup.elements(land_tags(spark, source)), path or scratch_dir(spark, "elements"))
+
+
+def land_tags(spark: SparkSession, source: str) -> DataFrame:
+    return land(markup.scan_tags(spark, source), scratch_dir(spark, "tags"))
 
 
 def import_export(spark: SparkSession, source: str, target: str, mode: str = "overwrite",
@@ -92,9 +95,7 @@ def import_export(spark: SparkSession, source: str, target: str, mode: str = "ov
         large_files = largest > LARGE_FILE_BYTES
     with shuffles_sized_for(spark, size):
         if large_files:
-            found = land_elements(spark, source)
-            parts = {"records": markup.records(found), "workouts": markup.workouts(found),
-                     "stats": markup.stats(found)}
+            parts = markup.import_tables(land_tags(spark, source))
         else:
             nested = land(export_xml.scan_workouts(spark, source), scratch_dir(spark, "workouts"))
             parts = {"records": export_xml.records_of(export_xml.scan_records(spark, source)),

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.dates import lenient_iso_text, parse_date
 from ..functions.numeric import safe_float
+from ..operators.sized_join import BROADCAST_ROWS
+from ..session import checkpointed
 from . import normalize
 
 # A split is known by a hash of its file and its offset, which sort and compare faster than paths.
@@ -70,44 +72,60 @@ def scan_tags(spark: SparkSession, path: str) -> DataFrame:
                          tag.alias("tag"), inside.alias("inside"), hides.alias("hides"))
 
 
-def elements(tags: DataFrame) -> DataFrame:
-    """The tags outside comments and character data, with their depth (the root has depth 0).
+def hidden_spans(tags: DataFrame) -> DataFrame:
+    """Where comments and character data hide tags: ``(after, until]`` of a split's ordinals.
 
-    ``tags`` is read twice, the second time for a few narrow columns; see ``landing``.
+    Found from a few narrow columns and written to the checkpoint folder when this is called.
     """
-    step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
-    tags = tags.withColumn("step", step.cast("bigint"))
-
-    # Inside a split, "hidden" is known from its first comment border on; before that it is
-    # whatever the split began with, so both possible depths are kept.
-    known = tags.withColumn("hidden", F.last("hides", ignorenulls=True).over(_earlier_in_split()))
-    shown, unsure = F.col("hidden") == F.lit(False), F.col("hidden").isNull()
-    before = _earlier_in_split()
-    local = known.withColumns({
-        "depth_shown": F.coalesce(F.sum(F.when(shown, F.col("step"))).over(before), F.lit(0)),
-        "depth_unsure": F.coalesce(F.sum(F.when(unsure, F.col("step"))).over(before), F.lit(0)),
-    })
+    per_split = tags.groupBy(*SPLIT).agg(
+        _same_file(F.col("file")).alias("file"),
+        F.min(F.when(F.col("hides").isNotNull(), F.col("ordinal"))).alias("first_border"),
+        F.max_by("hides", F.when(F.col("hides").isNotNull(), F.col("ordinal"))).alias("last_hides"))
+    began_hidden = F.last("last_hides", ignorenulls=True).over(_earlier_splits())
+    carried = (per_split.withColumn("began_hidden", began_hidden).filter("began_hidden")
+               .filter(F.col("file").isNotNull())
+               .select(*SPLIT, F.lit(-1).cast("bigint").alias("after"), F.col("first_border").alias("until")))
+    inside = (tags.filter(F.col("hides").isNotNull()).select(*SPLIT, "ordinal", "hides")
+              .withColumn("until", F.lead("ordinal").over(_order())).filter("hides")
+              .select(*SPLIT, F.col("ordinal").alias("after"), "until"))
+    return checkpointed(inside.unionByName(carried))
+
+
+def visible(wanted: DataFrame, spans: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The tags that stand outside comments and character data.
+
+    Hidden spans are rare; they are counted when this is called. Without any, the tags are
+    passed on as they are, and up to ``broadcast_rows`` spans are broadcast, so that the text
+    of the tags is not moved.
+    """
+    n_spans = spans.count()
+    if n_spans == 0:
+        return wanted
+    end = F.coalesce(F.col("s.until"), F.lit(2 ** 63 - 1))
+    within = ((F.col("t.file_id") == F.col("s.file_id")) & (F.col("t.block") == F.col("s.block"))
+              & (F.col("t.ordinal") > F.col("s.after")) & (F.col("t.ordinal") <= end))
+    side = (F.broadcast(spans) if n_spans <= broadcast_rows else spans).alias("s")
+    return wanted.alias("t").join(side, within, "left_anti")
 
-    per_split = known.groupBy(*SPLIT).agg(
-        _same_file(F.col("file")).alias("checked_file"),
-        F.max_by("hides", F.when(F.col("hides").isNotNull(), F.col("ordinal"))).alias("last_hides"),
-        F.coalesce(F.sum(F.when(shown, F.col("step"))), F.lit(0)).alias("sum_shown"),
-        F.coalesce(F.sum(F.when(unsure, F.col("step"))), F.lit(0)).alias("sum_unsure"),
-    )
-    began = per_split.withColumn("began_hidden", F.coalesce(
-        F.last("last_hides", ignorenulls=True).over(_earlier_splits()), F.lit(False)))
-    net = F.col("sum_shown") + F.when(F.col("began_hidden"), 0).otherwise(F.col("sum_unsure"))
-    carried = began.withColumn("began_depth", F.coalesce(F.sum(net).over(_earlier_splits()), F.lit(0)))
-
-    joined = local.join(carried.select(*SPLIT, "checked_file", "began_hidden", "began_depth"), SPLIT)
-    depth = (F.col("began_depth") + F.col("depth_shown")
-             + F.when(F.col("began_hidden"), 0).otherwise(F.col("depth_unsure")))
+
+def elements(tags: DataFrame, spans: DataFrame | None = None, kept: Column | None = None) -> DataFrame:
+    """The visible tags with their depth (the root has depth 0).
+
+    ``kept`` may leave out empty elements that are not asked for, as they do not change the
+    depth of others. ``tags`` is read several times; see ``landing``.
+    """
+    spans = hidden_spans(tags) if spans is None else spans
+    step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
+    wanted = tags.filter((F.col("kind") != "other") & (F.lit(True) if kept is None else kept))
+    shown = visible(wanted, spans).withColumn("step", step.cast("bigint"))
+    local = shown.withColumn("local", F.coalesce(F.sum("step").over(_earlier_in_split()), F.lit(0)))
+    per_split = shown.groupBy(*SPLIT).agg(F.sum("step").alias("net"))
+    carried = per_split.select(
+        *SPLIT, F.coalesce(F.sum("net").over(_earlier_splits()), F.lit(0)).alias("began"))
     # A closing tag is as deep as the element it closes.
-    depth = depth - F.when(F.col("kind") == "close", 1).otherwise(0)
-    visible = ~F.coalesce(F.col("hidden"), F.col("began_hidden"))
-    return (joined.filter(visible & (F.col("kind") != "other"))
-            .select("file_id", F.col("checked_file").alias("file"), "block", "ordinal",
-                    "kind", "tag", "inside", depth.cast("int").alias("depth")))
+    depth = F.col("began") + F.col("local") - F.when(F.col("kind") == "close", 1).otherwise(0)
+    return local.join(carried, SPLIT).select(
+        "file_id", *POSITION, "kind", "tag", "inside", depth.cast("int").alias("depth"))
 
 
 OWNER = ["owner_block", "owner_ordinal", "owner_depth"]
@@ -204,6 +222,19 @@ def records(found: DataFrame) -> DataFrame:
                                          schemas.RECORD_ATTRIBUTES))
 
 
+def import_tables(tags: DataFrame) -> dict[str, DataFrame]:
+    """The three tables from landed tags.
+
+    Records, the bulk of an export, need no depth and so no shuffle. Depth is worked out for
+    workouts and statistics among the elements that can enclose them.
+    """
+    spans = hidden_spans(tags)
+    shown_records = visible(tags.filter((F.col("tag") == "Record") & (F.col("kind") != "close")), spans)
+    enclosing = (F.col("kind") != "empty") | F.col("tag").isin("Workout", "WorkoutStatistics")
+    found = elements(tags, spans, enclosing)
+    return {"records": records(shown_records), "workouts": workouts(found), "stats": stats(found)}
+
+
 def _workout_id(block: Column, ordinal: Column) -> Column:
     return F.concat_ws("-", F.hex("file_id"), block, ordinal)
 

@@ -39,6 +39,14 @@ def fit(df: DataFrame, schema) -> DataFrame:
     ])
 
 
+def narrowed(df: DataFrame) -> DataFrame:
+    """The smaller types of a compact store: values in single precision, times in whole seconds."""
+    return df.withColumns({
+        **{c: F.col(c).cast("float") for c in ("value",) if c in df.columns},
+        **{c: F.date_trunc("second", F.col(c)) for c in DATE_COLUMNS if c in df.columns},
+    })
+
+
 def records(raw: DataFrame) -> DataFrame:
     return fit(keep_value_text(fill_record_defaults(parse_dates(raw))), schemas.RECORDS)
 
