@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import attribute_contains
 from ..session import checkpointed
 from ..sources.markup import POSITION, attributes, start_tags, with_owner
+from .sized_join import if_small, join_group_rows
 
 SEARCHED = ("Record", "Workout")
 
@@ -15,21 +16,27 @@ SEARCHED = ("Record", "Workout")
 def structure(found: DataFrame) -> DataFrame:
     """``kind, name``: the distinct element names, record types, workout types and sources.
 
-    One pass; the four sets come out of a single distinct over exploded pairs.
+    One pass over the elements; the four sets come out of their distinct combinations.
     """
     attrs, tag = F.col("attrs"), F.col("tag")
 
     def entry(kind: str, name: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), F.nullif(name, F.lit("")).alias("name"))
 
-    # Attributes are only taken apart where one of them is asked for.
-    wanted = found.filter(F.col("kind") != "close").select(
-        "tag", F.when(tag.isin(*SEARCHED), attributes(F.col("inside"), tag)).alias("attrs"))
-    pairs = wanted.select(F.inline(F.array(
+    # Attributes are only taken apart where one of them is asked for, and each combination of
+    # names goes on once.
+    asked = F.when(tag.isin(*SEARCHED), attributes(F.col("inside"), tag))
+    combinations = (
+        found.filter(F.col("kind") != "close").select("tag", asked.alias("attrs"))
+        .select("tag", attrs["type"].alias("type"), attrs["sourceName"].alias("source"),
+                attrs["workoutActivityType"].alias("activity"))
+        .distinct()
+    )
+    pairs = combinations.select(F.inline(F.array(
         entry("root_elements", tag),
-        entry("record_types", F.when(tag == "Record", attrs["type"])),
-        entry("workout_types", F.when(tag == "Workout", attrs["workoutActivityType"])),
-        entry("sources", F.when(tag == "Record", attrs["sourceName"])),
+        entry("record_types", F.when(tag == "Record", F.col("type"))),
+        entry("workout_types", F.when(tag == "Workout", F.col("activity"))),
+        entry("sources", F.when(tag == "Record", F.col("source"))),
     )))
     return pairs.filter(F.col("name").isNotNull()).distinct()
 
@@ -103,14 +110,15 @@ def as_xml(found: DataFrame, hits: DataFrame) -> DataFrame:
     whole = tag.isin(*SEARCHED) & (F.col("kind") == "empty")
     as_owner = [F.col("block").alias("owner_block"), F.col("ordinal").alias("owner_ordinal")]
     opened, alone = hits.filter(F.col("kind") == "open"), hits.filter(F.col("kind") == "empty")
+    files = checkpointed(opened.select("file").distinct())
     candidates = (found.filter(~whole).select(*POSITION, "file_id", "kind", "tag", "depth")
-                  .join(opened.select("file").distinct(), "file", "left_semi"))
+                  .join(if_small(files) or files, "file", "left_semi"))
     inside = (
         with_owner(candidates, SEARCHED).select(*POSITION, "owner_block", "owner_ordinal")
         .join(opened.select("file", *as_owner), ["file", "owner_block", "owner_ordinal"])
     )
     shown = inside.unionByName(alone.select(*POSITION, *as_owner))
-    parts = (found.join(shown, POSITION)
+    parts = (join_group_rows(found, shown, POSITION)
              .withColumn("xml", tag_text(tag, attributes(F.col("inside"), tag), F.col("kind"))))
     pieces = F.sort_array(F.collect_list(F.struct("block", "ordinal", "xml")))
     return (

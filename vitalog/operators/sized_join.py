@@ -12,6 +12,11 @@ BROADCAST_ROWS = 100_000
 SALTS = 64
 
 
+def if_small(written: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame | None:
+    """A checkpointed frame marked for broadcast when it is counted to be small, else None."""
+    return F.broadcast(written) if written.count() <= broadcast_rows else None
+
+
 def join_group_rows(rows: DataFrame, groups: DataFrame, keys: list[str],
                     broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Attach each row's group row.
@@ -22,8 +27,9 @@ def join_group_rows(rows: DataFrame, groups: DataFrame, keys: list[str],
     still goes to many tasks.
     """
     groups = checkpointed(groups)
-    if groups.count() <= broadcast_rows:
-        return rows.join(F.broadcast(groups), keys, "inner")
+    small = if_small(groups, broadcast_rows)
+    if small is not None:
+        return rows.join(small, keys, "inner")
     salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
     salted_groups = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted_rows.join(salted_groups, [*keys, "_salt"], "inner").drop("_salt")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.dates import lenient_iso_text, parse_date
 from ..functions.numeric import safe_float
-from ..operators.sized_join import BROADCAST_ROWS
+from ..operators.sized_join import BROADCAST_ROWS, if_small
 from ..session import checkpointed
 from . import normalize
 
@@ -98,14 +98,13 @@ def visible(wanted: DataFrame, spans: DataFrame, broadcast_rows: int = BROADCAST
     passed on as they are, and up to ``broadcast_rows`` spans are broadcast, so that the text
     of the tags is not moved.
     """
-    n_spans = spans.count()
-    if n_spans == 0:
+    if spans.isEmpty():
         return wanted
     end = F.coalesce(F.col("s.until"), F.lit(2 ** 63 - 1))
     within = ((F.col("t.file_id") == F.col("s.file_id")) & (F.col("t.block") == F.col("s.block"))
               & (F.col("t.ordinal") > F.col("s.after")) & (F.col("t.ordinal") <= end))
-    side = (F.broadcast(spans) if n_spans <= broadcast_rows else spans).alias("s")
-    return wanted.alias("t").join(side, within, "left_anti")
+    side = if_small(spans, broadcast_rows) or spans
+    return wanted.alias("t").join(side.alias("s"), within, "left_anti")
 
 
 def elements(tags: DataFrame, spans: DataFrame | None = None, kept: Column | None = None) -> DataFrame:
@@ -173,12 +172,21 @@ def with_owner(found: DataFrame, owners: tuple[str, ...]) -> DataFrame:
     )
 
 
+# The references every XML text may use; "&amp;" is resolved last.
+_NAMED = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
+
+
 def decode(text: Column) -> Column:
     """Attribute text with line breaks as blanks and references such as ``&amp;`` resolved."""
     blank = F.translate(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n\r\t", "   ")
+    named = blank
+    for reference, character in _NAMED:
+        named = F.replace(named, F.lit(reference), F.lit(character))
     wrapped = F.concat(F.lit("<r><v>"), blank, F.lit("</v></r>"))
-    resolved = F.from_xml(wrapped, "v string", {"ignoreSurroundingSpaces": "false"})["v"]
-    return F.when(blank.contains("&"), F.coalesce(resolved, blank)).otherwise(blank)
+    numbered = F.from_xml(wrapped, "v string", {"ignoreSurroundingSpaces": "false"})["v"]
+    return (F.when(~blank.contains("&"), blank)
+            .when(blank.contains("&#"), F.coalesce(numbered, blank))
+            .otherwise(named))
 
 
 def attributes(inside: Column, tag: Column) -> Column:
