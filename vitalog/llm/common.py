@@ -83,3 +83,48 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     end[last] = letter[last]
     starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
+
+
+_BASE = 0x9E3779B97F4A7C15
+_MIX = 0xD6E8FEB86659FD93
+
+
+def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
+    """base^i and its inverse base^-i modulo 2^64 for i < n; base is odd."""
+    both = []
+    for factor in (base, pow(base, -1, 1 << 64)):
+        run = np.full(max(n, 1), factor, np.uint64)
+        run[0] = 1
+        both.append(np.multiply.accumulate(run))
+    return both[0], both[1]
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span from prefix polynomial hashes, mixed so that all bits are usable."""
+    up, down = powers(len(data) + 1)
+    prefix = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=prefix[1:])
+    return mixed((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def mixed(value: np.ndarray) -> np.ndarray:
+    value = (value ^ (value >> np.uint64(32))) * np.uint64(_MIX)
+    value = (value ^ (value >> np.uint64(32))) * np.uint64(_MIX)
+    return value ^ (value >> np.uint64(32))
+
+
+def learning_ids(labels: DataFrame, label: str, parts: int, fold: int, bound: int) -> DataFrame:
+    """At most ``bound`` labelled ids outside the held-out fold, those with the smallest hash, with their label as y.
+
+    Null ids and labels are no labels; of contradicting rows the smaller label holds.
+    """
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
+    rows = rows.filter(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & ~in_fold(F.col("doc_id"), parts, fold))
+    rows = rows.groupBy("doc_id").agg(F.min("y").alias("y"))
+    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+
+
+def learning_rows(docs: DataFrame, labels: DataFrame, label: str, parts: int, fold: int, bound: int) -> DataFrame:
+    """(doc_id, text, y) of the bounded sample; the ids are broadcast, as ``bound`` limits them."""
+    ids = learning_ids(labels, label, parts, fold, bound)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")

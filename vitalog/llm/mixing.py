@@ -67,7 +67,8 @@ def _plan(docs: DataFrame, carried: list[Column], weights, share, most_repeats,
     sized = written(rows, "mix-sizes")
     goal = targets(sized.select("no_source", "src", "size"), weights, share, most_repeats)
     # Keys are uniform, so their leading digits are ranges of equal size: no sampling pass is needed.
-    buckets = max(1, min(16 ** 6, sized.count() // BUCKET_ROWS))
+    at_least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(at_least, min(16 ** 6, sized.count() // BUCKET_ROWS))
     bucket = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / F.lit(16 ** 8)).cast("int")
     bucketed = sized.withColumn("bucket", bucket)
     by = ["no_source", "src"]
