@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
-from . import exact_dedup, factorization, language_id, mixing, simhash, toxicity, warc
+from . import decontamination, exact_dedup, factorization, language_id, mixing, ngram_lm, simhash, suffix_dedup, toxicity, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,14 +22,27 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir), width=3, tau=2)
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(_documents(spark, sf_dir), parts=10, fold=0)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.languages_of(_documents(spark, sf_dir))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_documents(spark, sf_dir), length=100)
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), rate=0.1)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_copies(_documents(spark, sf_dir))
 
@@ -49,8 +62,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_language_model": op2_language_model,
     "op3_language_id": op3_language_id,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_mix_sources": op5_mix_sources,
+    "op6_decontaminate": op6_decontaminate,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_warc": op8_warc,
     "op9_quality": op9_quality,
@@ -58,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_suffix_dedup": suffix_dedup.ORACLE,
     "op5_mix_sources": mixing.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op8_warc": warc.ORACLE,

@@ -15,11 +15,10 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_dir
+from .blocks import new_folder, opened
 from .common import written
 
 CHUNK_BYTES = 16 << 20
@@ -28,13 +27,6 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 _INDEX = "page_id long, url string, record_type string, digest string, path string, offset long, length long"
 
 
-def _opened(uri: str) -> tuple[arrow_fs.FileSystem, str]:
-    """File system and path of a URI, as any executor sees it."""
-    if uri.startswith("file:/") and not uri.startswith("file://"):
-        uri = "file://" + uri[len("file:"):]
-    return arrow_fs.FileSystem.from_uri(uri)
-
-
 def record_id(page_id: int | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
 
@@ -77,7 +69,7 @@ def _write(folder: str, date: str):
                     if out is None:
                         # a name of its own for each attempt: only attempts that ended have their rows in the index
                         uri = f"{folder}/{uuid.uuid4().hex}.warc.gz"
-                        system, place = _opened(uri)
+                        system, place = opened(uri)
                         out, path = system.open_output_stream(place, compression=None), uri
                     digest = base64.b32encode(bytes.fromhex(sha)).decode()
                     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
@@ -106,9 +98,7 @@ def write(pages: DataFrame, folder: str | None = None, least_bytes: int = 0, dat
     """
     spark = pages.sparkSession
     if folder is None:
-        folder = scratch_dir(spark, "warc")
-        system, place = _opened(folder)
-        system.create_dir(place, recursive=True)
+        folder = new_folder(spark, "warc")
     html = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         html.alias("html"), F.sha1(html).alias("sha"))
@@ -159,7 +149,7 @@ def _read(with_payload: bool):
                 by_path.setdefault(path, []).append((offset, length))
             for path, places in by_path.items():
                 places.sort()
-                system, place = _opened(path)
+                system, place = opened(path)
                 with system.open_input_file(place) as archive:
                     for start, end, inside in coalesced(places):
                         archive.seek(start)
