@@ -10,8 +10,10 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from vitalog import ExportFiles, HealthStore, SearchParams
+from vitalog import files
 from vitalog.operators import rawxml
-from vitalog.sources import export_xml, landing, markup
+from vitalog.session import checkpoint_root
+from vitalog.sources import landing, markup
 
 
 @contextmanager
@@ -45,9 +47,9 @@ def tree():
     return ET.fromstring(SAMPLE.encode())
 
 
-def test_both_scans_read_the_same_records(spark, export, found):
+def test_the_import_reads_the_records(spark, export, found):
     split = rows(markup.records(found))
-    assert split == rows(export_xml.records_of(export_xml.scan_records(spark, export)))
+    assert split == rows(landing.scan_tables(spark, export)["records"])
     assert len(split) == 3
     by_type = {r[0]: r for r in split}
     steps = by_type["HKQuantityTypeIdentifierStepCount"]
@@ -57,12 +59,10 @@ def test_both_scans_read_the_same_records(spark, export, found):
     assert sleep[8:] == (0.0, "HKCategoryValueSleepAnalysisAsleepDeep")
 
 
-def test_both_scans_link_statistics_to_workouts(spark, export, found):
-    nested = landing.land(export_xml.scan_workouts(spark, export), landing.scratch_dir(spark, "w"))
-    readings = [(markup.workouts(found), markup.stats(found)),
-                (export_xml.workouts_of(nested), export_xml.stats_of(nested))]
+def test_statistics_are_linked_to_workouts(spark, export, found):
+    tables = landing.scan_tables(spark, export)
     seen = []
-    for workouts, stats in readings:
+    for workouts, stats in ((markup.workouts(found), markup.stats(found)), (tables["workouts"], tables["stats"])):
         pairs = workouts.join(stats.withColumnRenamed("type", "stat"), "workout_id", "left")
         seen.append(rows(pairs.select("type", "duration", "stat", "sum", "average", "minimum", "unit")))
     assert seen[0] == seen[1] == [
@@ -135,23 +135,81 @@ def test_cut_in_document_order(spark, export):
     assert rawxml.hit_count(rawxml.search_elements(files.elements, "", 3)).first()[0] == 3
 
 
-@pytest.mark.parametrize("large, layout", [(None, "plain"), (True, "sorted")])
-def test_import(spark, export, tmp_path, large, layout):
+@pytest.mark.parametrize("layout", ["plain", "sorted"])
+def test_import(spark, export, tmp_path, layout):
     target = str(tmp_path / "tables")
-    counts = landing.import_export(spark, export, target, large_files=large, layout=layout)
+    counts = landing.import_export(spark, export, target, layout=layout)
     assert counts == {"records": 3, "workouts": 2, "stats": 2}
-    if not large:
-        landing.import_export(spark, export, target)
+    landing.import_export(spark, export, target, layout=layout)
     store = HealthStore.from_import(spark, target)
     assert {(r.type, r["count"]) for r in store.summary().collect()} == {
         ("HKQuantityTypeIdentifierStepCount", 1), ("HKCategoryTypeIdentifierSleepAnalysis", 1),
         ("HKQuantityTypeIdentifierHeartRate", 1), ("HKWorkoutActivityTypeRunning", 2)}
+    assert store.total().first()[0] == 3 and store.date_range().count() == 3 and store.downsample().count() == 3
     run = "HKWorkoutActivityTypeRunning"
     assert store.search(SearchParams(record_type=run, limit=20)).count() == 2
     assert {r.measure for r in store.statistics(run).collect()} == {"duration", "sum"}
     assert store.trend(run, "month", "2022-01-01T00:00:00+00:00", "2022-12-31T23:59:59+00:00").count() == 4
-    landing.import_export(spark, export, target, mode="append", large_files=large, layout=layout)
-    assert store.from_import(spark, target).records.count() == 6
+    assert store.trend("HKCategoryTypeIdentifierSleepAnalysis", numeric_only=True).count() == 0
+    landing.import_export(spark, export, target, mode="append", layout="plain", absent=None, narrow=True)
+    store = HealthStore.from_import(spark, target)
+    assert store.records.count() == 6 and store.stats.filter("average IS NULL").count() == 1
+
+
+MALFORMED = {
+    "cut short": '<HealthData><Record type="t"/><Workout><WorkoutStatistics sum="1"/>',
+    "wrong closing tag": "<HealthData><Workout></Record></HealthData>",
+    "wrong order": "<HealthData><A><B></A></B></HealthData>",
+    "closed too often": "<HealthData></HealthData></HealthData>",
+    "two roots": "<HealthData></HealthData><HealthData></HealthData>",
+    "unknown reference": '<HealthData><Record type="a &bogus; b"/></HealthData>',
+    "bare ampersand": '<HealthData><Record type="a & b"/></HealthData>',
+    "date": '<HealthData><Record type="t" startDate="soon"/></HealthData>',
+    "date without a zone": '<HealthData><Record type="t" startDate="2022-01-01 00:00:00 "/></HealthData>',
+    "date with two zones": '<HealthData><Record type="t" startDate="2022-01-01 00:00:00 +00:00+0000"/></HealthData>',
+    "number": '<HealthData><Workout><WorkoutStatistics sum="many"/></Workout></HealthData>',
+    "number of the JVM": '<HealthData><Workout><WorkoutStatistics sum="3d"/></Workout></HealthData>',
+}
+
+
+@pytest.mark.parametrize("split", ["100m", "16"])
+@pytest.mark.parametrize("name", MALFORMED)
+def test_malformed_files_fail_and_change_nothing(spark, export, tmp_path, name, split):
+    target, bad = str(tmp_path / "tables"), tmp_path / "bad"
+    bad.mkdir()
+    (bad / "a.xml").write_text(MALFORMED[name])
+    landing.import_export(spark, export, target)
+    before = [rows(landing.Tables(target).read(spark, t)) for t in landing.STORED]
+    for mode in ("overwrite", "append"):
+        with splits_of(spark, split), pytest.raises((PySparkException, ValueError)):
+            landing.import_export(spark, str(bad), target, mode=mode)
+    assert [rows(landing.Tables(target).read(spark, t)) for t in landing.STORED] == before
+    assert len([p for p in (tmp_path / "tables").iterdir() if p.name.startswith("import-")]) == 1
+
+
+@pytest.mark.parametrize("name", [n for n in MALFORMED if not n.startswith(("date", "number"))])
+def test_malformed_files_give_no_documents(spark, tmp_path, name):
+    (tmp_path / "a.xml").write_text(MALFORMED[name])
+    with pytest.raises((PySparkException, ValueError)):
+        ExportFiles(spark, str(tmp_path)).documents().documents.collect()
+
+
+@pytest.mark.parametrize("split", ["100m", "30"])
+def test_records_inside_records_count(spark, tmp_path, split):
+    text = '<HealthData><Record type="a"><Record type="b"><M k="1"/></Record></Record><Record type="c"/></HealthData>'
+    (tmp_path / "a.xml").write_text(text)
+    with splits_of(spark, split):
+        assert sorted(r.type for r in landing.scan_tables(spark, str(tmp_path))["records"].collect()) == ["a", "b", "c"]
+        found = landing.land_elements(spark, str(tmp_path))
+    shown = [r.xml for r in rawxml.as_xml(found, rawxml.search_elements(found, "", 5)).collect()]
+    assert shown == ['<Record type="a"><Record type="b"><M k="1" /></Record></Record>', '<Record type="b"><M k="1" /></Record>',
+                     '<Record type="c" />']
+
+
+def test_an_import_leaves_no_scratch(spark, export, tmp_path):
+    before = set(files.names(spark, f"{checkpoint_root(spark)}/vitalog"))
+    landing.import_export(spark, export, str(tmp_path / "t"), layout="sorted")
+    assert set(files.names(spark, f"{checkpoint_root(spark)}/vitalog")) == before
 
 
 def test_acceptance_scenario_on_the_sample(spark, export, tmp_path):
@@ -165,29 +223,13 @@ def test_acceptance_scenario_on_the_sample(spark, export, tmp_path):
     assert store.search_values(None, "125").count() == 1
 
 
-def test_malformed_dates_and_numbers_fail(spark, tmp_path):
-    bad = tmp_path / "bad"
-    bad.mkdir()
-    (bad / "a.xml").write_text('<HealthData><Record type="t" startDate="soon"/></HealthData>')
-    with pytest.raises(PySparkException, match="malformed date"):
-        export_xml.records_of(export_xml.scan_records(spark, str(bad))).collect()
-    found = landing.land_elements(spark, str(bad))
-    with pytest.raises(PySparkException, match="malformed date"):
-        markup.records(found).collect()
-    (bad / "a.xml").write_text('<HealthData><Workout><WorkoutStatistics sum="many"/></Workout></HealthData>')
-    with pytest.raises(PySparkException):
-        export_xml.stats_of(export_xml.scan_workouts(spark, str(bad))).collect()
-
-
 def test_missing_workout_attributes(spark, tmp_path):
-    folder = tmp_path / "few"
-    folder.mkdir()
-    (folder / "a.xml").write_text("<HealthData><Workout><WorkoutStatistics/></Workout></HealthData>")
-    nested = export_xml.scan_workouts(spark, str(folder))
-    row = export_xml.workouts_of(nested).first()
+    (tmp_path / "a.xml").write_text("<HealthData><Workout><WorkoutStatistics/></Workout></HealthData>")
+    tables = landing.scan_tables(spark, str(tmp_path))
+    row = tables["workouts"].first()
     assert row.duration == 0.0 and row.type is None and row.startDate is None
-    assert export_xml.stats_of(nested, absent=None).first().sum is None
-    assert export_xml.stats_of(nested).first().sum == 0.0
+    assert tables["stats"].first().sum == 0.0
+    assert landing.scan_tables(spark, str(tmp_path), absent=None)["stats"].first().sum is None
 
 
 def test_a_file_of_many_splits(spark, tmp_path):

@@ -6,8 +6,9 @@ from datetime import datetime, timedelta
 import pyarrow.parquet as pq
 import pytest
 from conftest import SAMPLE
+from pyspark.sql import functions as F
 
-from vitalog import HealthStore, schemas
+from vitalog import ExportFiles, HealthStore, schemas
 from vitalog.sinks import tables as sinks
 from vitalog.sources import normalize
 from vitalog.sources.tables import read_parquet, read_table, route_by_schema, table_kind
@@ -41,9 +42,18 @@ def test_sorted_layout_is_in_order_and_splits_a_busy_instant(spark, records, tmp
 def test_folders_by_type_are_pruned(spark, records, tmp_path):
     path = str(tmp_path / "by-type")
     sinks.write_sorted(records, path, by_type=True)
-    one = spark.read.schema(schemas.RECORDS).parquet(path).filter("type = 'type1'")
+    one = sinks.read_by_type(spark, path, schemas.RECORDS).filter("type = 'type1'")
     assert one.count() == 400
-    assert "PartitionFilters: [isnotnull(type" in one._jdf.queryExecution().toString()
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [(CASE WHEN" in plan or "PartitionFilters: [CASE WHEN" in plan or "= type1)" in plan.split("PartitionFilters")[1][:200]
+
+
+def test_type_folders_keep_every_type_as_it_was(spark, records, tmp_path):
+    path, kinds = str(tmp_path / "odd"), ["", "~", "~x", "a/b=c", None, "plain"]
+    odd = spark.createDataFrame([(k,) for k in kinds], "type string").join(records.drop("type").limit(2))
+    sinks.write_sorted(normalize.fit(odd, schemas.RECORDS), path, by_type=True)
+    got = [r.type for r in sinks.read_by_type(spark, path, schemas.RECORDS).collect()]
+    assert sorted(got, key=str) == sorted(kinds * 2, key=str)
 
 
 def test_append_counts_and_doubles(spark, records, tmp_path):
@@ -52,7 +62,13 @@ def test_append_counts_and_doubles(spark, records, tmp_path):
     assert sinks.append(records, path) == 1200
     assert read_parquet(spark, path).count() == 2400
     sinks.append_new(records, path)
+    sinks.append_new(records, path, within="startDate")
     assert read_parquet(spark, path).count() == 2400
+    later = records.filter("value = 7").withColumn("value", F.col("value") + 0.5)
+    sinks.append_new(later.union(later).union(records.limit(5)), path, within="startDate")
+    assert read_parquet(spark, path).count() == 2402
+    spark.read.parquet(path).filter("value <> 7.5").write.parquet(path + "-all")
+    path += "-all"
     assert sinks.delete_all(spark, path, schemas.RECORDS) == 2400
     assert read_parquet(spark, path, schemas.RECORDS).count() == 0
     assert sinks.delete_all(spark, str(tmp_path / "nothing"), schemas.RECORDS) == 0
@@ -116,6 +132,26 @@ def test_new_files_are_imported_once(spark, tmp_path):
     assert linked.count() == 4
 
 
+def test_every_batch_counts_once(spark, tmp_path):
+    source, target, checkpoints = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    (tmp_path / "in").mkdir()
+    for i in range(6):
+        (tmp_path / "in" / f"{i}.xml").write_text(f'<HealthData><Record type="t{i}"/><Workout></Workout></HealthData>')
+    kept = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        got = ExportFiles(spark, source).import_new_to(target, checkpoints, max_files=1)
+    finally:
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", kept)
+    assert got == {"records": 6, "workouts": 6, "stats": 0}
+    store = HealthStore.from_import(spark, target)
+    assert store.records.count() == 6 and store.workouts.count() == 6
+    # a batch that is run again adds nothing
+    from vitalog.sources.landing import import_export
+    assert import_export(spark, f"{source}/0.xml", target, mode="append", name="batch-000000000000")["records"] == 1
+    assert HealthStore.from_import(spark, target).records.count() == 6
+
+
 def test_samples_of_new_files_add_up(spark, tmp_path):
     source, target, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
     (tmp_path / "in").mkdir()

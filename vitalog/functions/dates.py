@@ -14,9 +14,13 @@ _ISO_WALL_FORMAT = "yyyy-MM-dd'T'HH:mm:ss"
 _WALL_FORMAT = "yyyy-M-d H:m:s"
 
 
+# The format makes both zones optional; exactly one must be there.
+_ONE_ZONE = r"^\S+ \S+ (?:Z|[+-][0-9]{2}:?[0-9]{2})$"
+
+
 def parse_date(text: Column) -> Column:
     """The instant a text names, NULL when it is malformed."""
-    return F.try_to_timestamp(text, F.lit(EXPORT_DATE_FORMAT))
+    return F.when(text.rlike(_ONE_ZONE), F.try_to_timestamp(text, F.lit(EXPORT_DATE_FORMAT)))
 
 
 def parse_date_strict(text: Column) -> Column:

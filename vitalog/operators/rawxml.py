@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import attribute_contains
 from ..session import checkpointed
-from ..sources.markup import POSITION, attributes, start_tags, with_owner
-from .sized_join import if_small, join_group_rows
+from ..sources.markup import NAMED, POSITION, SEARCHED, attributes, start_tags, with_names
+from .sized_join import if_small
 
-SEARCHED = ("Record", "Workout")
+
+def _named(found: DataFrame) -> DataFrame:
+    """Elements with the names that questions ask for; landed elements have them already."""
+    return found if set(NAMED.values()) <= set(found.columns) else with_names(found)
 
 
 def structure(found: DataFrame) -> DataFrame:
@@ -18,18 +21,16 @@ def structure(found: DataFrame) -> DataFrame:
 
     One pass over the elements; the four sets come out of their distinct combinations.
     """
-    attrs, tag = F.col("attrs"), F.col("tag")
+    tag = F.col("tag")
 
     def entry(kind: str, name: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), F.nullif(name, F.lit("")).alias("name"))
 
-    # Attributes are only taken apart where one of them is asked for, and each combination of
-    # names goes on once.
-    asked = F.when(tag.isin(*SEARCHED), attributes(F.col("inside"), tag))
+    # Each combination of names goes on once.
     combinations = (
-        found.filter(F.col("kind") != "close").select("tag", asked.alias("attrs"))
-        .select("tag", attrs["type"].alias("type"), attrs["sourceName"].alias("source"),
-                attrs["workoutActivityType"].alias("activity"))
+        _named(found).filter(F.col("kind") != "close")
+        .select("tag", F.col("name_type").alias("type"), F.col("name_source").alias("source"),
+                F.col("name_activity").alias("activity"))
         .distinct()
     )
     pairs = combinations.select(F.inline(F.array(
@@ -77,8 +78,8 @@ def search_elements(found: DataFrame, query: str = "", max_results: int = 50) ->
 
 def elements_by_type(found: DataFrame, record_type: str = "", limit: int = 20) -> DataFrame:
     """Records of exactly one type."""
-    likely = found.filter((F.col("tag") == "Record") & _may_hold(F.col("inside"), record_type))
-    return _first(start_tags(likely), F.col("attrs")["type"] == F.lit(record_type), limit)
+    of_type = (F.col("tag") == "Record") & (F.col("name_type") == F.lit(record_type))
+    return start_tags(_first(_named(found), of_type & (F.col("kind") != "close"), limit))
 
 
 def escaped(text: Column) -> Column:
@@ -98,31 +99,45 @@ def tag_text(tag: Column, attrs: Column, kind: Column) -> Column:
         F.concat(F.lit("<"), tag, written, F.when(kind == "empty", " />").otherwise(">")))
 
 
+def _after(ordinal: str, block: str, hit: str) -> Column:
+    """Whether a tag stands behind the place of a hit in its file."""
+    return (F.col(block) > F.col(f"{hit}.block")) | (
+        (F.col(block) == F.col(f"{hit}.block")) & (F.col(ordinal) > F.col(f"{hit}.ordinal")))
+
+
 def as_xml(found: DataFrame, hits: DataFrame) -> DataFrame:
     """The hits as complete XML elements with everything inside them, in document order.
 
-    ``hits`` must come from a ``limit``; it is computed when this is called, so that only the
-    files with hits are looked at again. Which tags lie inside them is worked out on positions
-    alone, and only the tags that are shown are read with their text.
+    ``hits`` must come from a ``limit``; it is computed when this is called. A hit that opens ends at the next closing tag of its
+    own depth, which is looked up on positions alone; then the tags from its begin to its end are read. The hits are few, so both
+    are joins with a broadcast side and no text is moved but what is shown. A hit inside another is shown in it and by itself.
     """
-    hits = checkpointed(hits.select(*POSITION, "kind"))
-    tag = F.col("tag")
-    whole = tag.isin(*SEARCHED) & (F.col("kind") == "empty")
-    as_owner = [F.col("block").alias("owner_block"), F.col("ordinal").alias("owner_ordinal")]
-    opened, alone = hits.filter(F.col("kind") == "open"), hits.filter(F.col("kind") == "empty")
-    files = checkpointed(opened.select("file").distinct())
-    candidates = (found.filter(~whole).select(*POSITION, "file_id", "kind", "tag", "depth")
-                  .join(if_small(files) or files, "file", "left_semi"))
-    inside = (
-        with_owner(candidates, SEARCHED).select(*POSITION, "owner_block", "owner_ordinal")
-        .join(opened.select("file", *as_owner), ["file", "owner_block", "owner_ordinal"])
+    hits = checkpointed(hits.select(*POSITION, "kind", "depth"))
+    opened = hits.filter(F.col("kind") == "open")
+    closing = found.filter(F.col("kind") == "close").select("file", "depth", F.col("block").alias("end_block"), F.col("ordinal").alias("end_ordinal"))
+    few = if_small(opened) or opened
+    ends = (
+        closing.alias("c").join(few.alias("h"), (F.col("c.file") == F.col("h.file")) & (F.col("c.depth") == F.col("h.depth"))
+                                & _after("c.end_ordinal", "c.end_block", "h"))
+        .groupBy("h.file", "h.block", "h.ordinal").agg(F.min(F.struct("end_block", "end_ordinal")).alias("end"))
     )
-    shown = inside.unionByName(alone.select(*POSITION, *as_owner))
-    parts = (join_group_rows(found, shown, POSITION)
-             .withColumn("xml", tag_text(tag, attributes(F.col("inside"), tag), F.col("kind"))))
-    pieces = F.sort_array(F.collect_list(F.struct("block", "ordinal", "xml")))
+    ranges = checkpointed(ends.select("file", "block", "ordinal", "end.end_block", "end.end_ordinal").unionByName(
+        hits.filter(F.col("kind") == "empty").select(
+            "file", "block", "ordinal", F.col("block").alias("end_block"), F.col("ordinal").alias("end_ordinal"))))
+    tag = F.col("t.tag")
+    at = (F.col("t.block") == F.col("h.block")) & (F.col("t.ordinal") == F.col("h.ordinal"))
+    until = (F.col("t.block") < F.col("h.end_block")) | (
+        (F.col("t.block") == F.col("h.end_block")) & (F.col("t.ordinal") <= F.col("h.end_ordinal")))
+    shown = found.select("file", "block", "ordinal", "kind", "tag", "inside").alias("t").join(
+        (if_small(ranges) or ranges).alias("h"),
+        (F.col("t.file") == F.col("h.file")) & (at | _after("t.ordinal", "t.block", "h")) & until)
+    parts = shown.select(
+        F.col("h.file").alias("file"), F.col("h.block").alias("hit_block"), F.col("h.ordinal").alias("hit_ordinal"),
+        F.struct(F.col("t.block").alias("block"), F.col("t.ordinal").alias("ordinal"),
+                 tag_text(tag, attributes(F.col("t.inside"), tag), F.col("t.kind")).alias("xml")).alias("piece"))
+    pieces = F.sort_array(F.collect_list("piece"))
     return (
-        parts.groupBy("file", F.col("owner_block").alias("block"), F.col("owner_ordinal").alias("ordinal"))
+        parts.groupBy("file", F.col("hit_block").alias("block"), F.col("hit_ordinal").alias("ordinal"))
         .agg(F.array_join(F.transform(pieces, lambda p: p["xml"]), "").alias("xml"))
         .orderBy(*POSITION)
     )

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import bucket
-from ..functions.measures import exact_total, from_units
+from ..functions.measures import exact_total, from_units, other_values, with_others
 from ..params import SearchParams
 from .filters import of_type, stat_conditions, workout_conditions
 from .ordering import newest_first
@@ -31,6 +31,7 @@ def _partials(measure: str, prefix: str, scale: int | None) -> list[Column]:
         F.count(F.lit(1)).alias(f"{prefix}_rows"),
         F.count(value).alias(f"{prefix}_values"),
         exact_total(value, scale).alias(f"{prefix}_total"),
+        F.sum(other_values(value, scale)).alias(f"{prefix}_others"),
         F.min(value).alias(f"{prefix}_min"),
         F.max(value).alias(f"{prefix}_max"),
     ]
@@ -63,6 +64,7 @@ def _measure_rows(paired: DataFrame, duration_unit: Column, scale: int | None) -
             pairs.alias("pairs"),
             (F.col(f"{own}_values") * F.col(f"{other}_rows")).alias("values"),
             _weighted(f"{own}_total", f"{other}_rows", scale).cast(kind).alias("total"),
+            (F.col(f"{own}_others") * F.col(f"{other}_rows")).alias("others"),
             F.col(f"{own}_min").alias("low"),
             F.col(f"{own}_max").alias("high"),
         )
@@ -72,7 +74,7 @@ def _measure_rows(paired: DataFrame, duration_unit: Column, scale: int | None) -
 
 
 def _final(rows: DataFrame, keys: list[str], scale: int | None) -> DataFrame:
-    total = from_units(F.sum("m.total"), scale)
+    total = with_others(from_units(F.sum("m.total"), scale), F.sum("m.others"))
     return (
         rows.withColumn("measure", F.col("m.measure")).withColumn("unit", F.col("m.unit"))
         .groupBy(*keys, "measure", "unit")
@@ -127,7 +129,7 @@ def workout_stat_pairs(workouts: DataFrame, stats: DataFrame) -> DataFrame:
     """The pairing by start time, with equal pairs folded into one row and counted.
 
     One row per instant, workout (type, source, unit) and statistic (type, unit) with the number
-    of pairs it stands for and the totals of both measures, so its size follows the groups at an
+    of pairs it stands for and the range of both measures, so its size follows the groups at an
     instant and not the product of the rows there.
     """
     w = workouts.groupBy("startDate", "type", "sourceName", "durationUnit").agg(
@@ -159,39 +161,39 @@ def keyed_pairs(workouts: DataFrame, stats: DataFrame) -> DataFrame:
 def stats_workout_keyed(workouts: DataFrame, stats: DataFrame, record_type: str | None = None,
                         scale: int | None = None) -> DataFrame:
     """As :func:`stats_workout`, paired by ``workout_id``."""
-    s = _keyed_stat_partials(stats, scale)
-    w = of_type(workouts, record_type).select(
-        "workout_id", "type", "durationUnit", *_one_workout(scale))
-    rows = _measure_rows(w.join(s, "workout_id"), F.col("durationUnit"), scale)
-    return _final(rows, ["type", "stat_type"], scale)
+    w = of_type(workouts, record_type).select("workout_id", "type", "durationUnit", "duration")
+    return _keyed(w, stats, ["type", "durationUnit"], ["type", "stat_type"], scale)
 
 
 def trend_workout_keyed(workouts: DataFrame, stats: DataFrame, record_type: str | None = None,
                         interval: str = "month", date_from=None, date_to=None,
                         scale: int | None = None, tz: str | None = None) -> DataFrame:
     """As :func:`trend_workout`, paired by ``workout_id`` and split by statistic type."""
-    s = _keyed_stat_partials(stats, scale)
     w = of_type(workouts, record_type, date_from, date_to).select(
-        "workout_id", "type", "sourceName", "durationUnit",
-        bucket(F.col("startDate"), interval, tz).alias("interval"), *_one_workout(scale))
-    rows = _measure_rows(w.join(s, "workout_id"), F.col("durationUnit"), scale)
-    return _final(rows, ["interval", "type", "sourceName", "stat_type"], scale).orderBy("interval")
+        "workout_id", "type", "sourceName", "durationUnit", "duration",
+        bucket(F.col("startDate"), interval, tz).alias("interval"))
+    keys = ["interval", "type", "sourceName"]
+    return _keyed(w, stats, [*keys, "durationUnit"], [*keys, "stat_type"], scale).orderBy("interval")
+
 
+def _keyed(wanted: DataFrame, stats: DataFrame, workout_keys: list[str], keys: list[str], scale: int | None) -> DataFrame:
+    """Aggregates over the pairs of the wanted workouts with their own statistics.
 
-def _keyed_stat_partials(stats: DataFrame, scale: int | None) -> DataFrame:
-    return (stats.withColumnRenamed("type", "stat_type").withColumnRenamed("unit", "stat_unit")
-            .groupBy("workout_id", "stat_type", "stat_unit").agg(*_partials("sum", "s", scale)))
+    The join comes first: only statistics of wanted workouts go on, and every pair is one of their rows, so nothing is
+    multiplied. Two partial aggregations by group follow, whose rows are few.
+    """
+    side = stats.select("workout_id", F.col("type").alias("stat_type"), F.col("unit").alias("stat_unit"), "sum")
+    pairs = wanted.join(side, "workout_id").groupBy(*workout_keys, "stat_type", "stat_unit").agg(
+        *_partials("duration", "w", scale), *_partials("sum", "s", scale))
+    kind = "double" if scale is None else "decimal(38,0)"
 
+    def entry(measure: str, unit: str, own: str) -> Column:
+        return F.struct(F.lit(measure).alias("measure"), F.col(unit).alias("unit"), F.col(f"{own}_rows").alias("pairs"),
+                        F.col(f"{own}_values").alias("values"), F.col(f"{own}_total").cast(kind).alias("total"),
+                        F.col(f"{own}_others").alias("others"), F.col(f"{own}_min").alias("low"), F.col(f"{own}_max").alias("high"))
 
-def _one_workout(scale: int | None) -> list[Column]:
-    """A single workout in the shape of the partial aggregates."""
-    value = F.col("duration")
-    units = value if scale is None else F.rint(value * F.lit(float(10 ** scale))).cast("bigint")
-    return [
-        F.lit(1).cast("bigint").alias("w_rows"),
-        value.isNotNull().cast("bigint").alias("w_values"),
-        units.alias("w_total"), value.alias("w_min"), value.alias("w_max"),
-    ]
+    both = F.array(entry("duration", "durationUnit", "w"), entry("sum", "stat_unit", "s"))
+    return _final(pairs.withColumn("m", F.explode(both)), keys, scale)
 
 
 def search_workouts(workouts: DataFrame, stats: DataFrame, params: SearchParams) -> DataFrame:

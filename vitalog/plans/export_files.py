@@ -61,6 +61,8 @@ def record_lines(events: DataFrame) -> DataFrame:
     text = (
         F.when(kind == "purchase", F.concat(_element("Correlation", ("type", kind), end=">"), plain,
                                             F.lit("</Correlation>")))
+        .when(kind == "click", F.concat(_element("Record", *attributes, end=">"), _element(
+            "Record", *[(n, F.lit("inner") if n == "type" else c) for n, c in attributes]), F.lit("</Record>")))
         .when(kind == "view", F.concat(_element("Record", *attributes, end=">\n "),
                                        F.lit('<MetadataEntry key="k" value="v"/>\n</Record>')))
         .otherwise(plain)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -13,8 +16,8 @@ from ..params import WORKOUT_PREFIX
 from ..session import scratch_dir
 from ..sinks import tables as sinks
 from ..sources import export_xml, markup, normalize
-from ..sources.landing import Tables, import_export
-from ..sources.tables import read_parquet, route_by_schema
+from ..sources.landing import Tables, import_export, scan_tables
+from ..sources.tables import read_parquet, read_table, route_by_schema
 from ..streaming import ingest, samples
 from . import sql
 from .export_files import export_elements, export_path, raw_event_attributes
@@ -41,6 +44,8 @@ RECORDS = f"""SELECT event_type AS type,
   CASE WHEN event_type <> 'error' THEN 'count' ELSE '' END AS unit,
   CASE WHEN event_type IN ('error', 'signup') THEN 0.0 ELSE value END AS value,
   {VALUE_TEXT} AS "textValue" FROM events"""
+# A click holds another record, of the same attributes but the type.
+RECORDS = f"""{RECORDS} UNION ALL SELECT * REPLACE ('inner' AS type) FROM ({RECORDS}) WHERE type = 'click'"""
 DURATION = """CASE WHEN o_orderpriority = '4-NOT SPECIFIED' OR o_orderstatus = 'P' THEN 0.0
   ELSE o_totalprice END"""
 WORKOUTS = f"""SELECT 'HKWorkout' || o_orderpriority AS type, {DURATION} AS duration,
@@ -61,30 +66,19 @@ def _events(spark, sf_dir):
 
 # --- XML scans -----------------------------------------------------------------------------
 query("ingest_records",
-      lambda s, d: export_xml.records_of(export_xml.scan_records(s, export_path(s, d))), RECORDS)
+      lambda s, d: scan_tables(s, export_path(s, d))["records"], RECORDS)
 query("ingest_records_split", lambda s, d: markup.records(export_elements(s, d)), RECORDS)
-
-
-def _landed_workouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_dir(spark, "workouts-landing")
-    sinks.write_parquet(export_xml.scan_workouts(spark, export_path(spark, sf_dir)), path)
-    return spark.read.parquet(path)
-
-
 query("ingest_workouts",
-      lambda s, d: export_xml.workouts_of(
-          export_xml.scan_workouts(s, export_path(s, d))).drop("workout_id"), WORKOUTS)
+      lambda s, d: scan_tables(s, export_path(s, d))["workouts"].drop("workout_id"), WORKOUTS)
 query("ingest_stats",
-      lambda s, d: export_xml.stats_of(
-          export_xml.scan_workouts(s, export_path(s, d))).drop("workout_id"), STATS_TYPED)
+      lambda s, d: scan_tables(s, export_path(s, d))["stats"].drop("workout_id"), STATS_TYPED)
 query("ingest_stats_split", lambda s, d: markup.stats(export_elements(s, d)).drop("workout_id"), STATS_TYPED)
 
 
 def _linked(spark, sf_dir):
     """How the statistics hang on the workouts they were written in."""
-    nested = _landed_workouts(spark, sf_dir)
-    return workout_ops.stats_workout_keyed(export_xml.workouts_of(nested), export_xml.stats_of(nested),
-                                           scale=SCALE)
+    found = scan_tables(spark, export_path(spark, sf_dir))
+    return workout_ops.stats_workout_keyed(found["workouts"], found["stats"], scale=SCALE)
 
 
 LINKED = sql.with_views(
@@ -131,12 +125,13 @@ query("xml_structure", lambda s, d: rawxml.structure(export_elements(s, d)), """
   UNION SELECT 'root_elements', 'WorkoutStatistics' FROM lineitem
         WHERE l_orderkey IN (SELECT o_orderkey FROM orders)
   UNION SELECT 'record_types', event_type FROM events
+  UNION SELECT 'record_types', 'inner' FROM events WHERE event_type = 'click'
   UNION SELECT 'workout_types', 'HKWorkout' || o_orderpriority FROM orders
   UNION SELECT 'sources', 'user_' || CAST(user_id % 10 AS VARCHAR) FROM events""")
 query("xml_file_size", lambda s, d: export_xml.file_size_mb(s, export_path(s, d)), None)
 query("xml_tag_counts",
       lambda s, d: rawxml.tag_counts(export_elements(s, d), ("Record", "Workout", "WorkoutStatistics")),
-      """SELECT 'Record' AS tag, COUNT(*) AS "count" FROM events
+      f"""SELECT 'Record' AS tag, COUNT(*) AS "count" FROM ({RECORDS})
       UNION ALL SELECT 'Workout', COUNT(*) FROM orders
       UNION ALL SELECT 'WorkoutStatistics', COUNT(*) FROM lineitem
       WHERE l_orderkey IN (SELECT o_orderkey FROM orders)""")
@@ -158,7 +153,7 @@ def sql_attribute(name: str, value: str) -> str:
 
 STAMP = "strftime(ts, '%Y-%m-%d %H:%M:%S') || ' -0400'"
 RECORD_XML = " || ".join([
-    "'<Record'", sql_attribute("type", "event_type"),
+    "'<Record'", sql_attribute("type", "shown_type"),
     sql_attribute("sourceName", "'user_' || CAST(user_id % 10 AS VARCHAR)"),
     sql_attribute("sourceVersion", "CASE WHEN event_type = 'click' THEN '9.1' END"),
     sql_attribute("device", "CASE WHEN user_id % 3 = 0 THEN '<<HKDevice>, name:Watch>' END"),
@@ -166,8 +161,14 @@ RECORD_XML = " || ".join([
     *[sql_attribute(n, STAMP) for n in ("creationDate", "startDate", "endDate")],
     sql_attribute("value", """CASE WHEN event_type = 'error' THEN props
       WHEN event_type <> 'signup' THEN CAST(value AS VARCHAR) END"""),
-    """CASE WHEN event_type = 'view' THEN '><MetadataEntry key="k" value="v" /></Record>' ELSE ' />' END"""])
-IN_FILE = "ORDER BY event_id"  # files are cut by ranges of the key
+    """CASE WHEN shown_type = 'view' THEN '><MetadataEntry key="k" value="v" /></Record>' ELSE ' />' END"""])
+# Records in the order they are written, a click before the record it holds.
+SHOWN = f"""(SELECT event_id, user_id, shown_type, nested, CASE WHEN shown_type = 'click'
+    THEN substr(xml, 1, length(xml) - 3) || '>' || replace(xml, 'type="click"', 'type="inner"') || '</Record>' ELSE xml END AS xml
+  FROM (SELECT event_id, user_id, shown_type, nested, {RECORD_XML} AS xml FROM (
+    SELECT *, event_type AS shown_type, 0 AS nested FROM events
+    UNION ALL SELECT *, 'inner', 1 FROM events WHERE event_type = 'click')))"""
+IN_FILE = "ORDER BY event_id, nested"  # files are cut by ranges of the key
 
 
 def _as_xml(search):
@@ -178,9 +179,11 @@ def _as_xml(search):
 
 
 query("xml_search", _as_xml(lambda e: rawxml.search_elements(e, "USER_3", 50)),
-      f"""SELECT {RECORD_XML} AS xml FROM events WHERE user_id % 10 = 3 {IN_FILE} LIMIT 50""")
+      f"""SELECT xml FROM {SHOWN} WHERE user_id % 10 = 3 {IN_FILE} LIMIT 50""")
 query("xml_by_type", _as_xml(lambda e: rawxml.elements_by_type(e, "error", 20)),
-      f"""SELECT {RECORD_XML} AS xml FROM events WHERE event_type = 'error' {IN_FILE} LIMIT 20""")
+      f"""SELECT xml FROM {SHOWN} WHERE shown_type = 'error' {IN_FILE} LIMIT 20""")
+query("xml_nested", _as_xml(lambda e: rawxml.elements_by_type(e, "click", 30)),
+      f"""SELECT xml FROM {SHOWN} WHERE shown_type = 'click' {IN_FILE} LIMIT 30""")
 query("xml_search_hits",
       lambda s, d: rawxml.hit_count(rawxml.search_elements(export_elements(s, d), "hkworkout5")),
       """SELECT COUNT(*) AS hits FROM (SELECT * FROM orders WHERE o_orderpriority LIKE '5%' LIMIT 50)""")
@@ -313,7 +316,7 @@ def _import_counts(spark, sf_dir):
 
 
 query("ingest_counts", _import_counts,
-      """SELECT 'records' AS "table", COUNT(*) AS "rows" FROM events
+      f"""SELECT 'records' AS "table", COUNT(*) AS "rows" FROM ({RECORDS})
       UNION ALL SELECT 'workouts', COUNT(*) FROM orders
       UNION ALL SELECT 'stats', COUNT(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)""")
 
@@ -321,14 +324,32 @@ query("ingest_counts", _import_counts,
 def _import_twice(spark, sf_dir):
     """A repeated import replaces the tables."""
     target = Tables(scratch_dir(spark, "import"))
-    for large_files in (False, True):
-        import_export(spark, export_path(spark, sf_dir), target.root, large_files=large_files)
+    for layout in ("sorted", "plain"):
+        import_export(spark, export_path(spark, sf_dir), target.root, layout=layout)
     return target.read(spark, "records")
 
 
 query("ingest_repeated", _import_twice, RECORDS)
 
 
+def _failed_import(spark, sf_dir):
+    """An import that fails half way leaves the tables of the one before."""
+    target = Tables(scratch_dir(spark, "import"))
+    import_export(spark, export_path(spark, sf_dir), target.root)
+    bad = scratch_dir(spark, "malformed")
+    cut_short = table(spark, sf_dir, "events", EVENTS).select(
+        F.concat(F.lit('<HealthData><Record type="'), F.col("event_type"), F.lit('" startDate="soon"/>')).alias("text"))
+    cut_short.write.text(bad)
+    try:
+        import_export(spark, bad, target.root)
+    except (ValueError, PySparkException):
+        return target.read(spark, "records")
+    raise AssertionError("a malformed export was imported")
+
+
+query("ingest_failed_import", _failed_import, RECORDS)
+
+
 def _append(spark, sf_dir):
     path = scratch_dir(spark, "append")
     for df in (event_records(spark, sf_dir), order_records(spark, sf_dir)):
@@ -345,10 +366,11 @@ query("ingest_append", _append,
 
 
 def _append_new(spark, sf_dir):
-    """Appending what is stored already adds nothing."""
+    """What is stored already is not added again; the rest is."""
     path = scratch_dir(spark, "append-new")
     rows = order_records(spark, sf_dir)
-    sinks.append(rows, path)
+    sinks.append(rows.filter("sourceName = 'F'"), path)
+    sinks.append_new(rows, path, within="startDate")
     sinks.append_new(rows, path)
     return read_parquet(spark, path, rows.schema)
 
@@ -371,11 +393,13 @@ query("roundtrip_parquet", _roundtrip, EVENT_ROWS)
 def _sorted_layout(spark, sf_dir):
     path = scratch_dir(spark, "sorted")
     rows = event_records(spark, sf_dir)
-    sinks.write_sorted(rows, path, by_type=True)
-    return spark.read.schema(rows.schema).parquet(path)
+    emptied = rows.withColumn("type", F.when(F.col("type") == "error", "").otherwise(F.col("type")))
+    sinks.write_sorted(emptied, path, by_type=True)
+    return sinks.read_by_type(spark, path, rows.schema)
 
 
-query("sorted_layout", _sorted_layout, EVENT_ROWS)
+query("sorted_layout", _sorted_layout, sql.with_views(sql.EVENT_RECORDS) + """
+  SELECT * REPLACE (CASE WHEN type = 'error' THEN '' ELSE type END AS type) FROM records""")
 
 
 def _compact(spark, sf_dir):
@@ -423,6 +447,59 @@ def _samples(spark, sf_dir):
     return samples.read_samples(spark, f"{base}/target", SCALE)
 
 
+def _incremental_counts(spark, sf_dir):
+    """Rows a run reports, added up over its micro-batches of one file each."""
+    base = scratch_dir(spark, "incremental")
+    counts = ingest.import_new_files(spark, export_path(spark, sf_dir), f"{base}/target", f"{base}/checkpoints", max_files=1)
+    return spark.createDataFrame(sorted(counts.items()), "`table` string, `rows` bigint")
+
+
+query("ingest_incremental_counts", _incremental_counts, ORACLES["ingest_counts"])
+
+
+def _catalog(spark, sf_dir):
+    """Catalog tables created, filled twice, emptied and filled again."""
+    database = f"vitalog_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{scratch_dir(spark, 'catalog')}'")
+    try:
+        sinks.create_tables(spark, database)
+        rows = _as_table(event_records(spark, sf_dir), schemas.RECORDS)
+        sinks.append_to_table(rows, f"{database}.records")
+        sinks.truncate_table(spark, f"{database}.records")
+        sinks.append_to_table(rows, f"{database}.records")
+        kept = scratch_dir(spark, "from-catalog")
+        sinks.write_parquet(read_table(spark, f"{database}.records"), kept)
+    finally:
+        spark.sql(f"DROP DATABASE {database} CASCADE")
+    return read_parquet(spark, kept, schemas.RECORDS).select("type", "sourceName", "startDate", "unit", "value", "textValue")
+
+
+query("catalog_tables", _catalog, sql.with_views(sql.EVENT_RECORDS) + """
+  SELECT type, "sourceName", "startDate", unit, value, "textValue" FROM records""")
+
+
+def _stored_documents(spark, sf_dir):
+    """Documents appended to a store and read back."""
+    path = scratch_dir(spark, "documents")
+    sinks.write_documents(markup.documents(export_elements(spark, sf_dir)), path)
+    return spark.read.parquet(path).select(*DOC_COLUMNS, F.size("attrs").alias("n_attrs"))
+
+
+query("stored_documents", _stored_documents, ORACLES["ingest_documents"])
+
+
+def _delete_all(spark, sf_dir):
+    """How many rows emptying a table removed, and how many are left."""
+    path = scratch_dir(spark, "emptied")
+    rows = event_records(spark, sf_dir)
+    sinks.write_parquet(rows, path)
+    removed = sinks.delete_all(spark, path, rows.schema)
+    left = read_parquet(spark, path, rows.schema).count()
+    return spark.createDataFrame([(removed, left)], "removed bigint, remaining bigint")
+
+
+query("delete_all", _delete_all, 'SELECT COUNT(*) AS removed, CAST(0 AS BIGINT) AS remaining FROM events')
+
 query("ingest_samples", _samples, f"""
   SELECT type, "sourceName", unit, CAST(date_trunc('week', "startDate") AS TIMESTAMP) AS "startDate",
   {sql.mean("value")} AS value, MIN(value) AS min_value, MAX(value) AS max_value, COUNT(value) AS n_values

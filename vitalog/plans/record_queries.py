@@ -134,14 +134,14 @@ def gap_sql(views: str, interval: str, step: str, where: str = "TRUE") -> str:
 
 
 query("trend_gapfilled", order_records,
-      lambda r: trend.trend_gapfilled(r.filter("sourceName = 'F'"), None, "day", scale=SCALE),
-      gap_sql(ORDERS, "day", "INTERVAL 1 DAY", "\"sourceName\" = 'F'"))
+      lambda r: trend.trend_gapfilled(r, None, "day", scale=SCALE),
+      gap_sql(ORDERS, "day", "INTERVAL 1 DAY"))
 query("trend_gapfilled_week", order_records,
-      lambda r: trend.trend_gapfilled(r.filter("value < 20000"), None, "week", scale=SCALE),
-      gap_sql(ORDERS, "week", "INTERVAL 7 DAY", "value < 20000"))
+      lambda r: trend.trend_gapfilled(r, "3-MEDIUM", "week", "1996-02-10T00:00:00+00:00", scale=SCALE),
+      gap_sql(ORDERS, "week", "INTERVAL 7 DAY", "type = '3-MEDIUM' AND \"startDate\" >= TIMESTAMP '1996-02-10'"))
 query("trend_gapfilled_month", order_records,
-      lambda r: trend.trend_gapfilled(r.filter("value < 3000"), None, "month", scale=SCALE),
-      gap_sql(ORDERS, "month", "INTERVAL 1 MONTH", "value < 3000"))
+      lambda r: trend.trend_gapfilled(r, None, "month", scale=SCALE),
+      gap_sql(ORDERS, "month", "INTERVAL 1 MONTH"))
 
 # --- insights ------------------------------------------------------------------------------
 query("extreme_records", event_records, search.extreme_records,
@@ -164,14 +164,7 @@ query("downsample", event_records, lambda r: insights.downsample(r, "day", SCALE
       FROM records GROUP BY type, "sourceName", unit, date_trunc('day', "startDate")""")
 query("outliers", event_records,
       lambda r: insights.outliers(r, 3.0, scale=SCALE).select("record_id", "type", "value", "startDate"),
-      EVENTS + """, sums AS (
-        SELECT type, CAST(COUNT(value) AS DOUBLE) AS n,
-               CAST(SUM(CAST(CAST(value AS DECIMAL(18,2)) * 100 AS HUGEINT)) AS DOUBLE) AS s1,
-               CAST(SUM(CAST(CAST(value AS DECIMAL(18,2)) * 100 AS HUGEINT)
-                        * CAST(CAST(value AS DECIMAL(18,2)) * 100 AS HUGEINT)) AS DOUBLE) AS s2
-        FROM records GROUP BY type),
-      moments AS (
-        SELECT type, s1 / n / 100.0 AS m, SQRT((s2 - s1 * s1 / n) / NULLIF(n - 1, 0)) / 100.0 AS sd
-        FROM sums)
+      EVENTS + """, moments AS (
+        SELECT type, AVG(value) AS m, STDDEV_SAMP(value) AS sd FROM records GROUP BY type)
       SELECT record_id, r.type, value, "startDate" FROM records r JOIN moments USING (type)
       WHERE sd > 0 AND ABS((value - m) / sd) > 3.0""")

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
+from . import files
+
 # Runtime SQL settings every query is written against: timestamps mean UTC, bad casts are
 # errors instead of silent NULLs, and joins/aggregations are re-planned from runtime sizes.
 SQL_SETTINGS = {
@@ -41,19 +45,42 @@ def local_session(app: str = "vitalog", cpus: str | int = "*", partitions: int =
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a private one only where none is set (tests)."""
+    """The shared folder named by the cluster; a private one only in local mode, where none may be set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
+    master = spark.sparkContext.master
+    if not root and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="vitalog-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
-def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A new, unused path under the shared folder for one intermediate table."""
-    return f"{checkpoint_root(spark)}/vitalog/{label}-{uuid.uuid4().hex}"
+_OPEN_SCRATCH: list[list[str]] = []
+
+
+def scratch_dir(spark: SparkSession, label: str, kept: bool = False) -> str:
+    """A new, unused path under the shared folder for one intermediate table.
+
+    Inside :func:`scratch` it is removed when that ends, unless it is ``kept``.
+    """
+    path = f"{checkpoint_root(spark)}/vitalog/{label}-{uuid.uuid4().hex}"
+    if _OPEN_SCRATCH and not kept:
+        _OPEN_SCRATCH[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the intermediate tables that were named inside, also when the work fails."""
+    _OPEN_SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN_SCRATCH.pop():
+            files.delete(spark, path)
 
 
 def checkpointed(df):

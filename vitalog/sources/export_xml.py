@@ -1,69 +1,9 @@
-"""The export through Spark's XML reader: one scan per element name, parallel over files.
-
-Elements are found at any depth. Schemas are given, never inferred, and malformed XML fails the
-job. A single file is read by one task; :mod:`vitalog.sources.markup` splits large files.
-"""
+"""The export files as files."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from .. import schemas
-from . import normalize
-
-PREFIX = "_"
-_OPTIONS = {"attributePrefix": PREFIX, "mode": "FAILFAST", "ignoreSurroundingSpaces": "false",
-            "recursiveFileLookup": "true"}
-
-
-def _read(spark: SparkSession, path: str, tag: str, schema: T.StructType, stream: bool,
-          max_files: int | None) -> DataFrame:
-    reader = spark.readStream if stream else spark.read
-    reader = reader.format("xml").options(rowTag=tag, **_OPTIONS).schema(schema)
-    if stream and max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.load(path)
-
-
-def _attributes(df: DataFrame, names: tuple[str, ...], at: str = "") -> list:
-    return [F.col(f"{at}{PREFIX}{n}").alias(n) for n in names]
-
-
-def scan_records(spark: SparkSession, path: str, stream: bool = False,
-                 max_files: int | None = None) -> DataFrame:
-    """``Record`` elements at any depth, attributes as text."""
-    raw = _read(spark, path, "Record", schemas.RAW_RECORD, stream, max_files)
-    return raw.select(*_attributes(raw, schemas.RECORD_ATTRIBUTES))
-
-
-def scan_workouts(spark: SparkSession, path: str, stream: bool = False,
-                  max_files: int | None = None) -> DataFrame:
-    """``Workout`` elements with the statistics written directly inside them.
-
-    ``workout_id`` is drawn per scan. Write the result once and derive both tables from what was
-    written, so that they agree on it.
-    """
-    raw = _read(spark, path, "Workout", schemas.RAW_WORKOUT, stream, max_files)
-    return raw.select(F.expr("uuid()").alias("workout_id"),
-                      *_attributes(raw, schemas.WORKOUT_ATTRIBUTES),
-                      F.col("WorkoutStatistics").alias("statistics"))
-
-
-def records_of(raw: DataFrame) -> DataFrame:
-    return normalize.records(raw)
-
-
-def workouts_of(nested: DataFrame) -> DataFrame:
-    return normalize.workouts(nested.drop("statistics"))
-
-
-def stats_of(nested: DataFrame, absent: float | None = 0.0) -> DataFrame:
-    """One row per statistic, with the workout it was written in."""
-    each = nested.select("workout_id", F.explode("statistics").alias("s"))
-    raw = each.select("workout_id", *_attributes(each, schemas.STAT_ATTRIBUTES, "s."))
-    return normalize.stats(raw, absent)
 
 
 def file_size_mb(spark: SparkSession, path: str) -> DataFrame:

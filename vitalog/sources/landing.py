@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -9,15 +10,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import schemas
-from ..session import scratch_dir
+from .. import files, schemas
+from ..session import scratch, scratch_dir
 from ..sinks import tables as sinks
-from . import export_xml, markup
+from . import markup, normalize
 
 STORED = {"records": schemas.RECORDS, "workouts": schemas.KEYED_WORKOUTS, "stats": schemas.KEYED_STATS}
 
-# A file beyond this size would keep one task busy for long; such exports are split.
-LARGE_FILE_BYTES = 1 << 30
 # What one shuffle partition of an import should hold.
 SHUFFLE_BYTES = 128 << 20
 _INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
@@ -25,21 +24,55 @@ _INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum
 
 @dataclass(frozen=True)
 class Tables:
-    """Where an import keeps its tables."""
+    """The tables of all imports under one root.
+
+    Every import writes a folder of its own. A numbered list of the folders that count is published when all
+    three tables of an import are complete, so readers see all of an import or nothing of it, and a failed one changes nothing.
+    """
 
     root: str
 
-    def path(self, name: str) -> str:
-        return f"{self.root.rstrip('/')}/{name}"
+    @property
+    def _lists(self) -> str:
+        return f"{self.root.rstrip('/')}/_tables"
 
-    def read(self, spark: SparkSession, name: str) -> DataFrame:
-        return spark.read.schema(STORED[name]).parquet(self.path(name))
+    def _published(self, spark: SparkSession) -> tuple[int, list[dict]]:
+        lists = [n for n in files.names(spark, self._lists) if n.endswith(".json") and not n.startswith(".")]
+        return (int(lists[-1][:-5]), files.read_json(spark, f"{self._lists}/{lists[-1]}")) if lists else (0, [])
 
+    def imports(self, spark: SparkSession) -> list[dict]:
+        """Name, layout and row counts of the imports that count."""
+        return self._published(spark)[1]
 
-def file_sizes(spark: SparkSession, path: str) -> tuple[int, int]:
+    def publish(self, spark: SparkSession, entry: dict, replace: bool) -> None:
+        """Make an import count, alone or beside those before it; replaced ones are removed afterwards."""
+        number, before = self._published(spark)
+        now = [entry] if replace else [*before, entry]
+        files.write_json(spark, f"{self._lists}/{number + 1:012d}.json", now)
+        for old in before if replace else []:
+            files.delete(spark, f"{self.root.rstrip('/')}/{old['name']}")
+
+    def paths(self, spark: SparkSession, name: str) -> list[tuple[str, str]]:
+        """Folder and layout of a table in each import."""
+        return [(f"{self.root.rstrip('/')}/{e['name']}/{name}", e["layout"] if name == "records" else "plain")
+                for e in self.imports(spark)]
+
+    def read(self, spark: SparkSession, name: str) -> DataFrame:
+        schema = STORED[name]
+        found = self.paths(spark, name)
+        plain = [p for p, layout in found if layout != "sorted"]
+        sorted_ = [p for p, layout in found if layout == "sorted"]
+        parts = ([spark.read.schema(schema).parquet(*plain)] if plain else []) + (
+            [sinks.read_by_type(spark, sorted_, schema)] if sorted_ else [])
+        if not parts:
+            return spark.createDataFrame([], schema)
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def file_sizes(spark: SparkSession, path: str | list[str]) -> tuple[int, int]:
     """Bytes of all files under ``path``, and of the largest one; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    total, largest = files.agg(F.sum("length"), F.max("length")).first()
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    total, largest = found.agg(F.sum("length"), F.max("length")).first()
     return total or 0, largest or 0
 
 
@@ -64,48 +97,66 @@ def land(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def land_elements(spark: SparkSession, source: str, path: str | None = None) -> DataFrame:
-    """Scan the markup once and keep its elements as Parquet.
+def land_elements(spark: SparkSession, source: str | list[str], path: str | None = None) -> DataFrame:
+    """Scan the markup once and keep its elements as Parquet, with the attributes that questions ask for as columns.
 
-    The text is read and taken apart once, into tags; depth is then worked out on those.
+    The text is read and taken apart once, into tags; depth is then worked out on those. Malformed files are an error.
     """
     size, _ = file_sizes(spark, source)
-    with shuffles_sized_for(spark, size):
-        return land(markup.elements(land_tags(spark, source)), path or scratch_dir(spark, "elements"))
+    with shuffles_sized_for(spark, size), scratch(spark):
+        found = land(markup.with_names(markup.elements(land_tags(spark, source))), path or scratch_dir(spark, "elements", kept=True))
+        markup.check_well_formed(found)
+        return found
 
 
-def land_tags(spark: SparkSession, source: str) -> DataFrame:
+def land_tags(spark: SparkSession, source: str | list[str]) -> DataFrame:
     return land(markup.scan_tags(spark, source), scratch_dir(spark, "tags"))
 
 
-def import_export(spark: SparkSession, source: str, target: str, mode: str = "overwrite",
-                  large_files: bool | None = None, layout: str = "plain") -> dict[str, int]:
-    """Import export files into ``records``, ``workouts`` and ``stats`` under ``target``.
+def scan_tables(spark: SparkSession, source: str | list[str], absent: float | None = 0.0) -> dict[str, DataFrame]:
+    """The three tables of export files, however large a file is.
 
-    Workouts are landed with their statistics first and both tables derived from the landed rows,
-    so that they agree on ``workout_id``. ``large_files`` uses the splittable scan instead of one
-    task per file; by default the size of the largest file decides. ``layout="sorted"`` keeps
-    ``records`` in one folder per type, sorted by time (an empty type reads back as NULL).
+    The text is read once; tags, and the elements that workouts and statistics hang on, are kept in the shared folder.
+    Malformed files are an error.
+    """
+    tags = land_tags(spark, source)
+    spans = markup.hidden_spans(tags)
+    found = land(markup.enclosing_elements(tags, spans), scratch_dir(spark, "enclosing"))
+    markup.check_well_formed(found)
+    return {"records": markup.shown_records(tags, spans), "workouts": markup.workouts(found), "stats": markup.stats(found, absent)}
+
+
+def import_export(spark: SparkSession, source: str | list[str], target: str, mode: str = "overwrite", layout: str = "plain",
+                  absent: float | None = 0.0, narrow: bool = False, name: str | None = None) -> dict[str, int]:
+    """Import export files into ``records``, ``workouts`` and ``stats`` under ``target``; returns the rows written per table.
 
-    Returns the rows written per table. ``overwrite`` makes a repeated import idempotent,
-    ``append`` adds to what is there.
+    The three tables count together, once all are complete; if anything fails, what was there before stays as it is.
+    ``overwrite`` makes a repeated import idempotent, ``append`` adds to what is there. An import ``name`` that counts already is not
+    repeated. ``layout="sorted"`` keeps ``records`` in one folder per type, sorted by time. ``absent=None`` keeps absent
+    numbers of statistics NULL; ``narrow`` stores values in single precision and times in whole seconds.
     """
-    size, largest = file_sizes(spark, source)
-    if large_files is None:
-        large_files = largest > LARGE_FILE_BYTES
-    with shuffles_sized_for(spark, size):
-        if large_files:
-            parts = markup.import_tables(land_tags(spark, source))
-        else:
-            nested = land(export_xml.scan_workouts(spark, source), scratch_dir(spark, "workouts"))
-            parts = {"records": export_xml.records_of(export_xml.scan_records(spark, source)),
-                     "workouts": export_xml.workouts_of(nested), "stats": export_xml.stats_of(nested)}
-        out = Tables(target)
-        counts = {name: sinks.write_counted(df, out.path(name), mode)
-                  for name, df in parts.items() if not (name == "records" and layout == "sorted")}
-        if layout == "sorted":
-            landing = scratch_dir(spark, "records")
-            counts["records"] = sinks.write_counted(parts["records"], landing, "errorifexists")
-            sinks.write_sorted(spark.read.schema(schemas.RECORDS).parquet(landing),
-                               out.path("records"), mode=mode, by_type=True)
+    tables, name = Tables(target), name or f"import-{uuid.uuid4().hex}"
+    if layout not in ("plain", "sorted") or mode not in ("overwrite", "append"):
+        raise ValueError(f"no such layout or mode: {layout}, {mode}")
+    done = [e for e in tables.imports(spark) if e["name"] == name]
+    if done:
+        return done[0]["rows"]
+    folder = f"{target.rstrip('/')}/{name}"
+    size, _ = file_sizes(spark, source)
+    try:
+        with shuffles_sized_for(spark, size), scratch(spark):
+            counts = {}
+            for table, df in scan_tables(spark, source, absent).items():
+                df = normalize.narrowed(df) if narrow and table == "records" else df
+                path = f"{folder}/{table}"
+                if table == "records" and layout == "sorted":
+                    landing = scratch_dir(spark, "records")
+                    counts[table] = sinks.write_counted(df, landing, "errorifexists")
+                    sinks.write_sorted(spark.read.schema(df.schema).parquet(landing), path, mode="overwrite", by_type=True)
+                else:
+                    counts[table] = sinks.write_counted(df, path, "overwrite")
+    except BaseException:
+        files.delete(spark, folder)
+        raise
+    tables.publish(spark, {"name": name, "layout": layout, "rows": counts}, replace=mode == "overwrite")
     return counts

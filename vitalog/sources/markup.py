@@ -16,7 +16,7 @@ from .. import schemas
 from ..functions.dates import lenient_iso_text, parse_date
 from ..functions.numeric import safe_float
 from ..operators.sized_join import BROADCAST_ROWS, if_small
-from ..session import checkpointed
+from ..session import scratch_dir
 from . import normalize
 
 # A split is known by a hash of its file and its offset, which sort and compare faster than paths.
@@ -47,7 +47,7 @@ def _same_file(found: Column) -> Column:
         F.raise_error(F.lit("two files have the same hash")).cast("string"))
 
 
-def scan_tags(spark: SparkSession, path: str) -> DataFrame:
+def scan_tags(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Every piece of markup: where it stands, whether it opens, closes or is empty, its name.
 
     ``ordinal`` grows along the document inside one split.
@@ -75,7 +75,7 @@ def scan_tags(spark: SparkSession, path: str) -> DataFrame:
 def hidden_spans(tags: DataFrame) -> DataFrame:
     """Where comments and character data hide tags: ``(after, until]`` of a split's ordinals.
 
-    Found from a few narrow columns and written to the checkpoint folder when this is called.
+    Found from a few narrow columns and written to the shared folder when this is called.
     """
     per_split = tags.groupBy(*SPLIT).agg(
         _same_file(F.col("file")).alias("file"),
@@ -88,7 +88,10 @@ def hidden_spans(tags: DataFrame) -> DataFrame:
     inside = (tags.filter(F.col("hides").isNotNull()).select(*SPLIT, "ordinal", "hides")
               .withColumn("until", F.lead("ordinal").over(_order())).filter("hides")
               .select(*SPLIT, F.col("ordinal").alias("after"), "until"))
-    return checkpointed(inside.unionByName(carried))
+    spark, path = tags.sparkSession, scratch_dir(tags.sparkSession, "hidden")
+    found = inside.unionByName(carried)
+    found.write.parquet(path)
+    return spark.read.schema(found.schema).parquet(path)
 
 
 def visible(wanted: DataFrame, spans: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -107,12 +110,15 @@ def visible(wanted: DataFrame, spans: DataFrame, broadcast_rows: int = BROADCAST
     return wanted.alias("t").join(side.alias("s"), within, "left_anti")
 
 
-def elements(tags: DataFrame, spans: DataFrame | None = None, kept: Column | None = None) -> DataFrame:
+def elements(tags: DataFrame, spans: DataFrame | None = None, kept: Column | None = None,
+             with_text: Column | None = None) -> DataFrame:
     """The visible tags with their depth (the root has depth 0).
 
     ``kept`` may leave out empty elements that are not asked for, as they do not change the
-    depth of others. ``tags`` is read several times; see ``landing``.
+    depth of others; ``with_text`` names the tags whose attributes go along. ``tags`` is read several times; see ``landing``.
     """
+    if with_text is not None:
+        tags = tags.withColumn("inside", F.when(with_text, F.col("inside")))
     spans = hidden_spans(tags) if spans is None else spans
     step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
     wanted = tags.filter((F.col("kind") != "other") & (F.lit(True) if kept is None else kept))
@@ -127,6 +133,24 @@ def elements(tags: DataFrame, spans: DataFrame | None = None, kept: Column | Non
         "file_id", *POSITION, "kind", "tag", "inside", depth.cast("int").alias("depth"))
 
 
+def check_well_formed(found: DataFrame) -> None:
+    """Fail if a file is cut short, closes what it has not opened, or closes elements in the wrong order.
+
+    ``found`` must hold all opening and closing tags. One row per file, depth and name goes through the check.
+    """
+    is_open = (F.col("kind") == "open").cast("bigint")
+    is_close = (F.col("kind") == "close").cast("bigint")
+    wrong = (
+        found.filter(F.col("kind") != "empty").groupBy("file", "depth", "tag")
+        .agg(F.sum(is_open).alias("opened"), F.sum(is_close).alias("closed"))
+        .filter((F.col("opened") != F.col("closed")) | (F.col("depth") < 0) | ((F.col("depth") == 0) & (F.col("opened") > 1)))
+        .orderBy("file", "depth", "tag").first()
+    )
+    if wrong is not None:
+        raise ValueError(f"malformed XML in {wrong['file']}: <{wrong['tag']}> at depth {wrong['depth']} is opened "
+                         f"{wrong['opened']} times and closed {wrong['closed']} times")
+
+
 OWNER = ["owner_block", "owner_ordinal", "owner_depth"]
 
 
@@ -174,17 +198,20 @@ def with_owner(found: DataFrame, owners: tuple[str, ...]) -> DataFrame:
 
 # The references every XML text may use; "&amp;" is resolved last.
 _NAMED = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
+_UNKNOWN_REFERENCE = r"&(?!(?:lt|gt|quot|apos|amp|#[0-9]+|#x[0-9A-Fa-f]+);)"
 
 
 def decode(text: Column) -> Column:
-    """Attribute text with line breaks as blanks and references such as ``&amp;`` resolved."""
+    """Attribute text with line breaks as blanks and references such as ``&amp;`` resolved; unknown ones are an error."""
     blank = F.translate(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n\r\t", "   ")
     named = blank
     for reference, character in _NAMED:
         named = F.replace(named, F.lit(reference), F.lit(character))
     wrapped = F.concat(F.lit("<r><v>"), blank, F.lit("</v></r>"))
     numbered = F.from_xml(wrapped, "v string", {"ignoreSurroundingSpaces": "false"})["v"]
+    unknown = F.raise_error(F.concat(F.lit("undefined reference in: "), blank)).cast("string")
     return (F.when(~blank.contains("&"), blank)
+            .when(blank.rlike(_UNKNOWN_REFERENCE), unknown)
             .when(blank.contains("&#"), F.coalesce(numbered, blank))
             .otherwise(named))
 
@@ -214,6 +241,20 @@ def attributes(inside: Column, tag: Column) -> Column:
                   F.transform_values(as_written, lambda _, v: decode(v))).otherwise(as_written)
 
 
+# Attributes that questions ask for, and the columns they are kept in beside the elements.
+NAMED = {"type": "name_type", "sourceName": "name_source", "workoutActivityType": "name_activity"}
+SEARCHED = ("Record", "Workout")
+
+
+def with_names(found: DataFrame) -> DataFrame:
+    """Add the :data:`NAMED` attributes of records and workouts as columns, for filters that reach the scan."""
+    entry = F.transform(F.array(attributes(F.col("inside"), F.col("tag"))),
+                        lambda a: F.struct(*[a[k].alias(v) for k, v in NAMED.items()]))
+    asked = F.col("tag").isin(*SEARCHED) & (F.col("kind") != "close")
+    named = found.withColumn("_named", F.when(asked, F.element_at(entry, 1)))
+    return named.select(*found.columns, "_named.*")
+
+
 def start_tags(found: DataFrame) -> DataFrame:
     """Elements only, with their attributes."""
     return found.filter(F.col("kind") != "close").withColumn(
@@ -230,17 +271,15 @@ def records(found: DataFrame) -> DataFrame:
                                          schemas.RECORD_ATTRIBUTES))
 
 
-def import_tables(tags: DataFrame) -> dict[str, DataFrame]:
-    """The three tables from landed tags.
+def shown_records(tags: DataFrame, spans: DataFrame) -> DataFrame:
+    """``records`` rows from tags. They need no depth, so the bulk of an export is imported without a shuffle."""
+    return records(visible(tags.filter((F.col("tag") == "Record") & (F.col("kind") != "close")), spans))
 
-    Records, the bulk of an export, need no depth and so no shuffle. Depth is worked out for
-    workouts and statistics among the elements that can enclose them.
-    """
-    spans = hidden_spans(tags)
-    shown_records = visible(tags.filter((F.col("tag") == "Record") & (F.col("kind") != "close")), spans)
-    enclosing = (F.col("kind") != "empty") | F.col("tag").isin("Workout", "WorkoutStatistics")
-    found = elements(tags, spans, enclosing)
-    return {"records": records(shown_records), "workouts": workouts(found), "stats": stats(found)}
+
+def enclosing_elements(tags: DataFrame, spans: DataFrame) -> DataFrame:
+    """Workouts, statistics and all elements that can enclose others, with their depth; only the first two keep their text."""
+    asked = F.col("tag").isin("Workout", "WorkoutStatistics")
+    return elements(tags, spans, (F.col("kind") != "empty") | asked, asked)
 
 
 def _workout_id(block: Column, ordinal: Column) -> Column:

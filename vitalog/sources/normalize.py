@@ -5,7 +5,7 @@ Input columns are named like the attributes in the export and hold text, NULL wh
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -64,7 +64,11 @@ def stats(raw: DataFrame, absent: float | None = 0.0) -> DataFrame:
     Absent numbers become ``absent`` (NULL keeps them apart from a true 0.0); text that is no
     number is an error.
     """
-    numbers = {c: F.coalesce(F.col(c).cast("double"), F.lit(absent if absent is None else default))
-               for c, default in STAT_DEFAULTS.items()}
+    def number(name: str, default: float | None) -> Column:
+        wrong = F.raise_error(F.concat(F.lit(f"{name} is no number: "), F.col(name))).cast("double")
+        return (F.when(F.col(name).isNull(), F.lit(default).cast("double"))
+                .otherwise(F.coalesce(safe_float(F.col(name), None), wrong)))
+
+    numbers = {c: number(c, None if absent is None else default) for c, default in STAT_DEFAULTS.items()}
     keyed = "workout_id" in raw.columns
     return fit(parse_dates(raw).withColumns(numbers), schemas.KEYED_STATS if keyed else schemas.STATS)

@@ -1,4 +1,8 @@
-"""One object per data set with the questions users ask of it; every answer is a lazy DataFrame."""
+"""One object per data set with the questions users ask of it; every answer is a DataFrame.
+
+Most are lazy. ``latest``, ``extremes``, ``outliers`` and the questions to export files run a first pass when called, whose small
+result decides how the rest is joined.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +16,7 @@ from .params import DEFAULT_LIMIT, SearchParams, is_workout
 from .session import configure
 from .sources import export_xml, landing, markup
 from .sources.landing import Tables
+from .streaming import ingest
 
 
 def to_rows(result: DataFrame) -> list[dict]:
@@ -70,6 +75,18 @@ class HealthStore:
         return summary.united(summary.summary_records(self.records),
                               summary.summary_workouts_keyed(self.workouts, self.stats))
 
+    def total(self) -> DataFrame:
+        """Number of all records."""
+        return summary.summary_total(self.records)
+
+    def date_range(self) -> DataFrame:
+        """First and last start of the records."""
+        return summary.summary_range(self.records)
+
+    def downsample(self, interval: str = "day") -> DataFrame:
+        """One sample per type, source, unit and bucket."""
+        return insights.downsample(self.records, interval, self.scale)
+
     def search(self, params: SearchParams) -> DataFrame:
         """The most recent rows that meet ``params``."""
         if not params.wants_workouts:
@@ -93,10 +110,11 @@ class HealthStore:
         return find(self.workouts, self.stats, record_type, self.scale)
 
     def trend(self, record_type: str | None, interval: str = "month", date_from=None, date_to=None,
-              tz: str | None = None) -> DataFrame:
+              tz: str | None = None, numeric_only: bool = False) -> DataFrame:
         """A type's values per day, week, month or year."""
         if not is_workout(record_type):
-            return trend.trend(self.records, record_type, interval, date_from, date_to, self.scale, tz)
+            records = statistics.numeric_rows(self.records) if numeric_only else self.records
+            return trend.trend(records, record_type, interval, date_from, date_to, self.scale, tz)
         self._need_workouts()
         find = workouts.trend_workout_keyed if self.keyed else workouts.trend_workout
         return find(self.workouts, self.stats, record_type, interval, date_from, date_to,
@@ -190,8 +208,11 @@ class ExportFiles:
     def documents(self) -> DocumentStore:
         return DocumentStore(markup.documents(self.elements))
 
-    def import_to(self, target: str, mode: str = "overwrite", large_files: bool | None = None,
-                  layout: str = "plain") -> HealthStore:
-        """Import into ``target`` and open the result."""
-        landing.import_export(self.spark, self.path, target, mode, large_files, layout)
+    def import_to(self, target: str, mode: str = "overwrite", layout: str = "plain", **options) -> HealthStore:
+        """Import into ``target`` and open the result; ``absent`` and ``narrow`` as in :func:`landing.import_export`."""
+        landing.import_export(self.spark, self.path, target, mode, layout, **options)
         return HealthStore.from_import(self.spark, target)
+
+    def import_new_to(self, target: str, checkpoints: str, max_files: int | None = None, **options) -> dict[str, int]:
+        """Add the files that are new since the last call to the tables under ``target``; returns the rows added."""
+        return ingest.import_new_files(self.spark, self.path, target, checkpoints, max_files, **options)
