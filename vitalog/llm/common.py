@@ -39,10 +39,13 @@ def in_fold(doc_id: Column, parts: int, fold: int) -> Column:
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary column in one array, and the n+1 offsets; null is empty."""
-    column = pc.fill_null(column, "" if pa.types.is_string(column.type) else b"")
+    text = pa.types.is_string(column.type) or pa.types.is_large_string(column.type)
+    column = pc.fill_null(column, "" if text else b"")
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset).astype(np.int64)
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    width = np.int64 if wide else np.int32
+    offsets = np.frombuffer(column.buffers()[1], width, len(column) + 1, np.dtype(width).itemsize * column.offset).astype(np.int64)
     data = column.buffers()[2]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]

@@ -104,25 +104,25 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share
                     most_repeats: int = 3) -> DataFrame:
     """The mixed corpus: one row per document and epoch, the document at the cut shortened.
 
-    Returns the columns of ``docs`` (doc_id, text and source among them), then epoch and taken. Texts
-    of size 0 belong to no epoch and are left out.
+    Returns the columns of ``docs`` (doc_id, text and source among them), then mix_epoch and mix_taken, the words of this row. Texts
+    of size 0 belong to no epoch and are left out. Columns of ``docs`` that begin with ``mix_`` are dropped.
     """
+    docs = docs.drop(*[c for c in docs.columns if c.lower().startswith("mix_")])
     plan = written(mix(docs, weights, share, most_repeats).select(
-        F.col("doc_id").alias("mix_id"), F.col("size").alias("mix_size"), F.col("taken").alias("mix_taken")), "mix-plan")
+        F.col("doc_id").alias("mix_id"), F.col("size").alias("mix_size"), F.col("taken").alias("mix_total")), "mix-plan")
     if plan.groupBy("mix_id").count().filter("count > 1").isEmpty():
-        rows = docs.join(plan.filter("mix_taken > 0"), F.col("doc_id").eqNullSafe(F.col("mix_id"))).drop("mix_id")
+        rows = docs.join(plan.filter("mix_total > 0"), F.col("doc_id").eqNullSafe(F.col("mix_id"))).drop("mix_id")
     else:  # an id doesn't tell its row: let the rows take part themselves
         whole_row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
         placed = _plan(docs, [whole_row], weights, share, most_repeats, "doc_id", "text", "source").filter("taken > 0")
-        rows = placed.select("row.*", F.col("size").alias("mix_size"), F.col("taken").alias("mix_taken"))
-    last = F.ceil(F.col("mix_taken") / F.col("mix_size")).cast("int")
-    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), last)))
-    taken = F.least(F.col("mix_size"), F.col("mix_taken") - (F.col("epoch") - 1) * F.col("mix_size"))
-    rows = rows.withColumn("taken", taken)
-    whole = F.col("taken") == F.col("mix_size")
-    words = F.array_join(F.slice(F.split(F.regexp_replace(F.col("text"), r"^[\x20\x09-\x0D]+", ""),
-                                         r"[\x20\x09-\x0D]+"), F.lit(1), F.col("taken").cast("int")), " ")
-    return rows.withColumn("text", F.when(whole, F.col("text")).otherwise(words)).drop("mix_size", "mix_taken")
+        rows = placed.select("row.*", F.col("size").alias("mix_size"), F.col("taken").alias("mix_total"))
+    last = F.ceil(F.col("mix_total") / F.col("mix_size")).cast("int")
+    rows = rows.withColumn("mix_epoch", F.explode(F.sequence(F.lit(1), last)))
+    rows = rows.withColumn("mix_taken", F.least(F.col("mix_size"), F.col("mix_total") - (F.col("mix_epoch") - 1) * F.col("mix_size")))
+    words = F.split(F.regexp_replace(F.col("text"), r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
+    head = F.array_join(F.slice(words, F.lit(1), F.col("mix_taken").cast("int")), " ")
+    text = F.when(F.col("mix_taken") == F.col("mix_size"), F.col("text")).otherwise(head)
+    return rows.withColumn("text", text).select(*docs.columns, "mix_epoch", "mix_taken")
 
 
 ORACLE = """

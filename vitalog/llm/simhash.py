@@ -22,6 +22,7 @@ from .common import lowered, text_groups, word_spans, written
 from .components import connected
 
 GROUP_BYTES = 1 << 20
+HASHES = 1 << 18
 BITS = 64
 SEED = 42
 #: Buckets of more fingerprints are searched through the fingerprints' one-bit neighbours instead.
@@ -52,15 +53,15 @@ def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def fingerprints_of(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
     """Fingerprints of the lower-cased texts: a bit is set if over half the shingles' hashes have it."""
-    joined, a, b, _, shingles = shingle_spans(lowered(data), offsets, width)
+    joined, a, b, owner, shingles = shingle_spans(lowered(data), offsets, width)
     raw, digest = joined.tobytes(), xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(raw[i:j], SEED) for i, j in zip(a.tolist(), b.tolist(), strict=True)), np.uint64, len(a))
     counts = np.zeros((len(shingles), BITS), np.int64)
-    full = shingles > 0
-    if full.any():
+    for lo in range(0, len(a), HASHES):  # a long text has its hashes made and counted piece by piece
+        i, j, text = a[lo:lo + HASHES].tolist(), b[lo:lo + HASHES].tolist(), owner[lo:lo + HASHES]
+        hashes = np.fromiter((digest(raw[x:y], SEED) for x, y in zip(i, j, strict=True)), np.uint64, len(i))
         bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        firsts = np.concatenate([[0], np.cumsum(shingles)])[:-1][full]
-        counts[full] = np.add.reduceat(bits, firsts, axis=0, dtype=np.int32)
+        first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+        counts[text[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int32)
     packed = np.packbits(2 * counts > shingles[:, None], axis=1)
     return packed.view(">u8").ravel().astype(np.uint64)
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_fold, learning_rows, span_hashes, text_groups, written
+from .common import in_fold, learning_rows, mixed, span_hashes, text_groups, written
 
 GROUP_BYTES = 1 << 20
 SHORTEST, LONGEST_START, LONGEST_WORD = 4, 12, 24
@@ -158,12 +158,14 @@ class ToxicityModel:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Smallest hash of a text's longer tokens: near copies nearly always share it."""
+    """Smallest hash of a text's pairs of neighbouring tokens: near copies mostly share it, other texts rarely."""
     for batch, lo, hi, data, offsets in text_groups(batches, "text", GROUP_BYTES):
         low, starts, ends, text = tokens(data, offsets)
-        long = ends - starts >= 7
+        token = span_hashes(low, starts, ends)
+        pair = token.copy()
+        pair[:-1] = np.where(text[:-1] == text[1:], mixed(token[:-1]) ^ token[1:], token[:-1])
         sketch = np.full(hi - lo, np.iinfo(np.int64).max)
-        np.minimum.at(sketch, text[long], (span_hashes(low, starts[long], ends[long]) >> np.uint64(1)).astype(np.int64))
+        np.minimum.at(sketch, text, (mixed(pair) >> np.uint64(1)).astype(np.int64))
         ids = batch.column(batch.schema.get_field_index("doc_id")).slice(lo, hi - lo)
         yield pa.record_batch([ids, pa.array(sketch)], ["doc_id", "sketch"])
 
