@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.measures import measure_summary
 from ..functions.text import matched_tokens, text_matches, token_scores
 from ..params import DEFAULT_LIMIT, SearchParams
-from .filters import all_of, in_dates, in_values
+from .filters import all_of, in_dates, in_values, no_duration
 from .ordering import tie_break
 from .trend import trend_gapfilled
 
@@ -29,7 +29,8 @@ def match_all(documents: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
 
 
 def doc_conditions(params: SearchParams) -> Column:
-    """All given conditions must hold."""
+    """All given conditions must hold; a duration, which documents don't have, is an error."""
+    no_duration(params)
     return all_of([
         _match("type", params.record_type),
         _match("sourceName", params.source_name),

@@ -38,8 +38,14 @@ def in_values(column: Column, low, high) -> Column | None:
     return between(column, parse_number(low), parse_number(high))
 
 
+def no_duration(params: SearchParams) -> None:
+    if params.min_workout_duration is not None or params.max_workout_duration is not None:
+        raise ValueError("a duration can only be asked of workouts: name a workout type")
+
+
 def record_conditions(params: SearchParams) -> Column:
-    """What ``params`` asks of a record row."""
+    """What ``params`` asks of a record row; a duration, which records don't have, is an error."""
+    no_duration(params)
     return all_of([
         equals(F.col("type"), params.record_type),
         equals(F.col("sourceName"), params.source_name),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,32 +22,38 @@ def latest_record(records: DataFrame, record_type: str | None = None) -> DataFra
     """The most recent record of one type, or of each type when None."""
     if record_type:
         return newest(of_type(records, record_type), 1)
-    at = F.col("startDate")
-    return _rows_at_extremes(records, [("latest", F.max(at), at)]).drop("extreme")
+    return _rows_at_extremes(records, [("latest", F.max, "startDate")]).drop("extreme")
 
 
 def extreme_records(rows: DataFrame, measure: str = "value", record_type: str | None = None) -> DataFrame:
     """Per type, the whole row with the lowest and the one with the highest ``measure``."""
-    value = F.col(measure)
-    return _rows_at_extremes(of_type(rows, record_type), [
-        ("lowest", F.min(value), value), ("highest", F.max(value), value)])
+    return _rows_at_extremes(of_type(rows, record_type), [("lowest", F.min, measure), ("highest", F.max, measure)])
 
 
-def _rows_at_extremes(rows: DataFrame, extremes: list[tuple[str, Column, Column]]) -> DataFrame:
-    """Per type, one row for each (label, extreme aggregate, column it is taken of).
+def _rows_at_extremes(rows: DataFrame, extremes: list[tuple[str, Callable[[str], Column], str]]) -> DataFrame:
+    """Per type, one row for each (label, extreme, column it is taken of).
 
-    Two passes: the extreme values by a hash aggregation over two columns, then the rows that
-    hold them. Ties go to the row that is smallest on its other columns, the unique id first,
-    and are reduced inside each task before anything is exchanged. Runs the first pass when
-    called (see :func:`join_group_rows`).
+    First the extreme values by a hash aggregation over two columns, then the smallest id among the rows that hold
+    them, over three narrow columns, and last those few rows. Further ties, and rows without an id column, go to the row that is
+    smallest on its other columns. Runs the first passes when called (see :func:`join_group_rows`).
     """
-    per_type = rows.groupBy("type").agg(*(agg.alias(f"_{label}") for label, agg, _ in extremes))
-    held = [F.when(column == F.col(f"_{label}"), F.lit(label)) for label, _, column in extremes]
-    at_extreme = (
-        join_group_rows(rows.filter(F.col("type").isNotNull()), per_type, ["type"])
-        .select(*rows.columns, F.explode(F.array_compact(F.array(*held))).alias("extreme"))
-    )
+    typed = rows.filter(F.col("type").isNotNull())
+    per_type = rows.groupBy("type").agg(*(extreme(column).alias(f"_{label}") for label, extreme, column in extremes))
+    held = [F.when(F.col(column) == F.col(f"_{label}"), F.lit(label)) for label, _, column in extremes]
     first = [c for c in ("record_id", "workout_id") if c in rows.columns]
+
+    def at_extremes(found: DataFrame) -> DataFrame:
+        return join_group_rows(found, per_type, ["type"]).select(
+            *found.columns, F.explode(F.array_compact(F.array(*held))).alias("extreme"))
+
+    if first:
+        key = F.coalesce(F.col(first[0]).cast("string"), F.lit(""))
+        narrow = typed.select(*dict.fromkeys(["type", first[0], *(column for _, _, column in extremes)]))
+        winners = at_extremes(narrow).groupBy("type", "extreme").agg(F.min(first[0]).alias(first[0]))
+        winners = winners.select("type", "extreme", key.alias("_key"))
+        at_extreme = join_group_rows(typed.withColumn("_key", key), winners, ["type", "_key"])
+    else:
+        at_extreme = at_extremes(typed)
     rest = first + [c for c in rows.columns if c not in first and c != "type"]
     return (at_extreme.groupBy("type", "extreme")
             .agg(F.min(F.struct(*rest)).alias("row"))

@@ -94,16 +94,18 @@ def stat_lines(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     return inside.select(*_line(F.col("l_orderkey"), 2, 1, F.col("l_linenumber"), text))
 
 
+# The first and the last line of every file, and their sections.
+FILE_ENDS = (("<?xml version=\"1.0\" encoding=\"UTF-8\"?>\n<!DOCTYPE HealthData [\n"
+              "<!-- <Record type=\"in a comment\"> -->\n]>\n<HealthData locale=\"en_US\">", 0), ("</HealthData>", 3))
+
+
 def write_files(lines: list[DataFrame], path: str) -> None:
     """Add one complete document per part: a root element around the lines, in order."""
     body = lines[0]
     for more in lines[1:]:
         body = body.unionByName(more)
     frame = body.select("part").distinct()
-    ends = [("<?xml version=\"1.0\" encoding=\"UTF-8\"?>\n<!DOCTYPE HealthData [\n"
-             "<!-- <Record type=\"in a comment\"> -->\n]>\n<HealthData locale=\"en_US\">", 0),
-            ("</HealthData>", 3)]
-    for text, section in ends:
+    for text, section in FILE_ENDS:
         body = body.unionByName(frame.select(
             "part", F.lit(section).alias("section"), F.lit(0).cast("bigint").alias("key"),
             F.lit(0).alias("sub"), F.lit("").alias("tie"), F.lit(text).alias("text")))

@@ -20,7 +20,7 @@ from ..sources.landing import Tables, import_export, scan_tables
 from ..sources.tables import read_parquet, read_table, route_by_schema
 from ..streaming import ingest, samples
 from . import sql
-from .export_files import export_elements, export_path, raw_event_attributes
+from .export_files import FILE_ENDS, KEYS_PER_FILE, export_elements, export_path, raw_event_attributes
 from .views import EVENTS, SCALE, event_records, order_records, pages, stats, table, workouts
 
 QUERIES = {}
@@ -128,7 +128,6 @@ query("xml_structure", lambda s, d: rawxml.structure(export_elements(s, d)), """
   UNION SELECT 'record_types', 'inner' FROM events WHERE event_type = 'click'
   UNION SELECT 'workout_types', 'HKWorkout' || o_orderpriority FROM orders
   UNION SELECT 'sources', 'user_' || CAST(user_id % 10 AS VARCHAR) FROM events""")
-query("xml_file_size", lambda s, d: export_xml.file_size_mb(s, export_path(s, d)), None)
 query("xml_tag_counts",
       lambda s, d: rawxml.tag_counts(export_elements(s, d), ("Record", "Workout", "WorkoutStatistics")),
       f"""SELECT 'Record' AS tag, COUNT(*) AS "count" FROM ({RECORDS})
@@ -162,6 +161,39 @@ RECORD_XML = " || ".join([
     sql_attribute("value", """CASE WHEN event_type = 'error' THEN props
       WHEN event_type <> 'signup' THEN CAST(value AS VARCHAR) END"""),
     """CASE WHEN shown_type = 'view' THEN '><MetadataEntry key="k" value="v" /></Record>' ELSE ' />' END"""])
+
+
+def sql_opened(tag: str, *attributes: str) -> str:
+    return " || ".join([f"'<{tag}'", *attributes])
+
+
+# The bytes of every line of the files, with its line break.
+RECORD_TAG = RECORD_XML.rsplit(" || ", 1)[0]
+WORKOUT_AT, STAT_AT = (f"strftime({c}, '%Y-%m-%d %H:%M:%S') || ' +0000'" for c in ("o_orderdate", "l_shipdate"))
+WORKOUT_TAG = sql_opened(
+    "Workout", sql_attribute("workoutActivityType", "'HKWorkout' || o_orderpriority"),
+    sql_attribute("duration", """CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'abc'
+      WHEN o_orderstatus <> 'P' THEN CAST(o_totalprice AS VARCHAR) END"""),
+    sql_attribute("durationUnit", "'min'"), sql_attribute("sourceName", "o_orderstatus"),
+    *[sql_attribute(n, WORKOUT_AT) for n in ("creationDate", "startDate", "endDate")])
+STAT_TAG = sql_opened(
+    "WorkoutStatistics", sql_attribute("type", "l_returnflag"), sql_attribute("startDate", STAT_AT), sql_attribute("endDate", STAT_AT),
+    sql_attribute("sum", "CASE WHEN l_returnflag <> 'N' THEN CAST(l_quantity AS VARCHAR) END"),
+    sql_attribute("maximum", "CAST(l_extendedprice AS VARCHAR)"), sql_attribute("unit", "l_linestatus"))
+query("xml_file_size", lambda s, d: export_xml.file_size_mb(s, export_path(s, d)), f"""
+  WITH tags AS (SELECT event_type, strlen({RECORD_TAG}) AS n FROM (SELECT *, event_type AS shown_type FROM events)),
+  lines AS (
+    SELECT n + CASE event_type
+        WHEN 'purchase' THEN strlen('<Correlation type="purchase">' || '/>' || '</Correlation>')
+        WHEN 'view' THEN strlen('>x <MetadataEntry key="k" value="v"/>x</Record>')
+        WHEN 'click' THEN n + strlen('>/></Record>') ELSE 2 END + 1 AS n FROM tags
+    UNION ALL SELECT strlen({WORKOUT_TAG}) + 2 FROM orders
+    UNION ALL SELECT strlen('</Workout>') + 1 FROM orders
+    UNION ALL SELECT strlen({STAT_TAG}) + 3 FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)
+    UNION ALL SELECT {sum(len(text) + 1 for text, _ in FILE_ENDS)} FROM (
+      SELECT event_id // {KEYS_PER_FILE} FROM events UNION SELECT o_orderkey // {KEYS_PER_FILE} FROM orders))
+  SELECT ROUND(SUM(n) / 1048576.0, 2) AS file_size_mb FROM lines""")
+
 # Records in the order they are written, a click before the record it holds.
 SHOWN = f"""(SELECT event_id, user_id, shown_type, nested, CASE WHEN shown_type = 'click'
     THEN substr(xml, 1, length(xml) - 3) || '>' || replace(xml, 'type="click"', 'type="inner"') || '</Record>' ELSE xml END AS xml
