@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.sized_join import join_group_rows
 from .common import written
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
-    """Directed edges (u, v) with the least of u and its neighbours; counted before it is joined."""
+    """Directed edges (u, v) with the least of u and its neighbours.
+
+    The hub of a large component may have a third of all edges: small tables of least neighbours are broadcast once they are
+    counted, larger ones meet the edges under salted keys.
+    """
     least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return edges.join(least, "u")
+    return join_group_rows(edges, least, ["u"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
