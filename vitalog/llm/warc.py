@@ -23,6 +23,8 @@ from .common import written
 
 CHUNK_BYTES = 16 << 20
 GAP_BYTES = 64 << 10
+#: Bytes of archive that a task reads, where that makes more tasks than the session's shuffle partitions.
+TASK_BYTES = 256 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _INDEX = "page_id long, url string, record_type string, digest string, path string, offset long, length long"
 
@@ -167,7 +169,10 @@ def read(index: DataFrame, with_payload: bool = False) -> DataFrame:
     revisits). Digests of responses are computed from the bytes read and must equal those in the header.
     """
     chunk = F.floor(F.col("offset") / CHUNK_BYTES)
-    places = index.select("path", "offset", "length").repartition("path", chunk).sortWithinPartitions("path", "offset")
+    # index rows are small: what a task gets follows from the bytes they stand for
+    size = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, min(size // CHUNK_BYTES, max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES)))
+    places = index.select("path", "offset", "length").repartition(tasks, "path", chunk).sortWithinPartitions("path", "offset")
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
     return places.mapInArrow(_read(with_payload), schema + (", payload binary" if with_payload else ""))
 
