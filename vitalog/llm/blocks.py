@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import scratch_dir
 
@@ -90,6 +91,11 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[objec
         yield current, rows
 
 
-def by(messages: DataFrame, key: str) -> DataFrame:
-    """Messages dealt out by block or by shard, each one's rows together and in order."""
-    return messages.select("block", "shard", "body").repartition(key).sortWithinPartitions(key, "shard" if key == "block" else "block")
+def by_block(messages: DataFrame) -> DataFrame:
+    """Messages dealt out by block, each block's rows together and in order."""
+    return messages.select("block", "shard", "body").repartition("block").sortWithinPartitions("block", "shard")
+
+
+def by_shard(messages: DataFrame, shards: int) -> DataFrame:
+    """Messages dealt out by shard, one shard per task: hashing the numbers would put several into one."""
+    return messages.select("block", "shard", "body").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "block")

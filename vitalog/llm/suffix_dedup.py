@@ -19,16 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import MESSAGE, by, from_small, grouped, load, message, new_folder, save, sent, small
+from .blocks import MESSAGE, by_block, by_shard, from_small, grouped, load, message, new_folder, save, sent, small
 from .common import mixed, powers, text_groups, written
 from .elias_fano import EliasFano, encode
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Windows per instance at most; their results fit the bits of one number.
 SPAN = 64
 #: Anchors with more different surroundings than this are dealt out window by window.
 CROWDED = 16_384
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -460,13 +460,13 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False,
     folder = new_folder(spark, "suffix-blocks")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (4 * BLOCK_BYTES))
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (8 << 20))
     anchors = written(rows.mapInArrow(_block_anchors(folder, shards, length), MESSAGE), "suffix-anchors")
-    kinds = by(anchors, "shard").mapInArrow(_answer_anchors, MESSAGE)
-    contexts = by(kinds, "block").mapInArrow(_block_contexts(folder, shards, length), MESSAGE)
-    masks = by(contexts, "shard").mapInArrow(_answer_contexts(length), MESSAGE)
+    kinds = by_shard(anchors, shards).mapInArrow(_answer_anchors, MESSAGE)
+    contexts = by_block(kinds).mapInArrow(_block_contexts(folder, shards, length), MESSAGE)
+    masks = by_shard(contexts, shards).mapInArrow(_answer_contexts(length), MESSAGE)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return by(masks, "block").mapInArrow(_removals(length, with_text), schema + (", kept binary" if with_text else ""))
+    return by_block(masks).mapInArrow(_removals(length, with_text), schema + (", kept binary" if with_text else ""))
 
 
 ORACLE = """
