@@ -90,6 +90,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 _BASE = 0x9E3779B97F4A7C15
 _MIX = 0xD6E8FEB86659FD93
+_PIECE = 1 << 20
 
 
 def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
@@ -103,11 +104,22 @@ def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span from prefix polynomial hashes, mixed so that all bits are usable."""
-    up, down = powers(len(data) + 1)
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=prefix[1:])
-    return mixed((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hash of each span from prefix polynomial hashes, mixed so that all bits are usable.
+
+    Starts ascend; the spans are worked off piece by piece, and a hash does not depend on where its span stands.
+    """
+    out, lo = np.empty(len(starts), np.uint64), 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + _PIECE)))
+        base = int(starts[lo])
+        part = data[base:int(ends[lo:hi].max())]
+        up, down = powers(len(part) + 1)
+        prefix = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[:-1], out=prefix[1:])
+        a, b = starts[lo:hi] - base, ends[lo:hi] - base
+        out[lo:hi] = mixed((prefix[b] - prefix[a]) * down[a] + (b - a).astype(np.uint64))
+        lo = hi
+    return out
 
 
 def mixed(value: np.ndarray) -> np.ndarray:
