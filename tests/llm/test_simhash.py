@@ -64,6 +64,27 @@ def test_links_join_what_close_pairs_join(spark, parts, crowded):
     assert least_reachable(fps, lambda a, b: (a, b) in links or (b, a) in links) == want
 
 
+def test_buckets_stay_whole_when_joins_change_at_run_time(spark):
+    rng = random.Random(9)
+    fps = []
+    for _ in range(3000):
+        at = rng.getrandbits(64)
+        fps += [at, at ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64))]
+    signed = [(f - (1 << 64) if f >> 63 else f,) for f in sorted(set(fps))]
+    names = {"spark.sql.autoBroadcastJoinThreshold": "1k", "spark.sql.shuffle.partitions": "12", "spark.sql.files.maxPartitionBytes": "8k",
+             "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        links = simhash.links(spark.createDataFrame(signed, "fp long").repartition(12)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    got = {frozenset((r["u"] % (1 << 64), r["v"] % (1 << 64))) for r in links}
+    assert {frozenset(fps[i:i + 2]) for i in range(0, len(fps), 2)} - {frozenset((f,)) for f in fps} <= got
+
+
 def test_thresholds_add_up_and_cost_least():
     rng = np.random.default_rng(1)
     costs = np.concatenate([np.zeros((50, 3, 1)), rng.random((50, 3, 3)).cumsum(2)], 2)

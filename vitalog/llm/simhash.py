@@ -263,7 +263,9 @@ def links(distinct: DataFrame, tau: int = 2, parts: int | None = None, crowded:
     rows = index.select("part", "value", F.lit(0).alias("kind"), "fp").union(probes.select("part", "value", F.lit(1).alias("kind"), "fp"))
     # buckets with one member and its own probe alone can't link anything
     loose = rows.join(full, ["part", "value"], "left_anti")
-    found = loose.repartition("part", "value").sortWithinPartitions("part", "value").mapInArrow(_verified(tau), "u long, v long")
+    # by a hash of the key: a repartition by the join's own keys would be planned away, and the join's partitions are
+    # read piecemeal once it turns into a broadcast join at run time
+    found = loose.repartition(F.xxhash64("part", "value")).sortWithinPartitions("part", "value").mapInArrow(_verified(tau), "u long, v long")
     met = rows.join(full, ["part", "value"], "left_semi").select("fp").distinct()
     keys = met.mapInArrow(_neighbour_keys, "key long, fp long")
     first = keys.groupBy("key").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
