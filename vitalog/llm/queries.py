@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
-from . import decontamination, exact_dedup, factorization, language_id, mixing, ngram_lm, simhash, suffix_dedup, toxicity, warc
+from . import decontamination, exact_dedup, factorization, language_id, mixing, ngram_lm, sharding, simhash, suffix_dedup, toxicity, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
+def op11_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_documents(spark, sf_dir), shards=16)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_language_model": op2_language_model,
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "op11_shard": op11_shard,
 }
 
 ORACLES: dict[str, str] = {
@@ -78,4 +83,5 @@ ORACLES: dict[str, str] = {
     "op5_mix_sources": mixing.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op8_warc": warc.ORACLE,
+    "op11_shard": sharding.ORACLE,
 }
