@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
-from . import decontamination, exact_dedup, factorization, language_id, mixing, ngram_lm, sharding, simhash, suffix_dedup, toxicity, warc
+from . import decontamination, exact_dedup, factorization, language_id, mixing, ngram_lm, sharding, simhash, spelling, suffix_dedup, toxicity, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op11_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_documents(spark, sf_dir), shards=16)
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_documents(spark, sf_dir), least_length=5, least_count=3, ratio=2, drop_every=97)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_language_model": op2_language_model,
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
     "op11_shard": op11_shard,
+    "op12_spelling": op12_spelling,
 }
 
 ORACLES: dict[str, str] = {
@@ -84,4 +89,5 @@ ORACLES: dict[str, str] = {
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op8_warc": warc.ORACLE,
     "op11_shard": sharding.ORACLE,
+    "op12_spelling": spelling.ORACLE,
 }
