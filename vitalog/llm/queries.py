@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
-from . import decontamination, exact_dedup, factorization, language_id, mixing, ngram_lm, sharding, simhash, spelling, suffix_dedup, toxicity, warc
+from . import decontamination, exact_dedup, factorization, language_id, mixing, ngram_lm, prefix_trie, sharding, simhash, spelling, suffix_dedup, toxicity, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +68,10 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(_documents(spark, sf_dir), least_length=5, least_count=3, ratio=2, drop_every=97)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(configure(spark).read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_language_model": op2_language_model,
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_shard": op11_shard,
     "op12_spelling": op12_spelling,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
@@ -90,4 +95,5 @@ ORACLES: dict[str, str] = {
     "op8_warc": warc.ORACLE,
     "op11_shard": sharding.ORACLE,
     "op12_spelling": spelling.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }
