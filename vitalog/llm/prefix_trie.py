@@ -70,7 +70,7 @@ def numbered(rows: DataFrame, order: list[Column | str], label: str) -> DataFram
 def rebuilt_turns(conversations: DataFrame, group: int = 100, most: int = 6) -> tuple[DataFrame, DataFrame]:
     """The turns (conv_id, pos, name, chars) of the rebuilt conversations, and the ids of all.
 
-    Every conversation c begins with the first h turns of conversation c - c % ``group``, h being crc32 of its id modulo ``most``, and goes on
+    Every conversation c begins with the first h turns of conversation c - c % ``group`` (towards zero for negative ids), h being crc32 of its id modulo ``most``, and goes on
     with its own turns after its first h.
     """
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
@@ -356,16 +356,20 @@ def _pieces(turns: DataFrame, convs: DataFrame) -> DataFrame:
 
 
 def _contexts(pieces: DataFrame) -> DataFrame:
-    """Pieces of conversations with several: digest of all that precedes each (ctx), that of the next piece, and how many share it."""
-    long = pieces.filter("piece > 0").select("conv_id").distinct()
+    """Pieces behind the first: digest of all that precedes them (ctx), how many share it (sharing), and the smallest id among all
+    conversations that begin so, those that end there included (owner)."""
+    full = F.size("chars") == PIECE
+    long = pieces.filter(full).select("conv_id").distinct()
     digest = F.sha2(F.concat(F.col("piece").cast("string"), F.lit(":"), F.hex("keys")).cast("binary"), 256)
-    several = pieces.join(long, "conv_id", "left_semi").select("conv_id", "piece", digest.alias("digest"))
-    before = W.partitionBy("conv_id").orderBy("piece").rowsBetween(W.unboundedPreceding, -1)  # digests, one per piece
-    sums = [F.sum(F.conv(F.substring("digest", at, 15), 16, 10).cast("decimal(20,0)")).over(before).cast("string") for at in (1, 16)]
-    told = several.withColumn("ctx", F.when(F.col("piece") == 0, "").otherwise(F.concat_ws("-", *sums))).drop("digest")
-    told = written(told, "trie-contexts")
-    sharing = told.groupBy("piece", "ctx").agg(F.count("*").alias("sharing")).filter(F.col("sharing") > 1)
-    return told.join(sharing, ["piece", "ctx"], "left").withColumn("sharing", F.coalesce("sharing", F.lit(1)))
+    several = pieces.join(long, "conv_id", "left_semi").select("conv_id", "piece", full.alias("full"), digest.alias("digest"))
+    upto = W.partitionBy("conv_id").orderBy("piece").rowsBetween(W.unboundedPreceding, 0)  # digests, one per piece
+    sums = [F.sum(F.conv(F.substring("digest", at, 15), 16, 10).cast("decimal(20,0)")).over(upto).cast("string") for at in (1, 16)]
+    through = several.filter("full").select("conv_id", (F.col("piece") + 1).alias("piece"), F.concat_ws("-", *sums).alias("ctx"))
+    through = written(through, "trie-through")
+    behind = through.join(several.filter("piece > 0").select("conv_id", "piece", F.lit(1).alias("there")), ["conv_id", "piece"], "left")
+    behind = written(behind, "trie-behind")
+    groups = behind.groupBy("piece", "ctx").agg(F.count("there").alias("sharing"), F.min("conv_id").alias("owner"))
+    return join_group_rows(behind.filter("there = 1").drop("there"), groups.filter("sharing > 0"), ["piece", "ctx"])
 
 
 def trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
@@ -393,16 +397,21 @@ def trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
         nodes = written(_level(rows), "trie-nodes")
         totals = nodes.filter("depth = 0").select(F.col("ctx").alias("next_ctx"), "conv_id", F.col("n_children").alias("t_children"),
                                                   F.col("n_leaves").alias("t_leaves"), F.col("saved").alias("t_saved"))
-        shown = nodes if level == 0 else nodes.filter("depth > 0")
+        shown = nodes
+        if level:  # what ends above belongs to the parent too
+            owners = contexts.filter(F.col("piece") == level).select("ctx", "owner").distinct()
+            owners = nodes.filter("depth = 0").select("ctx", F.col("conv_id").alias("parent_conv")).join(owners, "ctx").drop("ctx")
+            highest = join_group_rows(nodes.filter("depth = 1"), owners, ["parent_conv"]).withColumn("parent_conv", F.col("owner"))
+            shown = nodes.filter("depth > 1").union(highest.select(nodes.columns))
         out.append(shown.select("conv_id", (F.col("depth") + level * PIECE).cast("long").alias("depth"), F.col("parent_conv").alias("parent_conv_id"),
                                 "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), F.col("sha").alias("ends_sha256")))
     # pieces that nobody shares are chains
-    lone = above.filter("next_sharing = 1").select("conv_id", (F.col("piece") + 1).alias("piece"))
+    lone = contexts.filter("sharing = 1").select("conv_id", "piece", "owner")
     lone = pieces.join(lone, ["conv_id", "piece"]).join(above.select("conv_id", "piece", F.lit(True).alias("goes_on")), ["conv_id", "piece"], "left")
-    lone = lone.select("conv_id", "piece", "goes_on", F.size("chars").alias("n"), F.posexplode("chars").alias("at", "_"))
+    lone = lone.select("conv_id", "piece", "owner", "goes_on", F.size("chars").alias("n"), F.posexplode("chars").alias("at", "_"))
     last = F.col("goes_on").isNull() & (F.col("at") == F.col("n") - 1)
     out.append(lone.select(
-        "conv_id", (F.col("piece") * PIECE + F.col("at") + 1).cast("long").alias("depth"), F.col("conv_id").alias("parent_conv_id"),
+        "conv_id", (F.col("piece") * PIECE + F.col("at") + 1).cast("long").alias("depth"), F.when(F.col("at") == 0, F.col("owner")).otherwise(F.col("conv_id")).alias("parent_conv_id"),
         F.lit(1).cast("long").alias("n_convs"), F.when(last, 0).otherwise(1).cast("long").alias("n_children"), F.lit(1).cast("long").alias("n_leaves"),
         F.lit(0).cast("long").alias("saved_tokens"), F.when(last, F.sha2(F.col("conv_id").cast("string").cast("binary"), 256)).otherwise(_EMPTY).alias("ends_sha256")))
     nodes = out[0]
