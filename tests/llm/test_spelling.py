@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,18 +57,36 @@ def some_words(seed, n=700):
     return {w: rng.choice([1, 2, 3, 5, 8, 20, 100]) for w in words}
 
 
-@pytest.mark.parametrize(("batch", "hot"), [(10_000, 50_000), (7, 50_000), (64, 3)])
-def test_variants_equal_brute_force(spark, monkeypatch, batch, hot):
+@pytest.mark.parametrize(("block", "hot"), [(10_000, 50_000), (2, 50_000), (64, 3)])
+def test_variants_equal_brute_force(spark, monkeypatch, block, hot):
     monkeypatch.setattr(spelling, "HOT", hot)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
-    try:
-        words = some_words(batch)
-        got = spelling.variants(spark.createDataFrame(list(words.items()), "word string, n long")).collect()
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(spelling, "BLOCK_WORDS", block)
+    words = some_words(block)
+    got = spelling.variants(spark.createDataFrame(list(words.items()), "word string, n long")).collect()
     assert sorted(map(tuple, got), key=lambda r: r[0]) == brute(words)
 
 
+def test_blocks_agree_on_their_nodes():
+    """Whatever the blocks, the nodes of all blocks together are those of one block of all words."""
+    words = sorted(some_words(1))
+
+    def kept(size):
+        blocks = [words[i:i + size] for i in range(0, len(words), size)]
+        common_nodes, out = set(), {}
+        borders = [spelling.common(a[-1], b[0]) for a, b in zip(blocks, blocks[1:])] + [0]
+        rows = [{"words": b, "side": 0, "counts": [1] * len(b), "left": borders[k - 1] if k else 0, "right": borders[k]} for k, b in enumerate(blocks)]
+        for row in rows:
+            for batch in spelling._shared_nodes([pa.RecordBatch.from_pylist([row])]):
+                common_nodes |= set(batch.column("node").to_pylist())
+        for row in rows:
+            for got in spelling._trie_rows(row, common_nodes).to_pylist():
+                if got["kind"] == spelling.WORD_ROW:
+                    out[got["text"]] = (got["pos"], got["nodes"])
+        return out
+
+    assert kept(1) == kept(5) == kept(len(words))
+
+
 def test_letters_beyond_the_alphabet(spark):
     words = {"日本語テキスト": 9, "日本語テクスト": 2, "😀abcde": 5, "😁abcde": 1, "abcde": 1}
     got = spelling.variants(spark.createDataFrame(list(words.items()), "word string, n long")).collect()

@@ -1,8 +1,8 @@
 """Spelling variants: words one edit apart, found by walking a frontier of states through a distributed trie.
 
-The words are range-sorted, as they are and reversed, and every sorted batch gives its part of two radix tries: nodes are known by a hash of
-their prefix, edges carry the letters between two nodes. A node is kept where words of the batch part or end, and at every prefix of the
-batch's first and last word, as those are the prefixes that other batches may share; so all batches agree on the nodes they have in common.
+The words are range-sorted, as they are and reversed, and every block of sorted words gives its part of two radix tries: nodes are known by a hash of
+their prefix, edges carry the letters between two nodes. A node is kept where words of the block part or end, or where other blocks say that theirs do:
+a prefix that several blocks share begins the first or last word of each, so a block tells the others about its nodes on those two paths alone.
 
 Two words one edit apart agree up to the edit or from it on, and one of these parts holds at least half of the longer word. So a word's
 edit-free states, known from its own path, may take their edit from the middle on, in the forward trie or in the reversed one. Rounds
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.sized_join import if_small
@@ -25,6 +26,7 @@ from .common import LOWER, UPPER, written
 RUN = "[a-zÀ-ÿ]"
 #: States of one node (or words of one form) that a task of a join should see; the rest meet copies of the node's edges elsewhere.
 HOT = 50_000
+BLOCK_WORDS = 10_000
 _TRIE = "side int, kind int, node long, text string, child long, n long, pos array<int>, nodes array<long>"
 WORD_ROW, EDGE_ROW = 0, 1
 
@@ -56,12 +58,12 @@ def common(a: str, b: str) -> int:
     return min(len(a), len(b))
 
 
-def paths(words: list[str]) -> tuple[list[list[int]], list[int]]:
-    """For sorted words: the lengths of the prefixes on each word's path that are kept, and what it shares with the word before."""
+def partings(words: list[str]) -> tuple[list[int], list[tuple[int, ...]], list[tuple[int, ...]]]:
+    """For sorted words: what each shares with the one before, and the lengths at which its path parts from words before and behind it."""
     n = len(words)
     shared = [0] + [common(words[i - 1], words[i]) for i in range(1, n)]
 
-    def parting(order: range, step: int) -> list[tuple[int, ...]]:
+    def walk(order: range, step: int) -> list[tuple[int, ...]]:
         stack, out = [], [()] * n
         for i in order:
             border = shared[max(i, i - step)]
@@ -72,13 +74,24 @@ def paths(words: list[str]) -> tuple[list[list[int]], list[int]]:
             out[i] = tuple(stack)
         return out
 
-    before, behind = parting(range(1, n), 1), parting(range(n - 2, -1, -1), -1)
-    of_first, of_last = [0] * n, [0] * n
-    for i in range(n):
-        of_first[i] = len(words[0]) if i == 0 else min(of_first[i - 1], shared[i])
-    for i in range(n - 1, -1, -1):
-        of_last[i] = len(words[-1]) if i == n - 1 else min(of_last[i + 1], shared[i + 1])
-    return [sorted({len(words[i]), *before[i], *behind[i], *range(max(of_first[i], of_last[i]) + 1)}) for i in range(n)], shared
+    return shared, walk(range(1, n), 1), walk(range(n - 2, -1, -1), -1)
+
+
+def paths(words: list[str], on_first: list[int], on_last: list[int]) -> tuple[list[list[int]], list[int]]:
+    """For sorted words: the lengths of the prefixes kept on each word's path, and what it shares with the word before.
+
+    ``on_first`` and ``on_last`` are lengths at which other blocks keep prefixes of the first and the last word.
+    """
+    shared, before, behind = partings(words)
+    n = len(words)
+    of_first, of_last = [len(words[0])] * n, [len(words[-1])] * n
+    for i in range(1, n):
+        of_first[i] = min(of_first[i - 1], shared[i])
+    for i in range(n - 2, -1, -1):
+        of_last[i] = min(of_last[i + 1], shared[i + 1])
+    kept = [sorted({0, len(w), *before[i], *behind[i], *(at for at in on_first if at <= of_first[i]), *(at for at in on_last if at <= of_last[i])})
+            for i, w in enumerate(words)]
+    return kept, shared
 
 
 def _node(prefix: str, side: int) -> int:
@@ -86,34 +99,92 @@ def _node(prefix: str, side: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def _tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of words, with the nodes from the middle of their path on, and rows of edges."""
+def _word_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pack the sorted words of a task into blocks of one side each."""
+    seq = 0
+    held: list[tuple] = []
+
+    def block():
+        sides, words, counts, parts = zip(*held, strict=True)
+        return pa.record_batch([pa.array([parts[0]], pa.int32()), pa.array([seq], pa.int32()), pa.array([sides[0]], pa.int32()), pa.array([words[0]]),
+                                pa.array([words[-1]]), pa.array([words], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64()))],
+                               ["part", "seq", "side", "first", "last", "words", "counts"])
+
     for batch in batches:
-        sides, words, counts = (c.to_pylist() for c in batch.columns)
-        cut = sides.index(1) if 1 in sides else len(sides)
-        out = {name: [] for name in ("side", "kind", "node", "text", "child", "n", "pos", "nodes")}
-
-        def row(*values, out=out):
-            for column, value in zip(out.values(), values, strict=True):
-                column.append(value)
-
-        for side, lo, hi in ((0, 0, cut), (1, cut, len(sides))):
-            mine = words[lo:hi]
-            if not mine:
-                continue
-            kept, shared = paths(mine)
-            for word, n, path, known in zip(mine, counts[lo:hi], kept, shared, strict=True):
-                middle = len(word) // 2 if side == 0 else len(word) - len(word) // 2
-                first = next(i for i, at in enumerate(path) if at >= middle)
-                new = next(i for i, at in enumerate(path) if at > known or at == len(word))
-                nodes = {at: _node(word[:at], side) for at in path[min(first, max(new - 1, 0)):]}
-                row(side, WORD_ROW, nodes[len(word)], word, None, n, path[first:-1], [nodes[at] for at in path[first:-1]])
-                for a, b in zip(path[max(new - 1, 0):], path[max(new, 1):]):  # noqa: B905
-                    if b > known:
-                        row(side, EDGE_ROW, nodes[a], word[a:b], nodes[b], None, None, None)
-        types = {"side": pa.int32(), "kind": pa.int32(), "node": pa.int64(), "text": pa.string(), "child": pa.int64(), "n": pa.int64(),
-                 "pos": pa.list_(pa.int32()), "nodes": pa.list_(pa.int64())}
-        yield pa.record_batch([pa.array(v, types[k]) for k, v in out.items()], list(out))
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and (len(held) >= BLOCK_WORDS or held[-1][0] != row[0]):
+                yield block()
+                held, seq = [], seq + 1
+            held.append(row)
+    if held:
+        yield block()
+
+
+def _border_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        got = batch.to_pydict()
+        left = [common(a, b) if a is not None else 0 for a, b in zip(got["previous"], got["first"], strict=True)]
+        right = [common(a, b) if b is not None else 0 for a, b in zip(got["last"], got["following"], strict=True)]
+        yield pa.record_batch([batch.column("part"), batch.column("seq"), pa.array(left, pa.int32()), pa.array(right, pa.int32())],
+                              ["part", "seq", "left", "right"])
+
+
+def _shared_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes of each block that are also prefixes of words in the block before or behind it."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            words, side, left, right = (row[c] for c in ("words", "side", "left", "right"))
+            _, before, behind = partings(words)
+            nodes = {_node(words[0][:at], side) for at in (*behind[0], left) if at <= left}
+            nodes |= {_node(words[-1][:at], side) for at in (*before[-1], right) if at <= right}
+            yield pa.record_batch([pa.array(sorted(nodes), pa.int64())], ["node"])
+
+
+def _tries(common_nodes: set[int]):
+    """Rows of words, with the nodes from the middle of their path on, and rows of edges."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.to_pylist():
+                yield _trie_rows(block, common_nodes)
+    return run
+
+
+def _trie_rows(block: dict, common_nodes: set[int]) -> pa.RecordBatch:
+    side, words = block["side"], block["words"]
+    out = {name: [] for name in ("side", "kind", "node", "text", "child", "n", "pos", "nodes")}
+
+    def row(*values):
+        for column, value in zip(out.values(), values, strict=True):
+            column.append(value)
+
+    on = [[at for at in range(border + 1) if _node(word[:at], side) in common_nodes]
+          for word, border in ((words[0], block["left"]), (words[-1], block["right"]))]
+    for word, n, path, known in zip(words, block["counts"], *paths(words, *on), strict=True):
+        middle = len(word) // 2 if side == 0 else len(word) - len(word) // 2
+        first = next(i for i, at in enumerate(path) if at >= middle)
+        new = next(i for i, at in enumerate(path) if at > known)
+        nodes = {at: _node(word[:at], side) for at in path[min(first, new - 1):]}
+        row(side, WORD_ROW, nodes[len(word)], word, None, n, path[first:-1], [nodes[at] for at in path[first:-1]])
+        for a, b in zip(path[new - 1:], path[new:]):  # noqa: B905
+            row(side, EDGE_ROW, nodes[a], word[a:b], nodes[b], None, None, None)
+    types = {"side": pa.int32(), "kind": pa.int32(), "node": pa.int64(), "text": pa.string(), "child": pa.int64(), "n": pa.int64(),
+             "pos": pa.list_(pa.int32()), "nodes": pa.list_(pa.int64())}
+    return pa.record_batch([pa.array(v, types[k]) for k, v in out.items()], list(out))
+
+
+def _trie(words: DataFrame) -> DataFrame:
+    """Both tries as rows of words and of edges."""
+    sides = words.select(F.lit(0).alias("side"), "word", "n").union(words.select(F.lit(1).alias("side"), F.reverse("word").alias("word"), "n"))
+    ranged = sides.repartitionByRange("side", "word").sortWithinPartitions("side", "word").withColumn("part", F.spark_partition_id())
+    blocks = written(ranged.mapInArrow(_word_blocks, "part int, seq int, side int, first string, last string, words array<string>, counts array<long>"),
+                     "spelling-blocks")
+    in_order = W.partitionBy("side").orderBy("part", "seq")  # a row per block: its two outer words
+    outer = blocks.select("part", "seq", "first", "last", F.lag("last").over(in_order).alias("previous"), F.lead("first").over(in_order).alias("following"))
+    borders = written(outer.mapInArrow(_border_lengths, "part int, seq int, left int, right int"), "spelling-borders")
+    bordered = blocks.drop("first", "last").join(F.broadcast(borders), ["part", "seq"])  # four numbers per block of words
+    # to the driver: some nodes of two paths per block, far fewer than one per hundred words
+    common_nodes = {r[0] for r in bordered.mapInArrow(_shared_nodes, "node long").distinct().collect()}
+    return written(bordered.mapInArrow(_tries(common_nodes), _TRIE), "spelling-trie")
 
 
 def _met(states: DataFrame, others: DataFrame, keys: list[str], how: str = "inner", hot: int | None = None) -> DataFrame:
@@ -140,9 +211,7 @@ def neighbours(words: DataFrame) -> DataFrame:
 
     ``words`` has the columns word and n and is written by the caller; words are not repeated and not empty.
     """
-    sides = words.select(F.lit(0).alias("side"), "word", "n").union(words.select(F.lit(1).alias("side"), F.reverse("word").alias("word"), "n"))
-    # a batch must hold consecutive words: ranges, sorted
-    trie = written(sides.repartitionByRange("side", "word").sortWithinPartitions("side", "word").mapInArrow(_tries, _TRIE), "spelling-trie")
+    trie = _trie(words)
     own = trie.filter(F.col("kind") == WORD_ROW).select("side", "node", F.col("text").alias("word"), "n", "pos", "nodes")
     edges = trie.filter(F.col("kind") == EDGE_ROW).select(
         "node", F.col("text").alias("label"), "child", F.char_length("text").alias("m"), F.substring("text", 1, 1).alias("next"))
