@@ -100,29 +100,39 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.
     return out.select("doc_id", source.alias("source"), "size", "source_size", "target", "taken")
 
 
+def _free(name: str, columns: list[str]) -> str:
+    """``name``, with as many underscores behind it as it takes to be none of ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0,
                     most_repeats: int = 3) -> DataFrame:
     """The mixed corpus: one row per document and epoch, the document at the cut shortened.
 
-    Returns the columns of ``docs`` (doc_id, text and source among them), then mix_epoch and mix_taken, the words of this row. Texts
-    of size 0 belong to no epoch and are left out. Columns of ``docs`` that begin with ``mix_`` are dropped.
+    Returns the columns of ``docs`` (doc_id, text and source among them), then mix_epoch and mix_taken, the words of this row. Should ``docs``
+    have columns of these names, they stay as they are and the new ones get an underscore more. Texts of size 0 belong to no epoch and are left out.
     """
-    docs = docs.drop(*[c for c in docs.columns if c.lower().startswith("mix_")])
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"))  # no name can clash
     plan = written(mix(docs, weights, share, most_repeats).select(
         F.col("doc_id").alias("mix_id"), F.col("size").alias("mix_size"), F.col("taken").alias("mix_total")), "mix-plan")
     if plan.groupBy("mix_id").count().filter("count > 1").isEmpty():
-        rows = docs.join(plan.filter("mix_total > 0"), F.col("doc_id").eqNullSafe(F.col("mix_id"))).drop("mix_id")
+        rows = whole.join(plan.filter("mix_total > 0"), F.col("document.doc_id").eqNullSafe(F.col("mix_id"))).drop("mix_id")
     else:  # an id doesn't tell its row: let the rows take part themselves
-        whole_row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
-        placed = _plan(docs, [whole_row], weights, share, most_repeats, "doc_id", "text", "source").filter("taken > 0")
-        rows = placed.select("row.*", F.col("size").alias("mix_size"), F.col("taken").alias("mix_total"))
+        named = whole.select("document", F.col("document.doc_id"), F.col("document.text"), F.col("document.source"))
+        placed = _plan(named, [F.col("document")], weights, share, most_repeats, "doc_id", "text", "source").filter("taken > 0")
+        rows = placed.select("document", F.col("size").alias("mix_size"), F.col("taken").alias("mix_total"))
     last = F.ceil(F.col("mix_total") / F.col("mix_size")).cast("int")
     rows = rows.withColumn("mix_epoch", F.explode(F.sequence(F.lit(1), last)))
     rows = rows.withColumn("mix_taken", F.least(F.col("mix_size"), F.col("mix_total") - (F.col("mix_epoch") - 1) * F.col("mix_size")))
-    words = F.split(F.regexp_replace(F.col("text"), r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
+    text = F.col("document.text")
+    words = F.split(F.regexp_replace(text, r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
     head = F.array_join(F.slice(words, F.lit(1), F.col("mix_taken").cast("int")), " ")
-    text = F.when(F.col("mix_taken") == F.col("mix_size"), F.col("text")).otherwise(head)
-    return rows.withColumn("text", text).select(*docs.columns, "mix_epoch", "mix_taken")
+    text = F.when(F.col("mix_taken") == F.col("mix_size"), text).otherwise(head)
+    return rows.select(*[(text if c == "text" else F.col("document").getField(c)).alias(c) for c in docs.columns],
+                       F.col("mix_epoch").alias(_free("mix_epoch", docs.columns)), F.col("mix_taken").alias(_free("mix_taken", docs.columns)))
 
 
 ORACLE = """
