@@ -1,88 +1,89 @@
 """The corpus pipeline: language ID, exact dedup, near-dedup, decontamination, mixing.
 
 Each stage takes (spark, docs, sf_dir) and works on all documents its predecessor kept. All but the last return the
-columns of ``docs``; the last returns the mixed corpus. Decisions on a row hold for that row alone, also where its doc_id is null or
-repeated.
+columns of ``docs``; the last returns the mixed corpus. A stage first numbers its rows and keeps them, as a whole, in the shared folder:
+operators get the numbers for ids, so decisions on a row hold for that row alone, also where its doc_id is null or repeated, and no column can
+clash with a name used here. An empty table stays empty. Ties between rows with the same doc_id go to the row read first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalog.llm import decontamination, exact_dedup, language_id, mixing, shingle_sets
-from vitalog.llm.common import LOWER, UPPER, in_fold, written
+from vitalog import files
+from vitalog.llm import decontamination, exact_dedup, language_id, mixing, simhash
+from vitalog.llm.common import in_fold, written
 from vitalog.operators.sized_join import join_group_rows
-from vitalog.session import configure
+from vitalog.session import configure, scratch, scratch_dir
 
 #: A text whose best language has less than this probability is in no language the model knows well enough.
 LEAST_LANGUAGE_SCORE = 0.4
 #: Parts the ids are dealt into by their checksum, and the part the language model doesn't learn from.
 LANGUAGE_PARTS, LANGUAGE_FOLD = 4, 2
+#: Operator 1's contract: words of a shingle, and bits in which linked fingerprints may differ.
+SHINGLE_WORDS, MOST_BITS = 3, 2
 
 
-def _only(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Rows of ``docs`` whose id is (left_anti: is not) among ``ids``; null ids are equal to each other."""
-    chosen = ids.select(F.col("doc_id").alias("chosen_id")).distinct()
-    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen_id")), how)
+def _numbered(docs: DataFrame, label: str) -> DataFrame:
+    """(row, document): the rows as they are under numbers that are fixed from here on."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document")
+    return written(docs.select(F.monotonically_increasing_id().alias("row"), whole), f"pipeline-{label}")
 
 
-def _row() -> Column:
-    """64-bit hash of a row's id and text, which tells apart rows that share an id or have none."""
-    return F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.col("text").isNull(), F.col("text"))
+def _texts(rows: DataFrame) -> DataFrame:
+    """(doc_id, text) with the number of the row for an id."""
+    return rows.select(F.col("row").alias("doc_id"), F.col("document.text").cast("string").alias("text"))
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) with the hash of the row in place of the id, for operators that decide on each row by its text."""
-    return docs.select(_row().alias("doc_id"), "text")
+def _without(rows: DataFrame, dropped: DataFrame, label: str) -> DataFrame:
+    """The documents whose number is not in the one column of ``dropped``."""
+    dropped = written(dropped.toDF("row"), f"pipeline-{label}")
+    return rows.join(dropped, "row", "left_anti").select("document.*")
 
 
-def _without(docs: DataFrame, dropped: DataFrame, label: str) -> DataFrame:
-    """Rows of ``docs`` whose hash is not in the one column of ``dropped``."""
-    dropped = written(dropped.toDF("_row").distinct(), label)
-    return docs.withColumn("_row", _row()).join(dropped, "_row", "left_anti").select(docs.columns)
+def _all_but_one(rows: DataFrame, groups: DataFrame, smallest: bool, label: str) -> DataFrame:
+    """The documents but those of a group (row, group) whose id is not its smallest (or largest); a row without id stays only among such."""
+    doc_id = F.col("document.doc_id").cast("long")
+    held = written(groups.join(rows.select("row", doc_id.alias("doc_id")), "row"), f"pipeline-{label}-groups")
+    if smallest:
+        kept = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+    else:
+        kept = F.max(F.struct(F.col("doc_id").isNotNull(), "doc_id", (-F.col("row")).alias("less"), "row"))
+    chosen = held.groupBy("group").agg(kept["row"].alias("kept"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return _without(rows, join_group_rows(held, chosen, ["group"]).filter("row <> kept").select("row"), label)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts without letters, and those no language fits."""
     learned = docs.filter(~in_fold(F.col("doc_id"), LANGUAGE_PARTS, LANGUAGE_FOLD))  # as operator 3 learns
-    told = language_id.identify(_rows(docs), language_id.fit(learned))
+    rows = _numbered(docs, "language-rows")
+    told = language_id.identify(_texts(rows), language_id.fit(learned))
     rejected = told.filter((F.col("lang_pred") == language_id.UNKNOWN) | (F.col("score") < LEAST_LANGUAGE_SCORE))
-    return _without(docs, rejected.select("doc_id"), "pipeline-language")
+    return _without(rows, rejected.select("doc_id"), "language")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts keep the row with the largest id; of rows that repeat it, one."""
-    told = written(exact_dedup.exact_copies(docs), "pipeline-exact")
-    kept = told.filter("kept")
-    dropped = told.filter("NOT kept").select("doc_id")
-    shared = _only(kept, dropped).select("doc_id", "text_sha256")  # ids with both kept and dropped rows
-    out = _only(docs, dropped, "left_anti")
-    if shared.isEmpty():
-        return out
-    folded = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
-    rows = _only(docs, shared).withColumn("_sha", F.sha2(folded.cast("binary"), 256))
-    named = shared.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_named"))
-    rows = rows.join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_named")), "left_semi")
-    return out.union(rows.dropDuplicates(["doc_id", "_sha"]).drop("_sha"))
+    """Of equal texts, whole and but for the case of A-Z, keep the row with the largest id."""
+    rows = _numbered(docs, "exact-rows")
+    told = exact_dedup.exact_copies(_texts(rows)).filter("group_size > 1")
+    return _all_but_one(rows, told.select(F.col("doc_id").alias("row"), F.col("keep_id").alias("group")), False, "exact")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, texts with Jaccard similarity >= 0.8 of their 5-word shingles, keep the smallest id."""
-    rows = docs.select(_row().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    told = shingle_sets.similar(rows).distinct().join(rows.select("row", "doc_id").distinct(), "row")
-    told = written(told, "pipeline-near-groups")
-    least = told.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("kept"), F.count("*").alias("n"))
-    dropped = join_group_rows(told, least.filter("n > 1").drop("n"), ["root"]).filter("row <> kept").select("row")
-    return _without(docs, dropped, "pipeline-near")
+    """Of each group of texts linked by their SimHash fingerprints keep the row with the smallest id."""
+    rows = _numbered(docs, "near-rows")
+    told = simhash.near_duplicates(_texts(rows), width=SHINGLE_WORDS, tau=MOST_BITS)
+    return _all_but_one(rows, told.select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")), True, "near")
 
 
 def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
-    found = decontamination.contaminated(_rows(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.select("doc_id"), "pipeline-leaks")
+    rows = _numbered(docs, "leak-rows")
+    found = decontamination.contaminated(_texts(rows), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(rows, found.select("doc_id").distinct(), "leaks")
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -98,15 +99,23 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixing", mix_stage),
 ]
 
-#: Language ID, shingle similarity and edit matching are beyond SQL; tests hold the pipeline against brute force.
+#: Language ID, fingerprint links and edit matching are beyond SQL; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to the documents, each written as Parquet and read again by the next."""
-    docs = configure(spark).read.parquet(f"{sf_dir}/documents.parquet")
-    for number, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if number < len(STAGES) - 1:
-            docs = written(docs, f"pipeline-{name}")
-    return docs
+    """Apply the stages to the documents, each written as Parquet and read again by the next.
+
+    What a stage kept for itself is removed when its result is written, and its result when the next one's is.
+    """
+    docs, before = configure(spark).read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        path = scratch_dir(spark, f"pipeline-{name}", kept=True)
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            files.delete(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
