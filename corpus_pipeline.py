@@ -1,7 +1,7 @@
 """The corpus pipeline: language ID, exact dedup, near-dedup, decontamination, mixing.
 
 Each stage takes (spark, docs, sf_dir) and works on all documents its predecessor kept. All but the last return the
-columns of ``docs``; the last returns the mixed corpus. A stage first numbers its rows and keeps them, as a whole, in the shared folder:
+columns of ``docs``; the last returns the mixed corpus. A stage numbers its rows by file and place and carries each as a whole:
 operators get the numbers for ids, so decisions on a row hold for that row alone, also where its doc_id is null or repeated, and no column can
 clash with a name used here. An empty table stays empty. Ties between rows with the same doc_id go to the row read first.
 """
@@ -10,13 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vitalog import files
 from vitalog.llm import decontamination, exact_dedup, language_id, mixing, simhash
 from vitalog.llm.common import in_fold, written
-from vitalog.operators.sized_join import join_group_rows
+from vitalog.operators.sized_join import if_small, join_group_rows
 from vitalog.session import configure, scratch, scratch_dir
 
 #: A text whose best language has less than this probability is in no language the model knows well enough.
@@ -25,12 +26,20 @@ LEAST_LANGUAGE_SCORE = 0.4
 LANGUAGE_PARTS, LANGUAGE_FOLD = 4, 2
 #: Operator 1's contract: words of a shingle, and bits in which linked fingerprints may differ.
 SHINGLE_WORDS, MOST_BITS = 3, 2
+#: Bits of a row's number that count inside its file.
+PLACE_BITS = 40
 
 
 def _numbered(docs: DataFrame, label: str) -> DataFrame:
-    """(row, document): the rows as they are under numbers that are fixed from here on."""
+    """(row, document): the rows as they are, numbered by their file and their place in it; a table that isn't read from files is written first."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document")
-    return written(docs.select(F.monotonically_increasing_id().alias("row"), whole), f"pipeline-{label}")
+    try:
+        placed = docs.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("at"), whole)
+    except AnalysisException:
+        return written(docs.select(F.monotonically_increasing_id().alias("row"), whole), f"pipeline-{label}")
+    names = placed.select("path").distinct().withColumn("file", F.row_number().over(Window.orderBy("path")).cast("long"))  # a row per file
+    names = written(names, f"pipeline-{label}")
+    return placed.join(if_small(names) or names, "path").select((F.shiftleft("file", PLACE_BITS) + F.col("at")).alias("row"), "document")
 
 
 def _texts(rows: DataFrame) -> DataFrame:
