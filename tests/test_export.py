@@ -156,12 +156,47 @@ def test_import(spark, export, tmp_path, layout):
     assert store.records.count() == 6 and store.stats.filter("average IS NULL").count() == 1
 
 
+WELL_FORMED = {
+    "prolog": '\ufeff<?xml version="1.0"?>\n<!-- a & b --><!DOCTYPE H [\n<!-- < > --> <!ELEMENT H (Record*)>\n<!ATTLIST H locale CDATA #REQUIRED>\n<!-- c -->\n]>\n<H>%s</H>',
+    "epilog": "<H>%s</H>\n<!-- <H> & --><?end of it?>\n<!-- - -->\n",
+    "one empty root": "%.0s<H/>",
+    "text": "<H a = 'b'\n c=\"d'>\" >one &amp; two &#38; three > four --> five %s</H >",
+    "hidden": "<H><![CDATA[ <a> & <b x=y ]] > ]]>%s<!-- <Record type='no'/> & <x --> text <?pi a=b?></H>",
+    "same names": "<H><a><a></a></a><a/><b><a></a></b>%s</H>",
+}
+
+
 MALFORMED = {
     "cut short": '<HealthData><Record type="t"/><Workout><WorkoutStatistics sum="1"/>',
     "wrong closing tag": "<HealthData><Workout></Record></HealthData>",
     "wrong order": "<HealthData><A><B></A></B></HealthData>",
     "closed too often": "<HealthData></HealthData></HealthData>",
     "two roots": "<HealthData></HealthData><HealthData></HealthData>",
+    "siblings closed crosswise": "<HealthData><A><x></y><y></x></A></HealthData>",
+    "second root of another name": "<HealthData></HealthData><G></G>",
+    "record after the root": '<HealthData></HealthData><Record type="a"/>',
+    "record before the root": '<Record type="a"/><HealthData></HealthData>',
+    "value without quotes": '<HealthData><Record type=a value="1"/></HealthData>',
+    "attribute without a value": '<HealthData><Record type "a"/></HealthData>',
+    "attributes without a blank": '<HealthData><Record type="a"unit="b"/></HealthData>',
+    "attribute twice": '<HealthData><Metadata k="a" k="b"/></HealthData>',
+    "record attribute twice": '<HealthData><Record type="a" type="b"/></HealthData>',
+    "text after the root": "<HealthData></HealthData> text",
+    "text before the root": "text <HealthData></HealthData>",
+    "text before the root's comment": "<!-- c --> text <HealthData></HealthData>",
+    "text after a long comment": "<HealthData></HealthData><!-- <a> <b> --> text",
+    "character data after the root": "<HealthData></HealthData><![CDATA[ x ]]>",
+    "declaration after the root": "<HealthData></HealthData><!DOCTYPE HealthData >",
+    "no name": "<HealthData>< a></HealthData>",
+    "a bare bracket": "<HealthData>a < b</HealthData>",
+    "two brackets": "<HealthData><<a/></HealthData>",
+    "bracket in a value": '<HealthData><Record type="a<b"/></HealthData>',
+    "an end of character data": "<HealthData>]]></HealthData>",
+    "hyphens in a comment": "<HealthData><!-- a -- b --></HealthData>",
+    "bare ampersand in text": "<HealthData>this & that</HealthData>",
+    "only text": "nothing here",
+    "only blanks": "  ",
+    "nothing at all": "",
     "unknown reference": '<HealthData><Record type="a &bogus; b"/></HealthData>',
     "bare ampersand": '<HealthData><Record type="a & b"/></HealthData>',
     "date": '<HealthData><Record type="t" startDate="soon"/></HealthData>',
@@ -172,28 +207,66 @@ MALFORMED = {
 }
 
 
+@pytest.mark.parametrize("name", [n for n in MALFORMED if not n.startswith(("date", "number"))])
+def test_the_yardstick_refuses_them_too(name):
+    with pytest.raises(ET.ParseError):
+        ET.fromstring(MALFORMED[name].encode())
+
+
+VALUES = [n for n in MALFORMED if n.startswith(("date", "number")) or n in ("record attribute twice", "nothing at all")]
+
+
 @pytest.mark.parametrize("split", ["100m", "16"])
-@pytest.mark.parametrize("name", MALFORMED)
-def test_malformed_files_fail_and_change_nothing(spark, export, tmp_path, name, split):
+def test_malformed_files_are_told(spark, tmp_path, split):
+    """All in one folder, beside good files."""
+    for name, text in (MALFORMED | {f"good {n}": t % "<Record/>" for n, t in WELL_FORMED.items()}).items():
+        if name not in VALUES:
+            (tmp_path / f"{name.replace(' ', '_')}.xml").write_text(text)
+    with splits_of(spark, split):
+        told = {r["file"].rsplit("/", 1)[1][:-4].replace("_", " ") for r in landing.malformed_files(spark, str(tmp_path)).collect()}
+    assert told == {n.replace("'", "%27") if "%27" in str(told) else n for n in MALFORMED if n not in VALUES}
+
+
+@pytest.mark.parametrize("name", VALUES)
+def test_malformed_values_fail_the_import(spark, tmp_path, name):
+    (tmp_path / "a.xml").write_text(MALFORMED[name])
+    with pytest.raises((PySparkException, ValueError)):
+        landing.import_export(spark, str(tmp_path / "a.xml"), str(tmp_path / "tables"))
+
+
+@pytest.mark.parametrize("name", ["wrong order", "date", "number"])
+def test_a_failed_import_changes_nothing(spark, export, tmp_path, name):
     target, bad = str(tmp_path / "tables"), tmp_path / "bad"
     bad.mkdir()
     (bad / "a.xml").write_text(MALFORMED[name])
     landing.import_export(spark, export, target)
     before = [rows(landing.Tables(target).read(spark, t)) for t in landing.STORED]
     for mode in ("overwrite", "append"):
-        with splits_of(spark, split), pytest.raises((PySparkException, ValueError)):
+        with pytest.raises((PySparkException, ValueError)):
             landing.import_export(spark, str(bad), target, mode=mode)
     assert [rows(landing.Tables(target).read(spark, t)) for t in landing.STORED] == before
     assert len([p for p in (tmp_path / "tables").iterdir() if p.name.startswith("import-")]) == 1
 
 
-@pytest.mark.parametrize("name", [n for n in MALFORMED if not n.startswith(("date", "number"))])
+@pytest.mark.parametrize("name", ["wrong order", "unknown reference"])
 def test_malformed_files_give_no_documents(spark, tmp_path, name):
     (tmp_path / "a.xml").write_text(MALFORMED[name])
     with pytest.raises((PySparkException, ValueError)):
         ExportFiles(spark, str(tmp_path)).documents().documents.collect()
 
 
+@pytest.mark.parametrize("split", ["100m", "16"])
+def test_well_formed_files_are_read(spark, tmp_path, split):
+    for name, text in WELL_FORMED.items():
+        whole = text % '<Record type="a" sourceName="x > y"/>'
+        ET.fromstring(whole.encode())
+        (tmp_path / f"{name}.xml").write_text(whole)
+    with splits_of(spark, split):
+        found = landing.scan_tables(spark, str(tmp_path))["records"].collect()
+        landing.land_elements(spark, str(tmp_path))
+    assert [r.sourceName for r in found] == ["x > y"] * (len(WELL_FORMED) - 1)
+
+
 @pytest.mark.parametrize("split", ["100m", "30"])
 def test_records_inside_records_count(spark, tmp_path, split):
     text = '<HealthData><Record type="a"><Record type="b"><M k="1"/></Record></Record><Record type="c"/></HealthData>'

@@ -16,11 +16,11 @@ from ..params import WORKOUT_PREFIX
 from ..session import scratch_dir
 from ..sinks import tables as sinks
 from ..sources import export_xml, markup, normalize
-from ..sources.landing import Tables, import_export, scan_tables
+from ..sources.landing import Tables, import_export, malformed_files, scan_tables
 from ..sources.tables import read_parquet, read_table, route_by_schema
 from ..streaming import ingest, samples
 from . import sql
-from .export_files import FILE_ENDS, KEYS_PER_FILE, export_elements, export_path, raw_event_attributes
+from .export_files import FILE_ENDS, KEYS_PER_FILE, export_elements, export_path, raw_event_attributes, record_lines
 from .views import EVENTS, SCALE, event_records, order_records, pages, stats, table, workouts
 
 QUERIES = {}
@@ -382,6 +382,30 @@ def _failed_import(spark, sf_dir):
 query("ingest_failed_import", _failed_import, RECORDS)
 
 
+# How a file of records ends: well, or with something a parser refuses.
+_ENDINGS = ("</HealthData>", "<a><x></y><y></x></a></HealthData>", "</HealthData><G></G>", '</HealthData><Record type="late"/>',
+            "<Record type=bare/></HealthData>", '<Record type "none"/></HealthData>', '<Record type="a"unit="b"/></HealthData>', "</HealthData> text")
+_PARTS = 24
+
+
+def _malformed(spark, sf_dir):
+    """The events dealt out into files, seven of eight of which are malformed: which files are refused."""
+    path = scratch_dir(spark, "malformed")
+    lines = record_lines(table(spark, sf_dir, "events", EVENTS)).withColumn("part", (F.col("key") % _PARTS).cast("int"))
+    parts = lines.select("part").distinct()
+    ending = F.element_at(F.array(*[F.lit(e) for e in _ENDINGS]), F.col("part") % len(_ENDINGS) + 1)
+    frames = [parts.select("part", F.lit(section).alias("section"), F.lit(0).cast("bigint").alias("key"), F.lit(0).alias("sub"), F.lit("").alias("tie"),
+                           text.alias("text")) for section, text in ((0, F.lit(FILE_ENDS[0][0])), (3, ending))]
+    (lines.select("part", "section", "key", "sub", "tie", "text").union(frames[0]).union(frames[1]).repartition("part")
+     .sortWithinPartitions("part", "section", "key", "sub", "tie").select("part", "text").write.partitionBy("part").text(path))
+    told = malformed_files(spark, path).select(F.regexp_extract("file", "part=([0-9]+)", 1).cast("int").alias("part"), F.lit(True).alias("refused")).distinct()
+    return parts.join(told, "part", "left").select("part", F.coalesce("refused", F.lit(False)).alias("refused"))
+
+
+query("ingest_malformed", _malformed, f"""SELECT DISTINCT CAST(event_id % {_PARTS} AS INTEGER) AS part,
+  event_id % {_PARTS} % {len(_ENDINGS)} <> 0 AS refused FROM events""")
+
+
 def _append(spark, sf_dir):
     path = scratch_dir(spark, "append")
     for df in (event_records(spark, sf_dir), order_records(spark, sf_dir)):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from ..operators import insights, search, statistics, summary, trend
+from pyspark.sql import functions as F
+
+from ..operators import insights, overlap, search, statistics, summary, trend
 from ..params import SearchParams
 from . import sql
 from .views import SCALE, event_records, order_records
@@ -157,6 +159,40 @@ query("last_week_daily", event_records,
       lambda r: insights.last_week_daily(r, "purchase", scale=SCALE),
       trend_sql(EVENTS, "day", """type = 'purchase' AND "startDate" >=
       (SELECT MAX("startDate") - INTERVAL 7 DAY FROM records WHERE type = 'purchase')"""))
+
+
+def _lasting(spark, sf_dir):
+    """Events as records that last up to two hours, one in seven without length."""
+    minutes = F.when(F.col("record_id") % 7 == 0, 0).otherwise(F.col("record_id") * 37 % 121)
+    rows = event_records(spark, sf_dir)
+    return rows.withColumn("endDate", F.timestamp_micros(F.unix_micros("startDate") + minutes * 60_000_000))
+
+
+def _overlap_time(records):
+    found = overlap.source_overlap_time(records, cell_rows=200)
+    return found.withColumns({c: F.round(c, 4) for c in ("first_value", "second_value", "double_counted")})
+
+
+query("source_overlap_time", _lasting, _overlap_time,
+      EVENTS + """SELECT * REPLACE (round(first_value, 4) AS first_value, round(second_value, 4) AS second_value), round(least(first_value, second_value), 4) AS double_counted
+      FROM (WITH r AS (SELECT type, "sourceName" AS src, epoch_us("startDate") AS s,
+        epoch_us("startDate") + 60000000 * CASE WHEN record_id % 7 = 0 THEN 0 ELSE record_id * 37 % 121 END AS e, coalesce(value, 0) AS v FROM records),
+      marked AS (SELECT *, s > coalesce(max(e) OVER (PARTITION BY type, src ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS fresh
+        FROM r WHERE e > s),
+      numbered AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY type, src ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM marked),
+      isle AS (SELECT type, src, min(s) AS s, max(e) AS e FROM numbered GROUP BY type, src, k),
+      lengths AS (SELECT a.type, a.src AS x, b.src AS y, sum(least(a.e, b.e) - greatest(a.s, b.s)) AS time
+        FROM isle a JOIN isle b ON a.type = b.type AND a.src <> b.src AND a.s < b.e AND b.s < a.e GROUP BY ALL),
+      parts AS (SELECT r.type, r.src AS x, i.src AS y,
+          sum(CASE WHEN r.e > r.s THEN v * (least(r.e, i.e) - greatest(r.s, i.s)) / (r.e - r.s) ELSE v END) AS value,
+          sum((r.e = r.s)::INT) AS instants
+        FROM r JOIN isle i ON r.type = i.type AND r.src <> i.src AND ((r.e > r.s AND r.s < i.e AND i.s < r.e) OR (r.e = r.s AND r.s >= i.s AND r.s < i.e))
+        GROUP BY ALL),
+      pairs AS (SELECT coalesce(p.type, l.type) AS type, coalesce(p.x, l.x) AS x, coalesce(p.y, l.y) AS y, time, value, instants
+        FROM parts p FULL JOIN lengths l ON p.type = l.type AND p.x = l.x AND p.y = l.y)
+      SELECT type, least(x, y) AS first_source, greatest(x, y) AS second_source, coalesce(max(time), 0) / 1e6 AS overlap_seconds,
+        coalesce(sum(value) FILTER (WHERE x < y), 0.0) AS first_value, coalesce(sum(value) FILTER (WHERE x > y), 0.0) AS second_value,
+        coalesce(sum(instants), 0)::BIGINT AS instants FROM pairs GROUP BY ALL)""")
 query("downsample", event_records, lambda r: insights.downsample(r, "day", SCALE),
       EVENTS + f"""SELECT type, "sourceName", unit,
       CAST(date_trunc('day', "startDate") AS TIMESTAMP) AS "startDate", {sql.mean("value")} AS value,

@@ -72,7 +72,9 @@ class Tables:
 def file_sizes(spark: SparkSession, path: str | list[str]) -> tuple[int, int]:
     """Bytes of all files under ``path``, and of the largest one; contents are not read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    total, largest = found.agg(F.sum("length"), F.max("length")).first()
+    total, largest, least = found.agg(F.sum("length"), F.max("length"), F.min("length")).first()
+    if least == 0:
+        raise ValueError(f"malformed XML: an empty file in {path}")
     return total or 0, largest or 0
 
 
@@ -104,8 +106,10 @@ def land_elements(spark: SparkSession, source: str | list[str], path: str | None
     """
     size, _ = file_sizes(spark, source)
     with shuffles_sized_for(spark, size), scratch(spark):
-        found = land(markup.with_names(markup.elements(land_tags(spark, source))), path or scratch_dir(spark, "elements", kept=True))
-        markup.check_well_formed(found)
+        tags = land_tags(spark, source)
+        spans = markup.hidden_spans(tags)
+        found = land(markup.with_names(markup.elements(tags, spans)), path or scratch_dir(spark, "elements", kept=True))
+        markup.check_well_formed(tags, spans, found)
         return found
 
 
@@ -113,6 +117,13 @@ def land_tags(spark: SparkSession, source: str | list[str]) -> DataFrame:
     return land(markup.scan_tags(spark, source), scratch_dir(spark, "tags"))
 
 
+def malformed_files(spark: SparkSession, source: str | list[str]) -> DataFrame:
+    """(file, what) of the files that are no well-formed documents and would fail an import; empty files are not read here."""
+    tags = land_tags(spark, source)
+    spans = markup.hidden_spans(tags)
+    return markup.malformed(tags, spans, land(markup.enclosing_elements(tags, spans), scratch_dir(spark, "enclosing")))
+
+
 def scan_tables(spark: SparkSession, source: str | list[str], absent: float | None = 0.0) -> dict[str, DataFrame]:
     """The three tables of export files, however large a file is.
 
@@ -122,7 +133,7 @@ def scan_tables(spark: SparkSession, source: str | list[str], absent: float | No
     tags = land_tags(spark, source)
     spans = markup.hidden_spans(tags)
     found = land(markup.enclosing_elements(tags, spans), scratch_dir(spark, "enclosing"))
-    markup.check_well_formed(found)
+    markup.check_well_formed(tags, spans, found)
     return {"records": markup.shown_records(tags, spans), "workouts": markup.workouts(found), "stats": markup.stats(found, absent)}
 
 

@@ -27,6 +27,15 @@ POSITION = ["file", "block", "ordinal"]
 _NAME = r"^/?([\p{L}_:][\p{L}\p{N}_:.\-]*)"
 _START_TAG = r"""^((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
 _ATTRIBUTE = r"""([^\s=/"'>]+)\s*=\s*("[^"]*"|'[^']*')"""
+_WHOLE_NAME = r"[\p{L}_:][\p{L}\p{N}\p{M}_:.\-·]*+"
+_WHOLE_TAG = (rf"""^(?:/{_WHOLE_NAME}\s*+|{_WHOLE_NAME}(?:\s++{_WHOLE_NAME}\s*+=\s*+(?:"[^"]*+"|'[^']*+'))*+\s*+/?+)>""")
+_DECLARATION = r"^!(?:DOCTYPE|ELEMENT|ATTLIST|ENTITY|NOTATION)\s"
+_HIDDEN_END = r"(?s)^.*(?:-->|\]\]>)"
+_WHOLE_COMMENT = r"(?s)^!--(?:[^-]|-(?!-))*+-->"
+_BLANK = "^[\\s\ufeff]*$"
+
+# What a piece holds beside its tag: nothing, text (or character data), a declaration, or it is blank altogether.
+NOTHING, TEXT, DECLARATION, BLANK = 0, 1, 2, 3
 
 
 def _order():
@@ -50,7 +59,8 @@ def _same_file(found: Column) -> Column:
 def scan_tags(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Every piece of markup: where it stands, whether it opens, closes or is empty, its name.
 
-    ``ordinal`` grows along the document inside one split.
+    ``ordinal`` grows along the document inside one split. ``fits`` says whether the piece is markup as the grammar has it, with all references
+    known, ``beside`` what it holds beside its tag; both count where the piece is not hidden. ``beside_end`` holds for one in which a hidden span ends.
     """
     pieces = (
         spark.read.option("lineSep", "<").option("recursiveFileLookup", "true").text(path)
@@ -68,8 +78,48 @@ def scan_tags(spark: SparkSession, path: str | list[str]) -> DataFrame:
                     | (text.startswith("![CDATA[") & ~text.contains("]]>")))
     hides = F.when(opens_hidden, F.lit(True)).when(
         text.contains("-->") | text.contains("]]>"), F.lit(False))
-    return pieces.select(F.xxhash64("file").alias("file_id"), *POSITION, kind.alias("kind"),
-                         tag.alias("tag"), inside.alias("inside"), hides.alias("hides"))
+    return (pieces.withColumns({"kind": kind, "tag": tag, "inside": inside, "hides": hides})
+            .withColumn("behind", _behind()).withColumns({"fits": _fits(), "beside": _beside(), "beside_end": _beside_end()})
+            .select(F.xxhash64("file").alias("file_id"), *POSITION, "kind", "tag", "inside", "hides", "fits", "beside", "beside_end"))
+
+
+# Attributes of these are read one by one, where a repeated one is an error.
+_READ = ("Record", "Workout", "WorkoutStatistics")
+
+
+def _behind() -> Column:
+    """The text behind a piece's tag, comment, character data or instruction."""
+    text = F.col("text")
+    return (F.when(F.col("kind") != "other", F.substring(text, F.length("inside") + 2, F.length(text)))
+            .when(text.startswith("?"), F.substring_index(text, "?>", -1)).when(F.col("hides"), F.lit(""))
+            .otherwise(F.regexp_replace(text, _HIDDEN_END, "")))
+
+
+def _fits() -> Column:
+    text, behind = F.col("text"), F.col("behind")
+    names = F.regexp_extract_all(F.col("inside"), F.lit(_ATTRIBUTE), F.lit(1))
+    once = F.col("tag").isin(*_READ) | ~F.col("inside").contains("=") | (F.size(names) == F.size(F.array_distinct(names)))
+    hidden = text.startswith("!--") & (F.col("hides") | text.rlike(_WHOLE_COMMENT)) | text.startswith("![CDATA[")
+    as_text = ~(behind.contains("&") & behind.rlike(_UNKNOWN_REFERENCE)) & ~behind.contains("]]>")
+    # blanks stand before a file's first markup, which is counted later
+    as_other = text.rlike(_BLANK) | (hidden & as_text) | text.rlike(_DECLARATION) | (text.startswith("?") & text.contains("?>") & as_text)
+    known = ~(text.contains("&") & text.rlike(_UNKNOWN_REFERENCE))
+    return F.coalesce(F.when(F.col("kind") == "other", as_other).otherwise(text.rlike(_WHOLE_TAG) & as_text & known & once), F.lit(False))
+
+
+def _beside() -> Column:
+    text, behind = F.col("text"), F.col("behind")
+    # behind a comment in a declaration stands what closes that
+    closing = text.startswith("!--") & behind.rlike("^\\s*\\]\\s*>\\s*$")
+    return (F.when(text.rlike(_BLANK), BLANK).when(text.startswith("![CDATA["), TEXT)
+            .when((F.col("kind") == "other") & (text.rlike(_DECLARATION) | closing), DECLARATION)
+            .when(behind.rlike("\\S"), TEXT).otherwise(NOTHING)).cast("int")
+
+
+def _beside_end() -> Column:
+    behind = F.regexp_replace("text", _HIDDEN_END, "")
+    closing = behind.rlike("^\\s*\\]\\s*>\\s*$")
+    return F.when(~F.col("hides"), F.when(closing, DECLARATION).when(behind.rlike("\\S"), TEXT).otherwise(NOTHING)).cast("int")
 
 
 def hidden_spans(tags: DataFrame) -> DataFrame:
@@ -110,6 +160,12 @@ def visible(wanted: DataFrame, spans: DataFrame, broadcast_rows: int = BROADCAST
     return wanted.alias("t").join(side.alias("s"), within, "left_anti")
 
 
+def span_ends(tags: DataFrame, spans: DataFrame) -> DataFrame:
+    """The pieces in which hidden spans end; what stands behind the mark is shown again."""
+    side = spans.filter("until IS NOT NULL").select(*SPLIT, F.col("until").alias("ordinal"))
+    return tags.join(if_small(side) or side, [*SPLIT, "ordinal"], "left_semi")
+
+
 def elements(tags: DataFrame, spans: DataFrame | None = None, kept: Column | None = None,
              with_text: Column | None = None) -> DataFrame:
     """The visible tags with their depth (the root has depth 0).
@@ -129,26 +185,71 @@ def elements(tags: DataFrame, spans: DataFrame | None = None, kept: Column | Non
         *SPLIT, F.coalesce(F.sum("net").over(_earlier_splits()), F.lit(0)).alias("began"))
     # A closing tag is as deep as the element it closes.
     depth = F.col("began") + F.col("local") - F.when(F.col("kind") == "close", 1).otherwise(0)
-    return local.join(carried, SPLIT).select(
+    found = local.join(carried, SPLIT).select(
         "file_id", *POSITION, "kind", "tag", "inside", depth.cast("int").alias("depth"))
+    return found.withColumn("answers", _answers())
 
 
-def check_well_formed(found: DataFrame) -> None:
-    """Fail if a file is cut short, closes what it has not opened, or closes elements in the wrong order.
+def _answers() -> Column:
+    """For a closing tag: whether the tag before it at its depth opened that name; NULL where that stands in an earlier split.
 
-    ``found`` must hold all opening and closing tags. One row per file, depth and name goes through the check.
+    Opening and closing tags alternate at every depth, so what a closing tag closes is simply the one before.
     """
-    is_open = (F.col("kind") == "open").cast("bigint")
-    is_close = (F.col("kind") == "close").cast("bigint")
-    wrong = (
-        found.filter(F.col("kind") != "empty").groupBy("file", "depth", "tag")
-        .agg(F.sum(is_open).alias("opened"), F.sum(is_close).alias("closed"))
-        .filter((F.col("opened") != F.col("closed")) | (F.col("depth") < 0) | ((F.col("depth") == 0) & (F.col("opened") > 1)))
-        .orderBy("file", "depth", "tag").first()
-    )
+    before = Window.partitionBy(*SPLIT, "depth").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    opened = F.last(F.when(F.col("kind") != "empty", F.concat("kind", F.lit(" "), "tag")), ignorenulls=True).over(before)
+    return F.when(F.col("kind") == "close", opened == F.concat(F.lit("open "), F.col("tag")))
+
+
+def malformed(tags: DataFrame, spans: DataFrame, found: DataFrame) -> DataFrame:
+    """(file, what): what is wrong with files that are no well-formed documents, as far as a parser without a schema tells.
+
+    ``tags`` are all pieces, ``found`` the elements, with all opening and closing tags among them. Every visible piece must be markup; every closing tag must
+    answer the last tag at its depth, inside its split or, from one row per split and depth, across splits; and in each file one root must hold all
+    tags and all text. Only aggregates per split go through an exchange.
+    """
+    unfit = visible(tags.filter(~F.col("fits")), spans).groupBy("file").agg(
+        F.concat(F.lit("no markup: <"), F.coalesce(F.first("inside"), F.lit(""))).alias("what"))
+
+    as_last = F.struct("kind", "tag")
+    per_split = found.filter(F.col("kind") != "empty").groupBy(*SPLIT, "depth").agg(
+        F.min("file").alias("file"), F.min_by(as_last, "ordinal").alias("first"), F.max_by(as_last, "ordinal").alias("last"), F.min("answers").alias("answers"),
+        F.min_by("tag", F.when(~F.col("answers"), F.col("ordinal"))).alias("wrong"))
+    along = Window.partitionBy("file_id", "depth").orderBy("block")
+    joined = per_split.withColumns({"before": F.lag("last").over(along), "final": F.lead("block").over(along).isNull()})
+    opens_before = F.coalesce(F.col("before.kind") == "open", F.lit(False))
+    answered = F.when(F.col("first.kind") == "close", opens_before & F.coalesce(F.col("before.tag") == F.col("first.tag"), F.lit(False))).otherwise(~opens_before)
+    bad = (F.col("depth") < 0) | ~F.coalesce("answers", F.lit(True)) | ~answered | (F.col("final") & (F.col("last.kind") == "open"))
+    crossed = joined.filter(bad).groupBy("file").agg(F.concat(
+        F.lit("not opened and closed in turn: "), F.first(F.coalesce("wrong", "first.tag"))).alias("what"))
+
+    place, is_tag = F.struct("block", "ordinal"), F.col("kind") != "other"
+    pieces = tags.select(*SPLIT, "file", "ordinal", "beside")
+    shown = visible(pieces, spans)
+    if not spans.isEmpty():  # a piece in which a comment ends is no tag, but its text counts
+        ends = span_ends(tags.select(*SPLIT, "file", "ordinal", "beside_end"), spans)
+        shown = shown.union(ends.select(*SPLIT, "file", "ordinal", F.col("beside_end").alias("beside")))
+    per_file = shown.groupBy("file_id").agg(
+        F.min("file").alias("file"),
+        F.min(F.when(F.col("beside") == TEXT, place)).alias("first_text"), F.max(F.when(F.col("beside") == TEXT, place)).alias("last_text"),
+        F.max(F.when(F.col("beside") == DECLARATION, place)).alias("last_declared"), F.sum((F.col("beside") == BLANK).cast("int")).alias("blanks"))
+    tagged = visible(tags.select(*SPLIT, "ordinal", "kind").filter(is_tag), spans).groupBy("file_id").agg(
+        F.count("*").alias("n"), F.min(place).alias("first_tag"), F.max(place).alias("last_tag"), F.max(F.col("kind") == "empty").alias("empties"))
+    root = found.filter((F.col("depth") == 0) & (F.col("kind") != "empty")).groupBy("file_id").agg(
+        F.sum((F.col("kind") == "open").cast("int")).alias("roots"), F.min(F.when(F.col("kind") == "open", place)).alias("root_start"), F.max(F.when(F.col("kind") == "close", place)).alias("root_end"))
+    whole = per_file.join(tagged, "file_id", "left").join(root, "file_id", "left")
+    alone = F.col("roots").isNull() & (F.col("n") == 1) & F.col("empties")
+    one_root = F.coalesce(alone | ((F.col("roots") == 1) & (F.col("root_start") == F.col("first_tag")) & (F.col("root_end") == F.col("last_tag"))), F.lit(False))
+    outside = (F.col("last_text") >= F.col("last_tag")) | (F.col("first_text") < F.col("first_tag")) | (F.col("last_declared") >= F.col("first_tag"))
+    loose = whole.filter(~one_root | F.coalesce(outside, F.lit(False)) | (F.col("blanks") > 1)).select(
+        "file", F.lit("something stands outside its one root element").alias("what"))
+    return unfit.union(crossed).union(loose)
+
+
+def check_well_formed(tags: DataFrame, spans: DataFrame, found: DataFrame) -> None:
+    """Fail if any file is malformed."""
+    wrong = malformed(tags, spans, found).first()
     if wrong is not None:
-        raise ValueError(f"malformed XML in {wrong['file']}: <{wrong['tag']}> at depth {wrong['depth']} is opened "
-                         f"{wrong['opened']} times and closed {wrong['closed']} times")
+        raise ValueError(f"malformed XML in {wrong['file']}: {wrong['what']}")
 
 
 OWNER = ["owner_block", "owner_ordinal", "owner_depth"]

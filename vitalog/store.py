@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import documents as docs
-from .operators import insights, rawxml, search, statistics, summary, trend, workouts
+from .operators import insights, overlap, rawxml, search, statistics, summary, trend, workouts
 from .params import DEFAULT_LIMIT, SearchParams, is_workout
 from .session import configure
 from .sources import export_xml, landing, markup
@@ -141,6 +141,9 @@ class HealthStore:
     def overlaps(self, interval: str = "day", record_type: str | None = None) -> DataFrame:
         return insights.source_overlap(self.records, interval, record_type)
 
+    def overlap_time(self, record_type: str | None = None) -> DataFrame:
+        return overlap.source_overlap_time(self.records, record_type)
+
     def last_week(self, record_type: str | None = None) -> DataFrame:
         return insights.last_week_daily(self.records, record_type, scale=self.scale)
 
