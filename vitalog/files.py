@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -42,7 +43,10 @@ def read_json(spark: SparkSession, path: str):
 
 
 def write_json(spark: SparkSession, path: str, value) -> None:
-    """Write a small file that appears whole or not at all; never replaces one."""
+    """Write a small file that appears whole or not at all; never replaces one, also not one that another session writes at the same time.
+
+    A rename that fails where the target exists does that on a cluster's file system; on a local disk a link does.
+    """
     target, system = _path(spark, path)
     draft, _ = _path(spark, f"{path.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}")
     stream = system.create(draft)
@@ -50,6 +54,22 @@ def write_json(spark: SparkSession, path: str, value) -> None:
         stream.write(bytearray(json.dumps(value).encode()))
     finally:
         stream.close()
-    if system.exists(target) or not system.rename(draft, target):
+    try:
+        if target.toUri().getScheme() in (None, "file") and system.getScheme() == "file":
+            local = [spark._jvm.java.io.File(p.toUri().getPath()).toPath() for p in (target, draft)]
+            try:
+                spark._jvm.java.nio.file.Files.createLink(*local)
+            except Py4JJavaError as error:
+                if "FileAlreadyExists" in str(error.java_exception.getClass().getName()):
+                    raise FileExistsError(path) from error
+                raise
+        elif system.exists(target) or not system.rename(draft, target):
+            raise FileExistsError(path)
+    finally:
         system.delete(draft, False)
-        raise FileExistsError(path)
+
+
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of all files under a path; a missing one has none."""
+    target, system = _path(spark, path)
+    return system.getContentSummary(target).getLength() if system.exists(target) else 0

@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import schemas
+from .. import files, schemas
 from ..functions.dates import lenient_iso_text, parse_date_strict
 from ..functions.numeric import safe_float
 from ..operators import rawxml, workouts as workout_ops
@@ -16,7 +16,7 @@ from ..params import WORKOUT_PREFIX
 from ..session import scratch_dir
 from ..sinks import tables as sinks
 from ..sources import export_xml, markup, normalize
-from ..sources.landing import Tables, import_export, malformed_files, scan_tables
+from ..sources.landing import Tables, compact_imports, import_export, malformed_files, scan_tables
 from ..sources.tables import read_parquet, read_table, route_by_schema
 from ..streaming import ingest, samples
 from . import sql
@@ -474,6 +474,20 @@ def _compact(spark, sf_dir):
 query("compact_chunks", _compact, ORACLES["ingest_append"])
 
 
+def _compact_imports(spark, sf_dir):
+    """An import for every file of the export, then the small ones united: the same records from fewer folders."""
+    source, target = export_path(spark, sf_dir), scratch_dir(spark, "compact_imports")
+    for part in [n for n in files.names(spark, source) if n.startswith("part=")]:
+        import_export(spark, f"{source}/{part}", target, mode="append")
+    before = len(Tables(target).imports(spark))
+    if compact_imports(spark, target) != before or len(Tables(target).imports(spark)) != 1:
+        raise AssertionError("small imports are left")
+    return Tables(target).read(spark, "records")
+
+
+query("compact_imports", _compact_imports, RECORDS)
+
+
 def _incremental(spark, sf_dir):
     """Micro-batches of four files, then a second run that finds nothing new."""
     base = scratch_dir(spark, "incremental")

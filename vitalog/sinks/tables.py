@@ -104,7 +104,8 @@ def _folder_of(column: str) -> Column:
 
 def read_by_type(spark: SparkSession, paths: str | list[str], schema: T.StructType) -> DataFrame:
     """Tables written with one folder per type; a filter on ``type`` still prunes folders."""
-    stored = spark.read.schema(schema).parquet(*([paths] if isinstance(paths, str) else paths))
+    # each table has a root of its own for its folders of types
+    stored = reduce(lambda a, b: a.union(b), (spark.read.schema(schema).parquet(p) for p in ([paths] if isinstance(paths, str) else paths)))
     kind = F.col("type")
     written = F.when(kind.startswith(_MARK), F.substring(kind, 2, 2 ** 31 - 1)).otherwise(kind)
     return stored.withColumn("type", written).select(*schema.names)

@@ -14,6 +14,7 @@ from .. import files, schemas
 from ..session import scratch, scratch_dir
 from ..sinks import tables as sinks
 from . import markup, normalize
+from .manifest import Manifest
 
 STORED = {"records": schemas.RECORDS, "workouts": schemas.KEYED_WORKOUTS, "stats": schemas.KEYED_STATS}
 
@@ -26,35 +27,42 @@ _INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum
 class Tables:
     """The tables of all imports under one root.
 
-    Every import writes a folder of its own. A numbered list of the folders that count is published when all
-    three tables of an import are complete, so readers see all of an import or nothing of it, and a failed one changes nothing.
+    Every import writes a folder of its own, which counts from the moment a change that names it is in the store's log (see
+    :mod:`~vitalog.sources.manifest`) and all three of its tables are complete: readers see all of an import or nothing of it, and a
+    failed one changes nothing.
     """
 
     root: str
 
-    @property
-    def _lists(self) -> str:
-        return f"{self.root.rstrip('/')}/_tables"
+    def folder(self, name: str) -> str:
+        return f"{self.root.rstrip('/')}/{name}"
 
-    def _published(self, spark: SparkSession) -> tuple[int, list[dict]]:
-        lists = [n for n in files.names(spark, self._lists) if n.endswith(".json") and not n.startswith(".")]
-        return (int(lists[-1][:-5]), files.read_json(spark, f"{self._lists}/{lists[-1]}")) if lists else (0, [])
+    @property
+    def log(self) -> Manifest:
+        return Manifest(self.folder("_tables"))
 
     def imports(self, spark: SparkSession) -> list[dict]:
         """Name, layout and row counts of the imports that count."""
-        return self._published(spark)[1]
+        return list(self.log.state(spark).current.values())
+
+    def done(self, spark: SparkSession, name: str) -> dict[str, int] | None:
+        """Rows of an import of that name since the last replacement, also where it has been compacted since."""
+        return self.log.state(spark).done.get(name)
 
-    def publish(self, spark: SparkSession, entry: dict, replace: bool) -> None:
-        """Make an import count, alone or beside those before it; replaced ones are removed afterwards."""
-        number, before = self._published(spark)
-        now = [entry] if replace else [*before, entry]
-        files.write_json(spark, f"{self._lists}/{number + 1:012d}.json", now)
-        for old in before if replace else []:
-            files.delete(spark, f"{self.root.rstrip('/')}/{old['name']}")
+    def publish(self, spark: SparkSession, kind: str, entry: dict, names: list[str] | None = None) -> bool:
+        """Make an import count: ``add`` it to the others, ``replace`` all, or ``compact`` the named ones into it.
+
+        Returns whether it counts: a compaction doesn't if what it united is gone. Folders taken out stay for readers that hold them until the next time
+        some are taken out.
+        """
+        state = self.log.publish(spark, {"kind": kind, "entry": entry, "names": names or []})
+        for old in state.gone if kind != "add" else []:
+            files.delete(spark, self.folder(old))
+        return entry["name"] in state.current
 
     def paths(self, spark: SparkSession, name: str) -> list[tuple[str, str]]:
         """Folder and layout of a table in each import."""
-        return [(f"{self.root.rstrip('/')}/{e['name']}/{name}", e["layout"] if name == "records" else "plain")
+        return [(f"{self.folder(e['name'])}/{name}", e["layout"] if name == "records" else "plain")
                 for e in self.imports(spark)]
 
     def read(self, spark: SparkSession, name: str) -> DataFrame:
@@ -72,8 +80,8 @@ class Tables:
 def file_sizes(spark: SparkSession, path: str | list[str]) -> tuple[int, int]:
     """Bytes of all files under ``path``, and of the largest one; contents are not read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    total, largest, least = found.agg(F.sum("length"), F.max("length"), F.min("length")).first()
-    if least == 0:
+    total, largest, n = found.agg(F.sum("length"), F.max("length"), F.count("*")).first()
+    if n < len(found.inputFiles()):  # empty files are listed, but not read
         raise ValueError(f"malformed XML: an empty file in {path}")
     return total or 0, largest or 0
 
@@ -149,10 +157,10 @@ def import_export(spark: SparkSession, source: str | list[str], target: str, mod
     tables, name = Tables(target), name or f"import-{uuid.uuid4().hex}"
     if layout not in ("plain", "sorted") or mode not in ("overwrite", "append"):
         raise ValueError(f"no such layout or mode: {layout}, {mode}")
-    done = [e for e in tables.imports(spark) if e["name"] == name]
-    if done:
-        return done[0]["rows"]
-    folder = f"{target.rstrip('/')}/{name}"
+    done = tables.done(spark, name)
+    if done is not None:
+        return done
+    folder = tables.folder(name)
     size, _ = file_sizes(spark, source)
     try:
         with shuffles_sized_for(spark, size), scratch(spark):
@@ -166,8 +174,53 @@ def import_export(spark: SparkSession, source: str | list[str], target: str, mod
                     sinks.write_sorted(spark.read.schema(df.schema).parquet(landing), path, mode="overwrite", by_type=True)
                 else:
                     counts[table] = sinks.write_counted(df, path, "overwrite")
+        tables.publish(spark, "replace" if mode == "overwrite" else "add", {"name": name, "layout": layout, "rows": counts})
     except BaseException:
-        files.delete(spark, folder)
+        if tables.done(spark, name) is None:
+            files.delete(spark, folder)
         raise
-    tables.publish(spark, {"name": name, "layout": layout, "rows": counts}, replace=mode == "overwrite")
     return counts
+
+
+def compact_imports(spark: SparkSession, target: str, file_bytes: int = 128 << 20) -> int:
+    """Unite small imports of a layout, in their order, into ones of about ``file_bytes``; returns how many folders were united.
+
+    Imports whose records have at least that size are left alone. Each group is written and published on its own, as one change of the log, so
+    readers see a group's old folders or its new one. A repeated import of a united name still adds nothing.
+    """
+    tables, united = Tables(target), 0
+    for layout in ("plain", "sorted"):
+        groups, held = [[]], 0
+        for entry in [e for e in tables.imports(spark) if e["layout"] == layout]:
+            size = files.size(spark, f"{tables.folder(entry['name'])}/records")
+            if size >= file_bytes:
+                continue
+            if held + size > file_bytes and groups[-1]:
+                groups, held = [*groups, []], 0
+            groups[-1].append(entry)
+            held += size
+        for group in groups:
+            if len(group) > 1:
+                united += _unite(spark, tables, group, layout, file_bytes)
+    return united
+
+
+def _unite(spark: SparkSession, tables: Tables, group: list[dict], layout: str, file_bytes: int) -> int:
+    name = f"compact-{uuid.uuid4().hex}"
+    try:
+        for table, schema in STORED.items():
+            paths = [f"{tables.folder(e['name'])}/{table}" for e in group]
+            size = sum(files.size(spark, p) for p in paths)
+            path = f"{tables.folder(name)}/{table}"
+            if table == "records" and layout == "sorted":
+                sinks.write_sorted(sinks.read_by_type(spark, paths, schema), path, by_type=True)
+            else:
+                sinks.write_parquet(spark.read.schema(schema).parquet(*paths).coalesce(max(1, -(-size // file_bytes))), path)
+        rows = {t: sum(e["rows"][t] for e in group) for t in STORED}
+        counts = tables.publish(spark, "compact", {"name": name, "layout": layout, "rows": rows}, [e["name"] for e in group])
+    except BaseException:
+        files.delete(spark, tables.folder(name))
+        raise
+    if not counts:
+        files.delete(spark, tables.folder(name))
+    return len(group) if counts else 0
