@@ -11,13 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .filters import of_type
-from .sized_join import join_group_rows
+from .sized_join import if_small, join_group_rows
 
 DAY = 86_400_000_000
-#: Different intervals of a type that one cell should hold, and the smallest cell: a day halved so often.
-CELL_ROWS, MOST_HALVINGS = 100_000, 16
-CELL = ["type", "day", "cell"]
+#: Different intervals of a type that one cell should hold, and the smallest cell: a day halved so often (its microseconds divide by 2^13).
+CELL_ROWS, MOST_HALVINGS = 100_000, 13
+CELL = ["type", "day", "level", "cell"]
+_PIECE = ["source", "s", "e", "rate", "point", "instants"]
 
 
 def _cut(start: Column, end: Column, size: Column) -> Column:
@@ -27,7 +29,7 @@ def _cut(start: Column, end: Column, size: Column) -> Column:
 
 
 def _pieces(records: DataFrame, cell_rows: int) -> DataFrame:
-    """(type, day, cell, source, s, e, rate, point, instants): intervals inside a cell, microseconds from its day; equal ones are added up."""
+    """(type, day, level, cell, source, s, e, rate, point, instants): intervals inside a cell, microseconds from its day; equal ones are added up."""
     start, end = F.unix_micros("startDate"), F.unix_micros("endDate")
     known = records.filter("startDate IS NOT NULL AND endDate >= startDate").select(
         "type", F.coalesce("sourceName", F.lit("")).alias("source"), start.alias("s"), end.alias("e"),
@@ -40,17 +42,26 @@ def _pieces(records: DataFrame, cell_rows: int) -> DataFrame:
     rows = rows.withColumn("day", F.explode(_cut(F.col("s"), F.col("e"), day)))
     low = F.col("day") * day
     rows = rows.withColumns({"s": F.greatest(F.col("s"), low) - low, "e": F.least(F.col("e"), low + day) - low})
-    halvings = F.greatest(F.lit(0), F.least(F.lit(MOST_HALVINGS), F.ceil(F.log2(F.count("*") / cell_rows)))).cast("int")
-    cells = rows.groupBy("type", "day").agg(halvings.alias("halvings"))
-    size = F.expr(f"shiftright({DAY}L, halvings)")
-    fine = join_group_rows(rows, cells, ["type", "day"]).withColumn("size", size).withColumn("cell", F.explode(_cut(F.col("s"), F.col("e"), F.col("size"))))
-    low, high = F.col("cell") * F.col("size"), (F.col("cell") + 1) * F.col("size")
-    # a whole number of microseconds is left over at the end of a day that is halved often: it goes to one cell more
-    return fine.select(*CELL, "source", F.greatest(F.col("s"), low).alias("s"), F.least(F.col("e"), high).alias("e"), "rate", "point", "instants")
+    found, settled = rows.withColumns({"level": F.lit(0), "cell": F.lit(0).cast("long")}).select(*CELL, *_PIECE), []
+    while True:  # busy cells are halved until they hold few enough, or are the smallest
+        found = checkpointed(found)
+        busy = found.groupBy(*CELL).agg(F.count("*").alias("n")).filter((F.col("n") > cell_rows) & (F.col("level") < MOST_HALVINGS))
+        halvings = F.least(MOST_HALVINGS - F.col("level"), F.ceil(F.log2(F.col("n") / cell_rows))).cast("int")
+        busy = checkpointed(busy.select(*CELL, halvings.alias("halvings")))
+        if busy.isEmpty():
+            break
+        settled.append(found.join(if_small(busy) or busy, CELL, "left_anti"))
+        split = join_group_rows(found, busy, CELL).withColumn("level", F.col("level") + F.col("halvings"))
+        split = split.withColumn("size", F.expr(f"shiftright({DAY}L, level)")).withColumn("cell", F.explode(_cut(F.col("s"), F.col("e"), F.col("size"))))
+        low, high = F.col("cell") * F.col("size"), (F.col("cell") + 1) * F.col("size")
+        found = split.select(*CELL, "source", F.greatest(F.col("s"), low).alias("s"), F.least(F.col("e"), high).alias("e"), "rate", "point", "instants")
+    for cold in settled:
+        found = found.union(cold)
+    return found
 
 
 def _islands(pieces: DataFrame) -> DataFrame:
-    """(type, day, cell, source, s, e): what each source covers of a cell, as disjoint intervals."""
+    """(type, day, level, cell, source, s, e): what each source covers of a cell, as disjoint intervals."""
     along = Window.partitionBy(*CELL, "source").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy(*CELL, "source").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, 0)
     lasting = pieces.filter("e > s").select(*CELL, "source", "s", "e").withColumn("reached", F.max("e").over(along))

@@ -388,16 +388,23 @@ _ENDINGS = ("</HealthData>", "<a><x></y><y></x></a></HealthData>", "</HealthData
 _PARTS = 24
 
 
-def _malformed(spark, sf_dir):
-    """The events dealt out into files, seven of eight of which are malformed: which files are refused."""
-    path = scratch_dir(spark, "malformed")
-    lines = record_lines(table(spark, sf_dir, "events", EVENTS)).withColumn("part", (F.col("key") % _PARTS).cast("int"))
+def _dealt_files(spark, sf_dir, n, path, endings):
+    """The events dealt out into ``n`` files, each ending with one of ``endings``; returns the numbers of the files."""
+    lines = record_lines(table(spark, sf_dir, "events", EVENTS)).withColumn("part", (F.col("key") % n).cast("int"))
     parts = lines.select("part").distinct()
-    ending = F.element_at(F.array(*[F.lit(e) for e in _ENDINGS]), F.col("part") % len(_ENDINGS) + 1)
+    ending = F.element_at(F.array(*[F.lit(e) for e in endings]), F.col("part") % len(endings) + 1)
+    columns = ["part", "section", "key", "sub", "tie", "text"]
     frames = [parts.select("part", F.lit(section).alias("section"), F.lit(0).cast("bigint").alias("key"), F.lit(0).alias("sub"), F.lit("").alias("tie"),
                            text.alias("text")) for section, text in ((0, F.lit(FILE_ENDS[0][0])), (3, ending))]
-    (lines.select("part", "section", "key", "sub", "tie", "text").union(frames[0]).union(frames[1]).repartition("part")
-     .sortWithinPartitions("part", "section", "key", "sub", "tie").select("part", "text").write.partitionBy("part").text(path))
+    (lines.select(columns).union(frames[0]).union(frames[1]).repartition("part")
+     .sortWithinPartitions(*columns[:-1]).select("part", "text").write.partitionBy("part").text(path))
+    return parts
+
+
+def _malformed(spark, sf_dir):
+    """Files of events, seven of eight of which are malformed: which are refused."""
+    path = scratch_dir(spark, "malformed")
+    parts = _dealt_files(spark, sf_dir, _PARTS, path, _ENDINGS)
     told = malformed_files(spark, path).select(F.regexp_extract("file", "part=([0-9]+)", 1).cast("int").alias("part"), F.lit(True).alias("refused")).distinct()
     return parts.join(told, "part", "left").select("part", F.coalesce("refused", F.lit(False)).alias("refused"))
 
@@ -475,8 +482,9 @@ query("compact_chunks", _compact, ORACLES["ingest_append"])
 
 
 def _compact_imports(spark, sf_dir):
-    """An import for every file of the export, then the small ones united: the same records from fewer folders."""
-    source, target = export_path(spark, sf_dir), scratch_dir(spark, "compact_imports")
+    """An import for each of a few files, then the small ones united: the same records from one folder."""
+    source, target = scratch_dir(spark, "small_files"), scratch_dir(spark, "compact_imports")
+    _dealt_files(spark, sf_dir, 4, source, _ENDINGS[:1])
     for part in [n for n in files.names(spark, source) if n.startswith("part=")]:
         import_export(spark, f"{source}/{part}", target, mode="append")
     before = len(Tables(target).imports(spark))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import insights, overlap, search, statistics, summary, trend
+from ..operators import insights, overlap, quantiles, search, statistics, summary, trend
 from ..params import SearchParams
 from . import sql
 from .views import SCALE, event_records, order_records
@@ -204,3 +204,19 @@ query("outliers", event_records,
         SELECT type, AVG(value) AS m, STDDEV_SAMP(value) AS sd FROM records GROUP BY type)
       SELECT record_id, r.type, value, "startDate" FROM records r JOIN moments USING (type)
       WHERE sd > 0 AND ABS((value - m) / sd) > 3.0""")
+
+_ROBUST = ["record_id", "type", "value", "median_value", "mad_value"]
+
+
+def _robust(z: float):
+    return lambda r: quantiles.robust_outliers(r, z).select(*_ROBUST, F.round("robust_z", 6).alias("robust_z"))
+
+
+def _robust_sql(views: str, z: float) -> str:
+    return views + f"""SELECT record_id, type, value, m AS median_value, d AS mad_value, round((value - m) / (d * 1.4826), 6) AS robust_z
+    FROM records JOIN (SELECT type, median(value) AS m, mad(value) AS d FROM records GROUP BY type) USING (type)
+    WHERE d > 0 AND abs((value - m) / (d * 1.4826)) > {z}"""
+
+
+query("outliers_robust", event_records, _robust(3.5), _robust_sql(EVENTS, 3.5))
+query("outliers_robust_orders", order_records, _robust(1.2), _robust_sql(ORDERS, 1.2))

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import documents as docs
-from .operators import insights, overlap, rawxml, search, statistics, summary, trend, workouts
+from .operators import insights, overlap, quantiles, rawxml, search, statistics, summary, trend, workouts
 from .params import DEFAULT_LIMIT, SearchParams, is_workout
 from .session import configure
 from .sources import export_xml, landing, markup
@@ -147,6 +147,9 @@ class HealthStore:
     def last_week(self, record_type: str | None = None) -> DataFrame:
         return insights.last_week_daily(self.records, record_type, scale=self.scale)
 
+    def robust_outliers(self, z: float = 3.5, record_type: str | None = None) -> DataFrame:
+        return quantiles.robust_outliers(self.records, z, record_type)
+
     def outliers(self, record_type: str | None = None, z: float = 3.0) -> DataFrame:
         return insights.outliers(self.records, z, record_type, self.scale)
 
