@@ -216,7 +216,7 @@ def test_the_yardstick_refuses_them_too(name):
 VALUES = [n for n in MALFORMED if n.startswith(("date", "number")) or n in ("record attribute twice", "nothing at all")]
 
 
-@pytest.mark.parametrize("split", ["100m", "16"])
+@pytest.mark.parametrize("split", ["100m", "48"])
 def test_malformed_files_are_told(spark, tmp_path, split):
     """All in one folder, beside good files."""
     for name, text in (MALFORMED | {f"good {n}": t % "<Record/>" for n, t in WELL_FORMED.items()}).items():
@@ -255,7 +255,7 @@ def test_malformed_files_give_no_documents(spark, tmp_path, name):
         ExportFiles(spark, str(tmp_path)).documents().documents.collect()
 
 
-@pytest.mark.parametrize("split", ["100m", "16"])
+@pytest.mark.parametrize("split", ["100m", "48"])
 def test_well_formed_files_are_read(spark, tmp_path, split):
     for name, text in WELL_FORMED.items():
         whole = text % '<Record type="a" sourceName="x > y"/>'

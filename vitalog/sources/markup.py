@@ -25,10 +25,9 @@ POSITION = ["file", "block", "ordinal"]
 
 # XML syntax.
 _NAME = r"^/?([\p{L}_:][\p{L}\p{N}_:.\-]*)"
-_START_TAG = r"""^((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
 _ATTRIBUTE = r"""([^\s=/"'>]+)\s*=\s*("[^"]*"|'[^']*')"""
 _WHOLE_NAME = r"[\p{L}_:][\p{L}\p{N}\p{M}_:.\-·]*+"
-_WHOLE_TAG = (rf"""^(?:/{_WHOLE_NAME}\s*+|{_WHOLE_NAME}(?:\s++{_WHOLE_NAME}\s*+=\s*+(?:"[^"]*+"|'[^']*+'))*+\s*+/?+)>""")
+_WHOLE_TAG = rf"""^(/{_WHOLE_NAME}\s*+|{_WHOLE_NAME}(?:\s++{_WHOLE_NAME}\s*+=\s*+(?:"[^"]*+"|'[^']*+'))*+\s*+/?+)>"""
 _DECLARATION = r"^!(?:DOCTYPE|ELEMENT|ATTLIST|ENTITY|NOTATION)\s"
 _HIDDEN_END = r"(?s)^.*(?:-->|\]\]>)"
 _WHOLE_COMMENT = r"(?s)^!--(?:[^-]|-(?!-))*+-->"
@@ -70,7 +69,7 @@ def scan_tags(spark: SparkSession, path: str | list[str]) -> DataFrame:
                 F.monotonically_increasing_id().alias("ordinal"))
     )
     text = F.col("text")
-    inside = F.regexp_extract(text, _START_TAG, 1)
+    inside = F.regexp_extract(text, _WHOLE_TAG, 1)  # nothing, if the piece is no tag as the grammar has it
     tag = F.nullif(F.regexp_extract(text, _NAME, 1), F.lit(""))
     kind = (F.when(tag.isNull(), "other").when(text.startswith("/"), "close")
             .when(inside.endswith("/"), "empty").otherwise("open"))
@@ -104,7 +103,7 @@ def _fits() -> Column:
     # blanks stand before a file's first markup, which is counted later
     as_other = text.rlike(_BLANK) | (hidden & as_text) | text.rlike(_DECLARATION) | (text.startswith("?") & text.contains("?>") & as_text)
     known = ~(text.contains("&") & text.rlike(_UNKNOWN_REFERENCE))
-    return F.coalesce(F.when(F.col("kind") == "other", as_other).otherwise(text.rlike(_WHOLE_TAG) & as_text & known & once), F.lit(False))
+    return F.coalesce(F.when(F.col("kind") == "other", as_other).otherwise((F.col("inside") != "") & as_text & known & once), F.lit(False))
 
 
 def _beside() -> Column:
@@ -208,7 +207,7 @@ def malformed(tags: DataFrame, spans: DataFrame, found: DataFrame) -> DataFrame:
     tags and all text. Only aggregates per split go through an exchange.
     """
     unfit = visible(tags.filter(~F.col("fits")), spans).groupBy("file").agg(
-        F.concat(F.lit("no markup: <"), F.coalesce(F.first("inside"), F.lit(""))).alias("what"))
+        F.concat(F.lit("no markup: <"), F.coalesce(F.min("tag"), F.lit(""))).alias("what"))
 
     as_last = F.struct("kind", "tag")
     per_split = found.filter(F.col("kind") != "empty").groupBy(*SPLIT, "depth").agg(
