@@ -336,7 +336,7 @@ def test_hidden_tags_are_left_out_whichever_way_they_are_joined(spark, tmp_path,
     (folder / "a.xml").write_text(f"<HealthData>{body}<![CDATA[{'<Record/>' * 30}]]><Record type='z'/></HealthData>")
     with splits_of(spark, "400"):
         tags = landing.land_tags(spark, str(folder)).coalesce(2)
-    shown = markup.visible(tags.filter("tag = 'Record'"), markup.hidden_spans(tags), broadcast_rows)
+    shown = markup.visible(tags.filter("tag = 'Record'"), markup.hidden_spans(tags, broadcast_rows))
     got = [r.type for r in markup.records(shown).collect()]
     assert sorted(got) == sorted([f"r{i}" for i in range(60)] + ["z"])
     plain = tags.filter("hides is null")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.dates import lenient_iso_text, parse_date
 from ..functions.numeric import safe_float
-from ..operators.sized_join import BROADCAST_ROWS, if_small
+from ..operators.sized_join import BROADCAST_ROWS
 from ..session import scratch_dir
 from . import normalize
 
@@ -121,10 +121,11 @@ def _beside_end() -> Column:
     return F.when(~F.col("hides"), F.when(closing, DECLARATION).when(behind.rlike("\\S"), TEXT).otherwise(NOTHING)).cast("int")
 
 
-def hidden_spans(tags: DataFrame) -> DataFrame:
-    """Where comments and character data hide tags: ``(after, until]`` of a split's ordinals.
+def hidden_spans(tags: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame | None:
+    """Where comments and character data hide tags: ``(after, until]`` of a split's ordinals; None, if nowhere.
 
-    Found from a few narrow columns and written to the shared folder when this is called.
+    Found from a few narrow columns, written to the shared folder and counted when this is called. Spans are rare: up to ``broadcast_rows`` are
+    broadcast, so that the text of the tags is not moved.
     """
     per_split = tags.groupBy(*SPLIT).agg(
         _same_file(F.col("file")).alias("file"),
@@ -140,32 +141,28 @@ def hidden_spans(tags: DataFrame) -> DataFrame:
     spark, path = tags.sparkSession, scratch_dir(tags.sparkSession, "hidden")
     found = inside.unionByName(carried)
     found.write.parquet(path)
-    return spark.read.schema(found.schema).parquet(path)
+    spans = spark.read.schema(found.schema).parquet(path)
+    n = spans.count()
+    return None if not n else F.broadcast(spans) if n <= broadcast_rows else spans
 
 
-def visible(wanted: DataFrame, spans: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The tags that stand outside comments and character data.
-
-    Hidden spans are rare; they are counted when this is called. Without any, the tags are
-    passed on as they are, and up to ``broadcast_rows`` spans are broadcast, so that the text
-    of the tags is not moved.
-    """
-    if spans.isEmpty():
+def visible(wanted: DataFrame, spans: DataFrame | None) -> DataFrame:
+    """The tags that stand outside comments and character data."""
+    if spans is None:
         return wanted
     end = F.coalesce(F.col("s.until"), F.lit(2 ** 63 - 1))
     within = ((F.col("t.file_id") == F.col("s.file_id")) & (F.col("t.block") == F.col("s.block"))
               & (F.col("t.ordinal") > F.col("s.after")) & (F.col("t.ordinal") <= end))
-    side = if_small(spans, broadcast_rows) or spans
-    return wanted.alias("t").join(side.alias("s"), within, "left_anti")
+    return wanted.alias("t").join(spans.alias("s"), within, "left_anti")
 
 
 def span_ends(tags: DataFrame, spans: DataFrame) -> DataFrame:
     """The pieces in which hidden spans end; what stands behind the mark is shown again."""
     side = spans.filter("until IS NOT NULL").select(*SPLIT, F.col("until").alias("ordinal"))
-    return tags.join(if_small(side) or side, [*SPLIT, "ordinal"], "left_semi")
+    return tags.join(side, [*SPLIT, "ordinal"], "left_semi")
 
 
-def elements(tags: DataFrame, spans: DataFrame | None = None, kept: Column | None = None,
+def elements(tags: DataFrame, spans: DataFrame | None, kept: Column | None = None,
              with_text: Column | None = None) -> DataFrame:
     """The visible tags with their depth (the root has depth 0).
 
@@ -174,7 +171,6 @@ def elements(tags: DataFrame, spans: DataFrame | None = None, kept: Column | Non
     """
     if with_text is not None:
         tags = tags.withColumn("inside", F.when(with_text, F.col("inside")))
-    spans = hidden_spans(tags) if spans is None else spans
     step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
     wanted = tags.filter((F.col("kind") != "other") & (F.lit(True) if kept is None else kept))
     shown = visible(wanted, spans).withColumn("step", step.cast("bigint"))
@@ -199,7 +195,7 @@ def _answers() -> Column:
     return F.when(F.col("kind") == "close", opened == F.concat(F.lit("open "), F.col("tag")))
 
 
-def malformed(tags: DataFrame, spans: DataFrame, found: DataFrame) -> DataFrame:
+def malformed(tags: DataFrame, spans: DataFrame | None, found: DataFrame) -> DataFrame:
     """(file, what): what is wrong with files that are no well-formed documents, as far as a parser without a schema tells.
 
     ``tags`` are all pieces, ``found`` the elements, with all opening and closing tags among them. Every visible piece must be markup; every closing tag must
@@ -224,7 +220,7 @@ def malformed(tags: DataFrame, spans: DataFrame, found: DataFrame) -> DataFrame:
     place, is_tag = F.struct("block", "ordinal"), F.col("kind") != "other"
     pieces = tags.select(*SPLIT, "file", "ordinal", "beside")
     shown = visible(pieces, spans)
-    if not spans.isEmpty():  # a piece in which a comment ends is no tag, but its text counts
+    if spans is not None:  # a piece in which a comment ends is no tag, but its text counts
         ends = span_ends(tags.select(*SPLIT, "file", "ordinal", "beside_end"), spans)
         shown = shown.union(ends.select(*SPLIT, "file", "ordinal", F.col("beside_end").alias("beside")))
     per_file = shown.groupBy("file_id").agg(
@@ -244,7 +240,7 @@ def malformed(tags: DataFrame, spans: DataFrame, found: DataFrame) -> DataFrame:
     return unfit.union(crossed).union(loose)
 
 
-def check_well_formed(tags: DataFrame, spans: DataFrame, found: DataFrame) -> None:
+def check_well_formed(tags: DataFrame, spans: DataFrame | None, found: DataFrame) -> None:
     """Fail if any file is malformed."""
     wrong = malformed(tags, spans, found).first()
     if wrong is not None:
@@ -371,12 +367,12 @@ def records(found: DataFrame) -> DataFrame:
                                          schemas.RECORD_ATTRIBUTES))
 
 
-def shown_records(tags: DataFrame, spans: DataFrame) -> DataFrame:
+def shown_records(tags: DataFrame, spans: DataFrame | None) -> DataFrame:
     """``records`` rows from tags. They need no depth, so the bulk of an export is imported without a shuffle."""
     return records(visible(tags.filter((F.col("tag") == "Record") & (F.col("kind") != "close")), spans))
 
 
-def enclosing_elements(tags: DataFrame, spans: DataFrame) -> DataFrame:
+def enclosing_elements(tags: DataFrame, spans: DataFrame | None) -> DataFrame:
     """Workouts, statistics and all elements that can enclose others, with their depth; only the first two keep their text."""
     asked = F.col("tag").isin("Workout", "WorkoutStatistics")
     return elements(tags, spans, (F.col("kind") != "empty") | asked, asked)
