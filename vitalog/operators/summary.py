@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workouts import matched_instants
+from .workouts import Parts, matched_instants
 
 
 def summary_records(records: DataFrame) -> DataFrame:
@@ -32,12 +34,15 @@ def summary_workouts(workouts: DataFrame, stats: DataFrame) -> DataFrame:
     )
 
 
-def summary_workouts_keyed(workouts: DataFrame, stats: DataFrame) -> DataFrame:
-    """As :func:`summary_workouts`, paired by ``workout_id`` instead of by start time."""
-    per_workout = (stats.filter(F.col("workout_id").isNotNull())
-                   .groupBy("workout_id").agg(F.count(F.lit(1)).alias("n_stats")))
+def summary_workouts_keyed(workouts: DataFrame, stats: DataFrame, parts: Parts | None = None) -> DataFrame:
+    """As :func:`summary_workouts`, paired by ``workout_id`` instead of by start time; ``parts`` as in :func:`.workouts.stats_workout_keyed`."""
+    counted = []
+    for w, s in parts or [(workouts, stats)]:
+        per_workout = (s.filter(F.col("workout_id").isNotNull())
+                       .groupBy("workout_id").agg(F.count(F.lit(1)).alias("n_stats")))
+        counted.append(w.select("workout_id", "type").join(per_workout, "workout_id"))
     return (
-        workouts.select("workout_id", "type").join(per_workout, "workout_id")
+        reduce(lambda a, b: a.unionByName(b), counted)
         .groupBy("type")
         .agg(F.sum("n_stats").alias("count"), F.count(F.lit(1)).alias("count_workouts"))
         .orderBy(F.desc("count"), F.asc_nulls_last("type"))

@@ -8,6 +8,8 @@ sum over pairs of a workout measure = (its sum) x (statistics there), and min/ma
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from .filters import of_type, stat_conditions, workout_conditions
 from .ordering import newest_first
 
 MEASURES = ("duration", "sum")
+#: Workouts and statistics that pair by key only among themselves.
+Parts = list[tuple[DataFrame, DataFrame]]
 
 
 def matched_instants(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -159,31 +163,35 @@ def keyed_pairs(workouts: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def stats_workout_keyed(workouts: DataFrame, stats: DataFrame, record_type: str | None = None,
-                        scale: int | None = None) -> DataFrame:
-    """As :func:`stats_workout`, paired by ``workout_id``."""
-    w = of_type(workouts, record_type).select("workout_id", "type", "durationUnit", "duration")
-    return _keyed(w, stats, ["type", "durationUnit"], ["type", "stat_type"], scale)
+                        scale: int | None = None, parts: Parts | None = None) -> DataFrame:
+    """As :func:`stats_workout`, paired by ``workout_id``.
+
+    ``parts`` are the same rows cut so that each part can be paired by itself; parts stored by workout are paired without a shuffle.
+    """
+    found = [(of_type(w, record_type).select("workout_id", "type", "durationUnit", "duration"), s) for w, s in parts or [(workouts, stats)]]
+    return _keyed(found, ["type", "durationUnit"], ["type", "stat_type"], scale)
 
 
 def trend_workout_keyed(workouts: DataFrame, stats: DataFrame, record_type: str | None = None,
                         interval: str = "month", date_from=None, date_to=None,
-                        scale: int | None = None, tz: str | None = None) -> DataFrame:
-    """As :func:`trend_workout`, paired by ``workout_id`` and split by statistic type."""
-    w = of_type(workouts, record_type, date_from, date_to).select(
+                        scale: int | None = None, tz: str | None = None, parts: Parts | None = None) -> DataFrame:
+    """As :func:`trend_workout`, paired by ``workout_id`` and split by statistic type; ``parts`` as in :func:`stats_workout_keyed`."""
+    found = [(of_type(w, record_type, date_from, date_to).select(
         "workout_id", "type", "sourceName", "durationUnit", "duration",
-        bucket(F.col("startDate"), interval, tz).alias("interval"))
+        bucket(F.col("startDate"), interval, tz).alias("interval")), s) for w, s in parts or [(workouts, stats)]]
     keys = ["interval", "type", "sourceName"]
-    return _keyed(w, stats, [*keys, "durationUnit"], [*keys, "stat_type"], scale).orderBy("interval")
+    return _keyed(found, [*keys, "durationUnit"], [*keys, "stat_type"], scale).orderBy("interval")
 
 
-def _keyed(wanted: DataFrame, stats: DataFrame, workout_keys: list[str], keys: list[str], scale: int | None) -> DataFrame:
+def _keyed(parts: Parts, workout_keys: list[str], keys: list[str], scale: int | None) -> DataFrame:
     """Aggregates over the pairs of the wanted workouts with their own statistics.
 
     The join comes first: only statistics of wanted workouts go on, and every pair is one of their rows, so nothing is
     multiplied. Two partial aggregations by group follow, whose rows are few.
     """
-    side = stats.select("workout_id", F.col("type").alias("stat_type"), F.col("unit").alias("stat_unit"), "sum")
-    pairs = wanted.join(side, "workout_id").groupBy(*workout_keys, "stat_type", "stat_unit").agg(
+    joined = [w.join(s.select("workout_id", F.col("type").alias("stat_type"), F.col("unit").alias("stat_unit"), "sum"), "workout_id")
+              for w, s in parts]
+    pairs = reduce(lambda a, b: a.unionByName(b), joined).groupBy(*workout_keys, "stat_type", "stat_unit").agg(
         *_partials("duration", "w", scale), *_partials("sum", "s", scale))
     kind = "double" if scale is None else "decimal(38,0)"
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from ..operators import search, summary, workouts as ops
 from ..params import SearchParams
+from ..session import scratch_dir
+from ..sinks import buckets
 from . import sql
 from .views import SCALE, event_records, stats, workouts
 
@@ -124,3 +126,31 @@ query("trend_workout_by_stat",
 query("trend_workout_keyed",
       lambda w, s: ops.trend_workout_keyed(w, s, "1-URGENT", "month", scale=SCALE),
       trend_sql(KEYED, "month", "w.type = '1-URGENT'", 'w."durationUnit"', True))
+
+# --- pairs that are stored cut by workout ----------------------------------------------------
+PAIR_BUCKETS = 8
+_CUT: dict[tuple, tuple[str, int]] = {}
+
+
+def stored_pairs(spark, sf_dir: str) -> ops.Parts:
+    """All workouts and statistics, cut by workout; written once per application."""
+    frames, names = (workouts(spark, sf_dir), stats(spark, sf_dir)), ("workouts", "stats")
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CUT:
+        folder = scratch_dir(spark, "pairs")
+        _CUT[key] = folder, buckets.write_pairs(*frames, folder, names, "workout_id", PAIR_BUCKETS)
+    folder, hot = _CUT[key]
+    return buckets.read_pairs(spark, folder, names, tuple(f.schema for f in frames), "workout_id", PAIR_BUCKETS, hot)
+
+
+def paired_query(name: str, like: str, build) -> None:
+    QUERIES[name] = lambda spark, sf_dir: build(
+        workouts(spark, sf_dir), stats(spark, sf_dir), stored_pairs(spark, sf_dir))
+    ORACLES[name] = ORACLES[like]
+
+
+paired_query("summary_workouts_paired", "summary_workouts_keyed", summary.summary_workouts_keyed)
+paired_query("stats_workout_paired", "stats_workout_keyed",
+             lambda w, s, parts: ops.stats_workout_keyed(w, s, "5-LOW", SCALE, parts))
+paired_query("trend_workout_paired", "trend_workout_keyed",
+             lambda w, s, parts: ops.trend_workout_keyed(w, s, "1-URGENT", "month", scale=SCALE, parts=parts))

@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 from .. import files, schemas
 from ..session import scratch, scratch_dir
+from ..sinks import buckets as cut
 from ..sinks import tables as sinks
 from . import markup, normalize
 from .manifest import Manifest
 
 STORED = {"records": schemas.RECORDS, "workouts": schemas.KEYED_WORKOUTS, "stats": schemas.KEYED_STATS}
+PAIRED = ("workouts", "stats")
 
 # What one shuffle partition of an import should hold.
 SHUFFLE_BYTES = 128 << 20
@@ -61,13 +63,33 @@ class Tables:
         return entry["name"] in state.current
 
     def paths(self, spark: SparkSession, name: str) -> list[tuple[str, str]]:
-        """Folder and layout of a table in each import."""
-        return [(f"{self.folder(e['name'])}/{name}", e["layout"] if name == "records" else "plain")
-                for e in self.imports(spark)]
+        """Folders and layout of a table in each import."""
+        return [found for e in self.imports(spark) for found in self.paths_of(e, name)]
+
+    def paths_of(self, entry: dict, name: str) -> list[tuple[str, str]]:
+        folder = self.folder(entry["name"])
+        if name == "records" or not entry.get("buckets"):
+            return [(f"{folder}/{name}", entry["layout"] if name == "records" else "plain")]
+        return [(f"{folder}/{name}_paired", "plain")] + ([(f"{folder}/{name}_hot", "plain")] if name == "stats" else [])
+
+    def pairs(self, spark: SparkSession) -> list[tuple[DataFrame, DataFrame]]:
+        """(workouts, stats) in parts that pair by ``workout_id`` only among themselves, cut alike where that needs no shuffle.
+
+        None unless the store is one import whose tables are cut by workout (see :func:`pair_imports`): the same workout may be in two imports.
+        """
+        found = self.imports(spark)
+        if len(found) != 1 or not found[0].get("buckets"):
+            return []
+        entry = found[0]
+        schemas_of = tuple(STORED[t] for t in PAIRED)
+        return cut.read_pairs(spark, self.folder(entry["name"]), PAIRED, schemas_of, "workout_id", entry["buckets"], entry["hot"])
 
     def read(self, spark: SparkSession, name: str) -> DataFrame:
+        return self.read_imports(spark, name, self.imports(spark))
+
+    def read_imports(self, spark: SparkSession, name: str, imports: list[dict]) -> DataFrame:
         schema = STORED[name]
-        found = self.paths(spark, name)
+        found = [f for e in imports for f in self.paths_of(e, name)]
         plain = [p for p, layout in found if layout != "sorted"]
         sorted_ = [p for p, layout in found if layout == "sorted"]
         parts = ([spark.read.schema(schema).parquet(*plain)] if plain else []) + (
@@ -146,13 +168,14 @@ def scan_tables(spark: SparkSession, source: str | list[str], absent: float | No
 
 
 def import_export(spark: SparkSession, source: str | list[str], target: str, mode: str = "overwrite", layout: str = "plain",
-                  absent: float | None = 0.0, narrow: bool = False, name: str | None = None) -> dict[str, int]:
+                  absent: float | None = 0.0, narrow: bool = False, name: str | None = None, buckets: int | None = None) -> dict[str, int]:
     """Import export files into ``records``, ``workouts`` and ``stats`` under ``target``; returns the rows written per table.
 
     The three tables count together, once all are complete; if anything fails, what was there before stays as it is.
     ``overwrite`` makes a repeated import idempotent, ``append`` adds to what is there. An import ``name`` that counts already is not
     repeated. ``layout="sorted"`` keeps ``records`` in one folder per type, sorted by time. ``absent=None`` keeps absent
-    numbers of statistics NULL; ``narrow`` stores values in single precision and times in whole seconds.
+    numbers of statistics NULL; ``narrow`` stores values in single precision and times in whole seconds. Workouts and statistics are
+    cut alike by workout into ``buckets``; without a number, as many as their size asks for, and not at all where that is one (as 1 does).
     """
     tables, name = Tables(target), name or f"import-{uuid.uuid4().hex}"
     if layout not in ("plain", "sorted") or mode not in ("overwrite", "append"):
@@ -174,7 +197,8 @@ def import_export(spark: SparkSession, source: str | list[str], target: str, mod
                     sinks.write_sorted(spark.read.schema(df.schema).parquet(landing), path, mode="overwrite", by_type=True)
                 else:
                     counts[table] = sinks.write_counted(df, path, "overwrite")
-        tables.publish(spark, "replace" if mode == "overwrite" else "add", {"name": name, "layout": layout, "rows": counts})
+            cuts = _cut_by_workout(spark, folder, buckets)
+        tables.publish(spark, "replace" if mode == "overwrite" else "add", {"name": name, "layout": layout, "rows": counts, **cuts})
     except BaseException:
         if tables.done(spark, name) is None:
             files.delete(spark, folder)
@@ -182,6 +206,32 @@ def import_export(spark: SparkSession, source: str | list[str], target: str, mod
     return counts
 
 
+def _cut_by_workout(spark: SparkSession, folder: str, buckets: int | None) -> dict[str, int]:
+    """Replace an import's plain workouts and statistics, which no log names yet, by ones cut by workout if they are large; what its entry says of that."""
+    paths = [f"{folder}/{t}" for t in PAIRED]
+    buckets = cut.bucket_count(max(files.size(spark, p) for p in paths)) if buckets is None else buckets
+    if buckets < 2:
+        return {}
+    workouts, stats = (spark.read.schema(STORED[t]).parquet(p) for t, p in zip(PAIRED, paths, strict=True))
+    hot = cut.write_pairs(workouts, stats, folder, PAIRED, "workout_id", buckets)
+    for path in paths:
+        files.delete(spark, path)
+    return {"buckets": buckets, "hot": hot}
+
+
+def pair_imports(spark: SparkSession, target: str, buckets: int | None = None, file_bytes: int = 128 << 20) -> int:
+    """Unite all imports into one whose workouts and statistics are cut alike by workout; returns how many were united.
+
+    Published as one change of the log, as a compaction is. Records are sorted if those of any import are.
+    """
+    tables = Tables(target)
+    group = tables.imports(spark)
+    if not group:
+        return 0
+    layout = "sorted" if any(e["layout"] == "sorted" for e in group) else "plain"
+    return _unite(spark, tables, group, layout, file_bytes, buckets)
+
+
 def compact_imports(spark: SparkSession, target: str, file_bytes: int = 128 << 20) -> int:
     """Unite small imports of a layout, in their order, into ones of about ``file_bytes``; returns how many folders were united.
 
@@ -205,19 +255,19 @@ def compact_imports(spark: SparkSession, target: str, file_bytes: int = 128 << 2
     return united
 
 
-def _unite(spark: SparkSession, tables: Tables, group: list[dict], layout: str, file_bytes: int) -> int:
+def _unite(spark: SparkSession, tables: Tables, group: list[dict], layout: str, file_bytes: int, buckets: int | None = None) -> int:
     name = f"compact-{uuid.uuid4().hex}"
     try:
-        for table, schema in STORED.items():
-            paths = [f"{tables.folder(e['name'])}/{table}" for e in group]
-            size = sum(files.size(spark, p) for p in paths)
-            path = f"{tables.folder(name)}/{table}"
+        for table in STORED:
+            size = sum(files.size(spark, p) for e in group for p, _ in tables.paths_of(e, table))
+            path, united = f"{tables.folder(name)}/{table}", tables.read_imports(spark, table, group)
             if table == "records" and layout == "sorted":
-                sinks.write_sorted(sinks.read_by_type(spark, paths, schema), path, by_type=True)
+                sinks.write_sorted(united, path, by_type=True)
             else:
-                sinks.write_parquet(spark.read.schema(schema).parquet(*paths).coalesce(max(1, -(-size // file_bytes))), path)
+                sinks.write_parquet(united.coalesce(max(1, -(-size // file_bytes))), path)
+        cuts = _cut_by_workout(spark, tables.folder(name), buckets)
         rows = {t: sum(e["rows"][t] for e in group) for t in STORED}
-        counts = tables.publish(spark, "compact", {"name": name, "layout": layout, "rows": rows}, [e["name"] for e in group])
+        counts = tables.publish(spark, "compact", {"name": name, "layout": layout, "rows": rows, **cuts}, [e["name"] for e in group])
     except BaseException:
         files.delete(spark, tables.folder(name))
         raise

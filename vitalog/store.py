@@ -31,6 +31,7 @@ class HealthStore:
     ``keyed`` pairs a workout with the statistics that were recorded in it. Without it they
     are paired when they start at the same instant, for tables that carry no ``workout_id``.
     ``scale`` is the number of decimals of the measures where it is known; sums are then exact.
+    ``parts`` are workouts and statistics once more, cut so that keyed pairing needs no shuffle, where the tables are stored so.
     """
 
     records: DataFrame
@@ -38,13 +39,14 @@ class HealthStore:
     stats: DataFrame | None = None
     keyed: bool = True
     scale: int | None = None
+    parts: workouts.Parts | None = None
 
     @classmethod
     def from_import(cls, spark: SparkSession, root: str, **options) -> HealthStore:
         """The tables an import wrote under ``root``."""
         tables = Tables(root)
         read = {name: tables.read(configure(spark), name) for name in ("records", "workouts", "stats")}
-        return cls(**read, **options)
+        return cls(**read, **{"parts": tables.pairs(spark)} | options)
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, records: str, **options) -> HealthStore:
@@ -73,7 +75,7 @@ class HealthStore:
         if not self.keyed:
             return summary.summary(self.records, self.workouts, self.stats)
         return summary.united(summary.summary_records(self.records),
-                              summary.summary_workouts_keyed(self.workouts, self.stats))
+                              summary.summary_workouts_keyed(self.workouts, self.stats, self.parts))
 
     def total(self) -> DataFrame:
         """Number of all records."""
@@ -106,8 +108,9 @@ class HealthStore:
         if not is_workout(record_type):
             return statistics.stats_records(self.records, record_type, self.scale, numeric_only)
         self._need_workouts()
-        find = workouts.stats_workout_keyed if self.keyed else workouts.stats_workout
-        return find(self.workouts, self.stats, record_type, self.scale)
+        if self.keyed:
+            return workouts.stats_workout_keyed(self.workouts, self.stats, record_type, self.scale, self.parts)
+        return workouts.stats_workout(self.workouts, self.stats, record_type, self.scale)
 
     def trend(self, record_type: str | None, interval: str = "month", date_from=None, date_to=None,
               tz: str | None = None, numeric_only: bool = False) -> DataFrame:
@@ -116,9 +119,10 @@ class HealthStore:
             records = statistics.numeric_rows(self.records) if numeric_only else self.records
             return trend.trend(records, record_type, interval, date_from, date_to, self.scale, tz)
         self._need_workouts()
-        find = workouts.trend_workout_keyed if self.keyed else workouts.trend_workout
-        return find(self.workouts, self.stats, record_type, interval, date_from, date_to,
-                    scale=self.scale, tz=tz)
+        if self.keyed:
+            return workouts.trend_workout_keyed(self.workouts, self.stats, record_type, interval, date_from, date_to, self.scale, tz, self.parts)
+        return workouts.trend_workout(self.workouts, self.stats, record_type, interval, date_from, date_to,
+                                      scale=self.scale, tz=tz)
 
     def trend_by_device(self, record_type: str | None, interval: str = "month", date_from=None,
                         date_to=None) -> DataFrame:
