@@ -65,5 +65,34 @@ def test_elias_fano(n, top):
     assert (at == np.searchsorted(values, keys)).all() and (equal == np.isin(keys, values)).all()
 
 
+@pytest.mark.parametrize("n,top", [(1, 0), (9, 4), (600, 1 << 45), (700, 90)])
+def test_search_inside_ranges(n, top):
+    """Against the list itself, over borders with equal neighbours, empty ranges and keys beyond all."""
+    rng = np.random.default_rng(n + 1)
+    values = np.sort(rng.integers(0, top, n, dtype=np.uint64, endpoint=True))
+    packed = EliasFano(encode(values))
+    places = rng.integers(0, n, 300)
+    assert (packed.at(places) == values[places]).all() and len(packed.at(places[:0])) == 0
+    keys = np.concatenate([values[places], rng.integers(0, top, 300, dtype=np.uint64, endpoint=True), np.array([top + 1, (1 << 64) - 1], np.uint64)])
+    begin = rng.integers(0, n + 1, len(keys))
+    end = np.minimum(begin + rng.integers(0, 40, len(keys)), n)
+    at, equal = packed.successor_within(keys, begin, end)
+    for k, b, e, a, same in zip(keys, begin, end, at, equal, strict=True):
+        want = b + int(np.searchsorted(values[b:e], k))
+        assert same == (want < e and values[want] == k)
+        if same:
+            assert a == want
+
+
+def test_level_of_successors_is_relative(tmp_path):
+    """Two contexts with the same words: the second's numbers begin at the first's last, not at a multiple of the largest word of all."""
+    keys = np.array([1 << 32 | 5, 1 << 32 | 9, 3 << 32 | 0, 3 << 32 | 9, 4 << 32 | (1 << 30)], np.uint64)
+    trie = ngram_lm.TrieShard(np.array([1, 2, 3, 4], np.uint64), np.full(4, 9), keys, np.array([1, 2, 3, 4, 5]), str(tmp_path))
+    assert trie.words.all().tolist() == [5, 9, 9, 18, 18 + (1 << 30)]
+    assert trie.pointers.all().tolist() == [0, 2, 2, 4, 5]
+    asked = np.concatenate([keys, np.array([1 << 32, 2 << 32 | 9, 3 << 32 | 5, 4 << 32, 5 << 32 | 9], np.uint64)])
+    assert (trie.codes_of(asked) > 0).tolist() == [True] * 5 + [False] * 5
+
+
 def test_empty_table(empty):
     assert ngram_lm.score(empty).collect() == []

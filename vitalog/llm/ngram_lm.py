@@ -175,8 +175,9 @@ class TrieShard:
     """The pairs of one shard as a two-level trie in memory-mapped files.
 
     First level: context numbers, and pointers to where each context's successors begin, both ascending. Second level:
-    successors as rank of the context times ``span`` plus word, ascending as a whole, with a 16-bit code of the
-    discounted probability each. A word is found under its context by successor search in that context's range.
+    successors relative to their context, each as its word plus the last number of the context before, so the whole level ascends and its
+    numbers stay as small as the words allow; with a 16-bit code of the discounted probability each. A context's two pointers
+    bound its range, the number in front of the range is its base, and base plus word is looked for by successor search in that range alone.
     """
 
     def __init__(self, contexts: np.ndarray, counts: np.ndarray, keys: np.ndarray, learned: np.ndarray, folder: str) -> None:
@@ -184,12 +185,15 @@ class TrieShard:
         keys, learned = keys[seen], learned[seen]
         rank = np.searchsorted(contexts, keys >> np.uint64(32))
         word = keys & np.uint64((1 << 32) - 1)
-        self.span = int(word.max()) + 1 if len(word) else 1
         p = np.maximum(learned - DISCOUNT, 0) / (counts[rank] + CONFIDENCE)
         pointers = np.searchsorted(rank, np.arange(len(contexts) + 1)).astype(np.uint64)
         self.contexts = self._mapped(folder, encode(contexts))
         self.pointers = self._mapped(folder, encode(pointers))
-        self.words = self._mapped(folder, encode(rank.astype(np.uint64) * np.uint64(self.span) + word))
+        largest = np.zeros(len(contexts), np.uint64)  # of each context's words, which ascend
+        some = np.flatnonzero(np.diff(pointers.astype(np.int64)))
+        largest[some] = word[pointers[some + 1].astype(np.int64) - 1]
+        base = np.cumsum(largest) - largest
+        self.words = self._mapped(folder, encode(base[rank] + word))
         codes = np.maximum(1 + np.floor((1 + np.log2(p) / LOG_RANGE) * 65534), 1).astype("<u2")
         self.codes = np.frombuffer(self._file(folder, codes.tobytes()), "<u2") if len(codes) else codes
         self.successors = np.diff(pointers).astype(np.int64)
@@ -207,11 +211,13 @@ class TrieShard:
         """Codes of (context, word) keys; 0 for pairs that were not learned."""
         out = np.zeros(len(keys), np.uint16)
         rank, known = self.contexts.successor(keys >> np.uint64(32))
-        word = keys & np.uint64((1 << 32) - 1)
-        known &= word < self.span
-        at, found = self.words.successor(rank[known].astype(np.uint64) * np.uint64(self.span) + word[known])
-        inside = np.flatnonzero(known)[found]
-        out[inside] = self.codes[at[found]]
+        asked = np.flatnonzero(known)
+        begin, end = (self.pointers.at(rank[asked] + k).astype(np.int64) for k in (0, 1))
+        base = np.zeros(len(asked), np.uint64)
+        behind = np.flatnonzero((begin > 0) & (begin < end))
+        base[behind] = self.words.at(begin[behind] - 1)
+        at, found = self.words.successor_within(base + (keys[asked] & np.uint64((1 << 32) - 1)), begin, end)
+        out[asked[found]] = self.codes[at[found]]
         return out
 
 
