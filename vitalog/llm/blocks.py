@@ -91,9 +91,14 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[objec
         yield current, rows
 
 
-def by_block(messages: DataFrame) -> DataFrame:
-    """Messages dealt out by block, each block's rows together and in order."""
-    return messages.select("block", "shard", "body").repartition("block").sortWithinPartitions("block", "shard")
+def block_tasks(spark: SparkSession, size: int, block_bytes: int) -> int:
+    """Tasks for the blocks of ``size`` bytes of text, about two blocks each: a block's messages are small beside the work on it."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (2 * block_bytes)))
+
+
+def by_block(messages: DataFrame, tasks: int) -> DataFrame:
+    """Messages dealt out by block to a fixed number of tasks, each block's rows together and in order."""
+    return messages.select("block", "shard", "body").repartition(tasks, "block").sortWithinPartitions("block", "shard")
 
 
 def by_shard(messages: DataFrame, shards: int) -> DataFrame:

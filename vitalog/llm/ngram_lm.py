@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import MESSAGE, by_block, by_shard, from_small, grouped, load, message, new_folder, save, sent, small
+from .blocks import MESSAGE, block_tasks, by_block, by_shard, from_small, grouped, load, message, new_folder, save, sent, small
 from .common import in_fold, lowered, mixed, span_hashes, text_groups, word_spans, written
 from .elias_fano import EliasFano, encode
 
@@ -288,12 +288,13 @@ def score(docs: DataFrame, parts: int = 10, fold: int = 0) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", in_fold(F.col("doc_id"), parts, fold).alias("held_out"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (6 * SHARD_TOKENS)))
+    tasks = block_tasks(spark, size, BLOCK_BYTES)
     asked = written(rows.mapInArrow(_block_words(folder, shards), MESSAGE), "lm-words")
     answers = written(by_shard(asked, shards).mapInArrow(_answer_words(shards), MESSAGE + ", learned long, different long"), "lm-counts")
     n_tokens, different = (x or 0 for x in answers.agg(F.sum("learned"), F.sum("different")).first())
     texts = rows.filter(~F.col("held_out")).count()
-    pairs = by_block(answers).mapInArrow(_block_pairs(folder, shards, n_tokens, texts), MESSAGE)
+    pairs = by_block(answers, tasks).mapInArrow(_block_pairs(folder, shards, n_tokens, texts), MESSAGE)
     found = by_shard(pairs, shards).mapInArrow(_answer_pairs, MESSAGE)
-    return by_block(found).mapInArrow(
+    return by_block(found, tasks).mapInArrow(
         _scores(shards, n_tokens, different, texts),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

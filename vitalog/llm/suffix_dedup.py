@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import MESSAGE, by_block, by_shard, from_small, grouped, load, message, new_folder, save, sent, small
+from .blocks import MESSAGE, block_tasks, by_block, by_shard, from_small, grouped, load, message, new_folder, save, sent, small
 from .common import mixed, powers, text_groups, written
 from .elias_fano import EliasFano, encode
 
@@ -461,12 +461,13 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False,
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (8 << 20))
+    tasks = block_tasks(spark, size, BLOCK_BYTES)
     anchors = written(rows.mapInArrow(_block_anchors(folder, shards, length), MESSAGE), "suffix-anchors")
     kinds = by_shard(anchors, shards).mapInArrow(_answer_anchors, MESSAGE)
-    contexts = by_block(kinds).mapInArrow(_block_contexts(folder, shards, length), MESSAGE)
+    contexts = by_block(kinds, tasks).mapInArrow(_block_contexts(folder, shards, length), MESSAGE)
     masks = by_shard(contexts, shards).mapInArrow(_answer_contexts(length), MESSAGE)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return by_block(masks).mapInArrow(_removals(length, with_text), schema + (", kept binary" if with_text else ""))
+    return by_block(masks, tasks).mapInArrow(_removals(length, with_text), schema + (", kept binary" if with_text else ""))
 
 
 ORACLE = """
