@@ -68,3 +68,14 @@ def test_a_third_of_the_records_in_one_hour(spark):
     assert largest <= 40 * 8 and pieces.select("cell").distinct().count() > 2
     got = overlap.source_overlap_time(frame(spark, rows), cell_rows=20).collect()
     assert [r["overlap_seconds"] for r in got] == [r[3] for r in brute(rows)]
+
+
+def test_long_records_are_not_multiplied_by_small_cells(spark):
+    """As many records at every instant as fill a cell: halving doesn't help, and must not multiply them."""
+    rows = [("t", "abc"[i % 3], 1000 * i, 1000 * i + 43_200, 1.0) for i in range(400)]
+    pieces = overlap._pieces(frame(spark, rows), 20)
+    assert pieces.count() <= 8 * len(rows)
+    got = overlap.source_overlap_time(frame(spark, rows), cell_rows=20).collect()
+    want = brute(rows)
+    assert [r["overlap_seconds"] for r in got] == [r[3] for r in want]
+    assert [r["first_value"] for r in got] == pytest.approx([r[4] for r in want], abs=1e-6)

@@ -11,50 +11,69 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, scratch_dir
+from ..sinks.tables import write_parquet
 from .filters import of_type
 from .sized_join import if_small, join_group_rows
 
 DAY = 86_400_000_000
 #: Different intervals of a type that one cell should hold, and the smallest cell: a day halved so often (its microseconds divide by 2^13).
 CELL_ROWS, MOST_HALVINGS = 100_000, 13
+#: Halvings of a busy cell before its pieces are counted again, so a record is never in more than 2^4 + 1 pieces at once; pieces a task sweeps.
+HALVINGS, TASK_PIECES = 4, 50_000
 CELL = ["type", "day", "level", "cell"]
 _PIECE = ["source", "s", "e", "rate", "point", "instants"]
 
 
-def _cut(start: Column, end: Column, size: Column) -> Column:
-    """Numbers of the cells an interval meets; an instant meets the one it stands in."""
-    first = F.floor(start / size)
-    return F.sequence(first, F.greatest(first, F.floor((end - 1) / size)))
+def _cut(rows: DataFrame, keys: list[str], size: Column, number: str) -> DataFrame:
+    """Rows cut at the borders of cells of a ``size``, numbered by ``number``: the first and the last piece of each; the pieces between, which fill
+    their cells, are added up to one per cell and source. So a long record adds two rows, however small the cells are. An instant is in the cell it stands in.
+    """
+    first = F.floor(F.col("s") / size)
+    placed = rows.withColumns({"_size": size, "_first": first, "_last": F.greatest(first, F.floor((F.col("e") - 1) / size))})
+    low, high = F.col(number) * F.col("_size"), (F.col(number) + 1) * F.col("_size")
+    edges = placed.withColumn(number, F.explode(F.array_distinct(F.array("_first", "_last"))))
+    edges = edges.withColumns({"s": F.greatest(F.col("s"), low), "e": F.least(F.col("e"), high)})
+    between = placed.filter("_last - _first > 1").withColumn(number, F.explode(F.sequence(F.col("_first") + 1, F.col("_last") - 1)))
+    between = between.withColumns({"s": low, "e": high}).groupBy(*keys, number, "source", "s", "e").agg(
+        F.sum("rate").alias("rate"), F.sum("point").alias("point"), F.sum("instants").cast("int").alias("instants"))
+    columns = [*keys, number, *_PIECE]
+    return edges.select(columns).union(between.select(columns))
+
+
+def _written(pieces: DataFrame) -> DataFrame:
+    """Written to the shared folder, compressed, and read back."""
+    path = scratch_dir(pieces.sparkSession, "pieces", kept=True)
+    write_parquet(pieces, path)
+    return pieces.sparkSession.read.schema(pieces.schema).parquet(path)
 
 
 def _pieces(records: DataFrame, cell_rows: int) -> DataFrame:
-    """(type, day, level, cell, source, s, e, rate, point, instants): intervals inside a cell, microseconds from its day; equal ones are added up."""
+    """(type, day, level, cell, source, s, e, rate, point, instants): intervals inside a cell, microseconds from its day; equal ones, and those that fill a
+    cell, are added up."""
     start, end = F.unix_micros("startDate"), F.unix_micros("endDate")
-    known = records.filter("startDate IS NOT NULL AND endDate >= startDate").select(
+    known = records.filter("type IS NOT NULL AND startDate IS NOT NULL AND endDate >= startDate").select(
         "type", F.coalesce("sourceName", F.lit("")).alias("source"), start.alias("s"), end.alias("e"),
         F.coalesce(F.col("value"), F.lit(0.0)).alias("value"))
     equal = known.groupBy("type", "source", "s", "e").agg(F.sum("value").alias("value"), F.count("*").alias("n"))
     length = F.nullif(F.col("e") - F.col("s"), F.lit(0))
     rows = equal.withColumns({"rate": F.coalesce(F.col("value") / length, F.lit(0.0)), "point": F.when(length.isNull(), F.col("value")).otherwise(0.0),
-                              "instants": F.when(length.isNull(), F.col("n")).otherwise(0)})
-    day = F.lit(DAY)
-    rows = rows.withColumn("day", F.explode(_cut(F.col("s"), F.col("e"), day)))
-    low = F.col("day") * day
-    rows = rows.withColumns({"s": F.greatest(F.col("s"), low) - low, "e": F.least(F.col("e"), low + day) - low})
+                              "instants": F.when(length.isNull(), F.col("n")).otherwise(0).cast("int")})
+    low = F.col("day") * DAY
+    rows = _cut(rows, ["type"], F.lit(DAY), "day").withColumns({"s": F.col("s") - low, "e": F.col("e") - low})
     found, settled = rows.withColumns({"level": F.lit(0), "cell": F.lit(0).cast("long")}).select(*CELL, *_PIECE), []
-    while True:  # busy cells are halved until they hold few enough, or are the smallest
-        found = checkpointed(found)
-        busy = found.groupBy(*CELL).agg(F.count("*").alias("n")).filter((F.col("n") > cell_rows) & (F.col("level") < MOST_HALVINGS))
-        halvings = F.least(MOST_HALVINGS - F.col("level"), F.ceil(F.log2(F.col("n") / cell_rows))).cast("int")
+    size = F.expr(f"shiftright({DAY}L, level)")
+    filling = (F.col("s") == F.col("cell") * size) & (F.col("e") == (F.col("cell") + 1) * size)
+    while True:  # busy cells are halved until they hold few enough pieces beside those that fill them, or are the smallest
+        found = _written(found)
+        busy = found.filter(~filling).groupBy(*CELL).agg(F.count("*").alias("n")).filter((F.col("n") > cell_rows) & (F.col("level") < MOST_HALVINGS))
+        halvings = F.least(F.lit(HALVINGS), MOST_HALVINGS - F.col("level"), F.ceil(F.log2(F.col("n") / cell_rows))).cast("int")
         busy = checkpointed(busy.select(*CELL, halvings.alias("halvings")))
         if busy.isEmpty():
             break
         settled.append(found.join(if_small(busy) or busy, CELL, "left_anti"))
-        split = join_group_rows(found, busy, CELL).withColumn("level", F.col("level") + F.col("halvings"))
-        split = split.withColumn("size", F.expr(f"shiftright({DAY}L, level)")).withColumn("cell", F.explode(_cut(F.col("s"), F.col("e"), F.col("size"))))
-        low, high = F.col("cell") * F.col("size"), (F.col("cell") + 1) * F.col("size")
-        found = split.select(*CELL, "source", F.greatest(F.col("s"), low).alias("s"), F.least(F.col("e"), high).alias("e"), "rate", "point", "instants")
+        split = join_group_rows(found, busy, CELL).withColumn("level", F.col("level") + F.col("halvings")).drop("cell")
+        found = _cut(split, ["type", "day", "level"], size, "cell").select(*CELL, *_PIECE)
     for cold in settled:
         found = found.union(cold)
     return found
@@ -70,10 +89,10 @@ def _islands(pieces: DataFrame) -> DataFrame:
     return numbered.groupBy(*CELL, "source", "island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("island")
 
 
-def _ends(rows: DataFrame, at: str, sign: int, weighed: dict[str, Column]) -> DataFrame:
+def _ends(rows: DataFrame, at: str, sign: int, turn: int = 0, **weighed: Column) -> DataFrame:
     names = ("w_length", "w_value", "w_point", "w_instants")
     zero = {"w_length": F.lit(0).cast("long"), "w_value": F.lit(0.0), "w_point": F.lit(0.0), "w_instants": F.lit(0).cast("long")}
-    return rows.select(*CELL, F.col("source").alias("asking"), F.col(at).alias("t"), *[
+    return rows.select(*CELL, F.col("source").alias("asking"), F.col(at).alias("t"), F.lit(turn).alias("turn"), *[
         (weighed[n] * sign if n in weighed else zero[n]).alias(n) for n in names])
 
 
@@ -88,17 +107,22 @@ def source_overlap_time(records: DataFrame, record_type: str | None = None, cell
     pieces = _pieces(of_type(records, record_type), cell_rows)
     islands = _islands(pieces)
     lasting, instant = pieces.filter("e > s"), pieces.filter("e = s")
-    asked = (_ends(islands, "e", 1, {"w_length": F.lit(1).cast("long")}).union(_ends(islands, "s", -1, {"w_length": F.lit(1).cast("long")}))
-             .union(_ends(lasting, "e", 1, {"w_value": F.col("rate")})).union(_ends(lasting, "s", -1, {"w_value": F.col("rate")}))
-             .union(_ends(instant, "s", 1, {"w_point": F.col("point"), "w_instants": F.col("instants").cast("long")})))
-    asked = asked.groupBy(*CELL, "asking", "t").agg(*[F.sum(n).alias(n) for n in ("w_length", "w_value", "w_point", "w_instants")])
-    # sources of a cell, not their records
-    covering = islands.groupBy(*CELL).agg(F.collect_set("source").alias("sources"))
-    asked = asked.join(covering, CELL).withColumn("source", F.explode(F.array_remove("sources", F.col("asking")))).drop("sources")
-    none = [F.lit(None).cast(t).alias(n) for n, t in (("w_length", "long"), ("w_value", "double"), ("w_point", "double"), ("w_instants", "long"))]
-    marks = islands.select(*CELL, "source", F.explode(F.array(F.struct(F.col("s").alias("t"), F.lit(1).alias("turn")), F.struct(F.col("e").alias("t"), F.lit(-1).alias("turn")))).alias("m"))
-    marks = marks.select(*CELL, F.lit(None).cast("string").alias("asking"), "m.t", *none, "source", "m.turn")
-    both = marks.union(asked.select(*CELL, "asking", "t", "w_length", "w_value", "w_point", "w_instants", "source", F.lit(0)))
+    one = F.lit(1).cast("long")
+    points = (_ends(islands, "e", 1, -1, w_length=one).union(_ends(islands, "s", -1, 1, w_length=one))
+              .union(_ends(lasting, "e", 1, w_value=F.col("rate"))).union(_ends(lasting, "s", -1, w_value=F.col("rate")))
+              .union(_ends(instant, "s", 1, w_point=F.col("point"), w_instants=F.col("instants").cast("long"))))
+    # Dealt out by cell once: what follows needs no further exchange, and a point meets the other sources of its cell, not their records, inside its task.
+    spark = records.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), pieces.count() // TASK_PIECES)
+    points = points.repartition(tasks, *CELL).groupBy(*CELL, "asking", "t").agg(
+        *[F.sum(n).alias(n) for n in ("w_length", "w_value", "w_point", "w_instants")], F.sum("turn").alias("turn"))
+    marked = F.col("turn") != 0
+    covering = F.collect_set(F.when(marked, F.col("asking"))).over(Window.partitionBy(*CELL))
+    here = F.struct(F.col("asking").alias("source"), F.col("turn").alias("turn"))
+    others = F.transform(F.array_remove("sources", F.col("asking")), lambda s: F.struct(s.alias("source"), F.lit(0).cast("long").alias("turn")))
+    both = points.withColumn("sources", covering).withColumn(
+        "met", F.explode(F.concat(others, F.when(marked, F.array(here)).otherwise(F.array().cast("array<struct<source:string,turn:bigint>>")))))
+    both = both.drop("sources", "turn").select("*", "met.*").drop("met")
     # a source's own marks come before questions about the same instant
     upto = Window.partitionBy(*CELL, "source").orderBy("t", F.col("turn") == 0).rowsBetween(Window.unboundedPreceding, 0)
     swept = both.withColumns({"open": F.sum("turn").over(upto), "closed": F.sum(-F.col("turn") * F.col("t")).over(upto)}).filter("turn = 0")
