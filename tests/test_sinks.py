@@ -1,6 +1,7 @@
 """Writing tables, and imports that run more than once."""
 
 import shutil
+import threading
 from datetime import datetime, timedelta
 
 import pyarrow.parquet as pq
@@ -167,3 +168,20 @@ def test_samples_of_new_files_add_up(spark, tmp_path):
         got.append([(str(r.startDate)[:7], r.value, r.n_values) for r in rows])
     assert got == [[("2024-05", 2.0, 1)], [("2019-05", 3.0, 1), ("2024-05", 2.0, 1)],
                    [("2019-05", 3.0, 1), ("2024-05", 3.5, 2)]]
+
+
+def test_small_batches_run_at_once(spark, tmp_path):
+    """Micro-batches of a trigger meet at a barrier, each in a session of its own that merges small partitions; a second call has nothing to do."""
+    (tmp_path / "in").mkdir()
+    for i in range(4):
+        (tmp_path / "in" / f"{i}.xml").write_text("<HealthData/>")
+    met, seen = threading.Barrier(4, timeout=60), []
+
+    def work(session, paths, name):
+        met.wait()
+        seen.append((name, [p[-5:] for p in paths], session.conf.get("spark.sql.adaptive.enabled"), session is spark))
+
+    for _ in range(2):
+        ingest.each_batch_of_files(spark, str(tmp_path / "in"), str(tmp_path / "cp"), work, max_files=1)
+    number = "0" * 12
+    assert sorted(seen) == [(number + (f"-{i}" if i else ""), [f"{i}.xml"], "true", False) for i in range(4)]
