@@ -341,3 +341,42 @@ def test_hidden_tags_are_left_out_whichever_way_they_are_joined(spark, tmp_path,
     assert sorted(got) == sorted([f"r{i}" for i in range(60)] + ["z"])
     plain = tags.filter("hides is null")
     assert markup.visible(plain, markup.hidden_spans(plain)) is plain
+
+
+ODD_TAGS = ['Record type="a" value="1"/', 'Record type="a" value="1" /', "Record type='a' value=\"1\"/", 'Record type="a" value=\'1\'/', 'Record  type="a"/',
+            'Record type = "a"/', 'Record\n type="a"/', 'Record type="a\nb"/', 'Record type=" value=" value="2"/', 'Record unit=" type=" value="2" type="t"/',
+            'Record type="&lt;&amp;quot;&gt;"/', 'Record type="&quot;x&quot; &#65;"/', "Record type=\"Rob's\" unit=\"='\"", 'Record type="a" other="b" value=""/', "Record", "Record/",
+            'Record a:type="x" type="y"/', 'Record value="" type=""/']
+
+
+def test_attributes_as_columns_are_those_of_the_map(spark):
+    tags = spark.createDataFrame([(i, "Record", t) for i, t in enumerate(ODD_TAGS)], "id int, tag string, inside string")
+    names = ("type", "value", "unit")
+    as_map = markup.attributes(F.col("inside"), F.col("tag"))
+    both = markup.attribute_columns(tags.withColumn("map", as_map), names)
+    for r in both.collect():
+        assert r.attrs.asDict() == {n: r.map.get(n) for n in names}, r.inside
+    twice = spark.createDataFrame([("Record", 'Record type="a" type="b"/')], "tag string, inside string")
+    with pytest.raises(PySparkException):
+        markup.attribute_columns(twice, names).collect()
+
+
+def test_text_is_not_shuffled(spark, export, tmp_path):
+    with splits_of(spark, "200"):
+        tags = landing.land_tags(spark, export, 4)
+    spans = markup.hidden_spans(tags)
+    spark.sparkContext.setCheckpointDir(str(tmp_path)) if not spark.sparkContext.getCheckpointDir() else None
+    found = markup.elements(tags, spans)
+    found.collect()
+    plan = found._jdf.queryExecution().explainString(found._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    shuffled = [part for part in plan.split("\n\n") if ") Exchange\n" in part]
+    assert shuffled and not any("inside" in part for part in shuffled)
+
+
+def test_a_compressed_export_reads_the_same(spark, export, tmp_path):
+    import gzip
+    (tmp_path / "export.xml.gz").write_bytes(gzip.compress(SAMPLE.encode()))
+    assert landing.file_sizes(spark, str(tmp_path))[0] > len(gzip.compress(SAMPLE.encode()))
+    for name, df in landing.scan_tables(spark, str(tmp_path)).items():
+        want = landing.scan_tables(spark, export)[name]
+        assert rows(df.drop("workout_id")) == rows(want.drop("workout_id"))
