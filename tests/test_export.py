@@ -361,11 +361,10 @@ def test_attributes_as_columns_are_those_of_the_map(spark):
         markup.attribute_columns(twice, names).collect()
 
 
-def test_text_is_not_shuffled(spark, export, tmp_path):
+def test_text_is_not_shuffled(spark, export):
     with splits_of(spark, "200"):
         tags = landing.land_tags(spark, export, 4)
     spans = markup.hidden_spans(tags)
-    spark.sparkContext.setCheckpointDir(str(tmp_path)) if not spark.sparkContext.getCheckpointDir() else None
     found = markup.elements(tags, spans)
     found.collect()
     plan = found._jdf.queryExecution().explainString(found._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
