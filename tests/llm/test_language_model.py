@@ -1,11 +1,15 @@
+import gc
 import math
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from vitalog.llm import ngram_lm
+from vitalog.llm.blocks import message, sent, small
 from vitalog.llm.elias_fano import EliasFano, encode
 
 from .conftest import words
@@ -96,3 +100,60 @@ def test_level_of_successors_is_relative(tmp_path):
 
 def test_empty_table(empty):
     assert ngram_lm.score(empty).collect() == []
+
+
+def peak_of(work):
+    """Bytes that a call takes at most besides what is there when it begins."""
+    gc.collect()
+    tracemalloc.start()
+    try:
+        before = tracemalloc.get_traced_memory()[0]
+        work()
+        return tracemalloc.get_traced_memory()[1] - before
+    finally:
+        tracemalloc.stop()
+
+
+def some_block(n=400_000):
+    """Two texts' tokens as a block has them: places in its list of words, and the words' numbers."""
+    rng = np.random.default_rng(5)
+    tokens = (rng.zipf(1.3, n) % 50_000).astype(np.uint32)
+    return tokens, np.array([n // 2, n - n // 2]), rng.permutation(200_000)[:50_000].astype(np.int64)
+
+
+def test_pairs_of_a_block_take_little_memory():
+    tokens, n_tokens, number = some_block()
+    assert peak_of(lambda: ngram_lm._pairs(tokens, n_tokens, number)) < 40 * len(tokens)
+
+
+def test_a_block_takes_little_memory(tmp_path):
+    """The words of one block, with its text, held against the number of its tokens."""
+    rng = np.random.default_rng(6)
+    n = 400_000
+    text = " ".join(map(str, rng.zipf(1.3, n) % 50_000))
+    batch = pa.record_batch([pa.array([1], pa.int64()), pa.array([text]), pa.array([False])], ["doc_id", "text", "held_out"])
+    run = ngram_lm._block_words(f"file://{tmp_path}", 12)
+    assert peak_of(lambda: list(run(iter([batch])))) < 90 * n
+
+
+def shard_messages(blocks=6, n=100_000):
+    rng = np.random.default_rng(7)
+    out = []
+    for b in range(blocks):
+        keys = np.unique(rng.integers(0, 3_000, n, dtype=np.uint64) << np.uint64(32) | rng.integers(0, 60_000, n, dtype=np.uint64))
+        contexts = np.unique(keys >> np.uint64(32))
+        body = message(contexts=encode(contexts), counts=small(np.full(len(contexts), 500)), n=len(contexts), pairs=encode(keys), learned=small(rng.integers(0, 9, len(keys))))
+        out.append((f"block {b}", 0, body))
+    return sent(out), blocks * n
+
+
+def test_a_shard_of_pairs_takes_little_memory():
+    batch, n = shard_messages()
+    assert peak_of(lambda: list(ngram_lm._answer_pairs(iter([batch])))) < 80 * n
+
+
+@pytest.mark.parametrize("values", [[], [7], [5, 5, 5], [9, 1, (1 << 64) - 1, 0, 9, 1]])
+def test_numbered_is_unique(values):
+    values = np.array(values, np.uint64)
+    for got, want in zip(ngram_lm._numbered(values), np.unique(values, return_inverse=True), strict=True):
+        assert got.tolist() == want.tolist()

@@ -80,13 +80,14 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[objec
     """Consecutive rows with the same key, as (block, shard, message)."""
     current, rows = None, []
     for batch in batches:
-        for block, shard, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        blocks, shards, bodies = batch.columns
+        for block, shard, body in zip(blocks.to_pylist(), shards.to_pylist(), bodies, strict=True):  # bodies are not all copied at once
             this = block if key == "block" else shard
             if rows and this != current:
                 yield current, rows
                 rows = []
             current = this
-            rows.append((block, shard, pickle.loads(body)))
+            rows.append((block, shard, pickle.loads(body.as_buffer())))
     if rows:
         yield current, rows
 

@@ -15,7 +15,7 @@ _LOW_LIMIT = 56
 
 def _pack(low: np.ndarray, width: int) -> bytes:
     out = []
-    for lo in range(0, len(low), 1 << 16):  # a multiple of 8 numbers fills whole bytes
+    for lo in range(0, len(low), 1 << 16):  # a multiple of 8 numbers fills whole bytes; bits above the width are left out
         part = low[lo:lo + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
         out.append(np.packbits(np.unpackbits(part, axis=1, count=width, bitorder="little").ravel(), bitorder="little").tobytes())
     return b"".join(out)
@@ -23,7 +23,7 @@ def _pack(low: np.ndarray, width: int) -> bytes:
 
 def encode(values: np.ndarray) -> bytes:
     """Bytes of an ascending list (equal neighbours allowed)."""
-    values = values.astype(np.uint64)
+    values = values.astype(np.uint64, copy=False)
     n = len(values)
     if not n:
         return struct.pack("<QQQ", 0, 0, 0)
@@ -32,9 +32,11 @@ def encode(values: np.ndarray) -> bytes:
     high = values >> np.uint64(width)
     length = n + int(high[-1]) + 1
     bitmap = np.zeros((length + 63) // 64 * 64, np.uint8)
-    bitmap[(high + np.arange(n, dtype=np.uint64)).astype(np.int64)] = 1
+    high += np.arange(n, dtype=np.uint64)
+    bitmap[high.view(np.int64)] = 1
+    del high
     bitmap = np.packbits(bitmap, bitorder="little").tobytes()
-    return struct.pack("<QQQ", n, width, len(bitmap)) + bitmap + _pack(values & np.uint64((1 << width) - 1), width)
+    return struct.pack("<QQQ", n, width, len(bitmap)) + bitmap + _pack(values, width)
 
 
 class EliasFano:

@@ -42,6 +42,21 @@ def _from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values in order and each value's place among them, as np.unique has it, in narrow numbers and with few copies."""
+    width = np.int32 if len(values) < 1 << 31 else np.int64
+    order = np.argsort(values)
+    ordered = values[order]
+    first = np.ones(len(values), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=first[1:])
+    different = ordered[first]
+    del ordered
+    place = np.empty(len(values), width)
+    place[order] = np.cumsum(first, dtype=width)
+    place -= 1
+    return different, place
+
+
 # --- first round: words ---------------------------------------------------------------------------------------------
 
 def _block_words(folder: str, shards: int):
@@ -52,19 +67,23 @@ def _block_words(folder: str, shards: int):
             low = lowered(data)
             starts, ends, text = word_spans(low, offsets)
             n_words = np.bincount(text, minlength=hi - lo)
+            del text
             n_tokens = n_words + 1
             last = np.cumsum(n_tokens) - 1
             tokens = np.full(int(n_tokens.sum()), END, np.uint64)
             is_word = np.ones(len(tokens), bool)
             is_word[last] = False
             tokens[is_word] = span_hashes(low, starts, ends)
-            words, inverse = np.unique(tokens, return_inverse=True)
-            learned = np.bincount(inverse, np.repeat(~held, n_tokens), len(words)).astype(np.int64)
+            del low, starts, ends, is_word
+            words, inverse = _numbered(tokens)
+            del tokens
+            learned = np.bincount(inverse[np.repeat(~held, n_tokens)], minlength=len(words))
             often = np.argsort(-np.bincount(inverse, minlength=len(words)), kind="stable")
-            rank = np.empty(len(words), np.int64)
+            rank = np.empty(len(words), np.uint32)
             rank[often] = np.arange(len(words))
             block = save(folder, ids=column("doc_id").to_pylist(), held=held, n_tokens=n_tokens, words=words,
                           often=often.astype(np.uint32), tokens=_planes(rank[inverse]))
+            del inverse
             owner = (words % np.uint64(shards)).astype(np.int64)
             rows = []
             for shard in np.unique(owner):
@@ -99,15 +118,21 @@ def _answer_words(shards: int):
 
 # --- second round: pairs --------------------------------------------------------------------------------------------
 
-def _pairs(tokens: np.ndarray, n_tokens: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different (context, word) pairs of a block in order as 64-bit keys, the pair of each token, and its context's local word (-1: begin)."""
-    before = np.concatenate([[0], tokens[:-1]])
-    local = before.copy()
-    first = np.cumsum(n_tokens) - n_tokens
-    local[first] = -1
-    context = np.where(local >= 0, number[np.maximum(local, 0)], int(BEGIN)).astype(np.uint64)
-    keys, inverse = np.unique(context << np.uint64(32) | number[tokens].astype(np.uint64), return_inverse=True)
-    return keys, inverse, local
+def _local_tokens(block: dict) -> np.ndarray:
+    """The block's tokens as places in its list of words."""
+    return block["often"][_from_planes(block["tokens"])]
+
+
+def _pairs(tokens: np.ndarray, n_tokens: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different (context, word) pairs of a block in order as 64-bit keys, and the pair of each token; a text's first context is BEGIN."""
+    word = number.astype(np.uint64)[tokens]
+    keys = np.empty(len(word), np.uint64)
+    keys[1:] = word[:-1]
+    keys[np.cumsum(n_tokens) - n_tokens] = BEGIN
+    keys <<= np.uint64(32)
+    keys |= word
+    del word
+    return _numbered(keys)
 
 
 def _pair_owner(keys: np.ndarray, shards: int, often: np.ndarray) -> np.ndarray:
@@ -148,9 +173,9 @@ def _block_pairs(folder: str, shards: int, n_tokens: int, texts: int):
             block = load(path)
             number, total = _block_numbers(block, rows, shards)
             known = save(folder, number=_planes(number), total=small(total))
-            tokens = block["often"].astype(np.int64)[_from_planes(block["tokens"])]
-            keys, inverse, _ = _pairs(tokens, block["n_tokens"], number)
-            learned = np.bincount(inverse, np.repeat(~block["held"], block["n_tokens"]), len(keys)).astype(np.int64)
+            keys, inverse = _pairs(_local_tokens(block), block["n_tokens"], number)
+            learned = np.bincount(inverse[np.repeat(~block["held"], block["n_tokens"])], minlength=len(keys))
+            del inverse
             contexts, counts = _contexts(keys, number, total, texts)
             often = _often(contexts, counts, n_tokens, shards)
             owner = _pair_owner(keys, shards, often.astype(np.uint64))
@@ -160,17 +185,29 @@ def _block_pairs(folder: str, shards: int, n_tokens: int, texts: int):
             pair_cut = np.searchsorted(owner[by_owner], np.arange(shards + 1))
             home_cut = np.searchsorted(home[by_home], np.arange(shards + 1))
             wide = np.flatnonzero(everywhere)
-            out = []
             for shard in range(shards):
                 mine = by_owner[pair_cut[shard]:pair_cut[shard + 1]]
                 here = np.unique(np.concatenate([by_home[home_cut[shard]:home_cut[shard + 1]], wide]))
                 if len(mine) or len(here):
-                    out.append((f"{path} {known}", shard, message(contexts=encode(contexts[here]), counts=small(counts[here]),
-                                                                  n=len(here), pairs=encode(keys[mine]), learned=small(learned[mine]))))
-            yield sent(out)
+                    yield sent([(f"{path} {known}", shard, message(contexts=encode(contexts[here]), counts=small(counts[here]),
+                                                                   n=len(here), pairs=encode(keys[mine]), learned=small(learned[mine])))])
     return run
 
 
+def _codes(learned: np.ndarray, counts: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """16-bit codes of the pairs' discounted probabilities, worked out in place."""
+    p = learned - DISCOUNT
+    np.maximum(p, 0, out=p)
+    p /= (counts + CONFIDENCE)[rank]
+    np.log2(p, out=p)
+    p /= LOG_RANGE
+    p += 1
+    p *= 65534
+    np.floor(p, out=p)
+    p += 1
+    return np.maximum(p, 1, out=p).astype("<u2")
+
+
 class TrieShard:
     """The pairs of one shard as a two-level trie in memory-mapped files.
 
@@ -182,10 +219,13 @@ class TrieShard:
 
     def __init__(self, contexts: np.ndarray, counts: np.ndarray, keys: np.ndarray, learned: np.ndarray, folder: str) -> None:
         seen = learned > 0
-        keys, learned = keys[seen], learned[seen]
+        if not seen.all():
+            keys, learned = keys[seen], learned[seen]
         rank = np.searchsorted(contexts, keys >> np.uint64(32))
+        codes = _codes(learned, counts, rank)
+        self.codes = np.frombuffer(self._file(folder, codes.tobytes()), "<u2") if len(codes) else codes
+        del seen, codes
         word = keys & np.uint64((1 << 32) - 1)
-        p = np.maximum(learned - DISCOUNT, 0) / (counts[rank] + CONFIDENCE)
         pointers = np.searchsorted(rank, np.arange(len(contexts) + 1)).astype(np.uint64)
         self.contexts = self._mapped(folder, encode(contexts))
         self.pointers = self._mapped(folder, encode(pointers))
@@ -193,9 +233,9 @@ class TrieShard:
         some = np.flatnonzero(np.diff(pointers.astype(np.int64)))
         largest[some] = word[pointers[some + 1].astype(np.int64) - 1]
         base = np.cumsum(largest) - largest
-        self.words = self._mapped(folder, encode(base[rank] + word))
-        codes = np.maximum(1 + np.floor((1 + np.log2(p) / LOG_RANGE) * 65534), 1).astype("<u2")
-        self.codes = np.frombuffer(self._file(folder, codes.tobytes()), "<u2") if len(codes) else codes
+        word += base[rank]
+        del rank
+        self.words = self._mapped(folder, encode(word))
         self.successors = np.diff(pointers).astype(np.int64)
 
     @staticmethod
@@ -221,20 +261,32 @@ class TrieShard:
         return out
 
 
+def _learned_pairs(bodies: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """The learned pairs of all blocks that ask, in order, and their counts."""
+    lists = [EliasFano(m["pairs"]) for m in bodies]
+    asked = np.empty(sum(x.n for x in lists), np.uint64)
+    learned, at = np.empty(len(asked), np.int64), 0
+    for m, x in zip(bodies, lists, strict=True):
+        asked[at:at + x.n], learned[at:at + x.n] = x.all(), from_small(m["learned"], x.n)
+        at += x.n
+    some = learned > 0
+    asked, learned = asked[some], learned[some]
+    keys, place = _numbered(asked)
+    del asked
+    total = np.zeros(len(keys), np.int64)
+    np.add.at(total, place, learned)
+    return keys, total
+
+
 def _answer_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for shard, rows in grouped(batches, "shard"):
-        asked = [EliasFano(m["pairs"]).all() for _, _, m in rows]
-        keys, inverse = np.unique(np.concatenate(asked), return_inverse=True)
-        learned = np.concatenate([from_small(m["learned"], len(a)) for a, (_, _, m) in zip(asked, rows, strict=True)])
-        total = np.zeros(len(keys), np.int64)
-        np.add.at(total, inverse, learned)
         named = [EliasFano(m["contexts"]).all() for _, _, m in rows]
         contexts, first = np.unique(np.concatenate(named), return_index=True)
         counts = np.concatenate([from_small(m["counts"], m["n"]) for _, _, m in rows])[first]
         with tempfile.TemporaryDirectory(prefix="trie-") as folder:
-            trie = TrieShard(contexts, counts, keys, total, folder)
-            for (block, _, _), mine, own in zip(rows, asked, named, strict=True):
-                yield sent([(block, shard, message(codes=zlib.compress(trie.codes_of(mine).astype("<u2").tobytes(), 1),
+            trie = TrieShard(contexts, counts, *_learned_pairs([m for _, _, m in rows]), folder)
+            for (block, _, m), own in zip(rows, named, strict=True):
+                yield sent([(block, shard, message(codes=zlib.compress(trie.codes_of(EliasFano(m["pairs"]).all()).astype("<u2").tobytes(), 1),
                                                      successors=small(trie.successors[np.searchsorted(contexts, own)])))])
             del trie
 
@@ -248,8 +300,8 @@ def _scores(shards: int, n_tokens: int, different: int, texts: int):
             block, words = load(path), load(known)
             number = _from_planes(words["number"])
             total = from_small(words["total"], len(number))
-            tokens = block["often"].astype(np.int64)[_from_planes(block["tokens"])]
-            keys, inverse, local = _pairs(tokens, block["n_tokens"], number)
+            tokens = _local_tokens(block)
+            keys, inverse = _pairs(tokens, block["n_tokens"], number)
             contexts, counts = _contexts(keys, number, total, texts)
             often = _often(contexts, counts, n_tokens, shards)
             owner = _pair_owner(keys, shards, often.astype(np.uint64))
@@ -265,7 +317,11 @@ def _scores(shards: int, n_tokens: int, different: int, texts: int):
             rank = np.searchsorted(contexts, (keys >> np.uint64(32)).astype(np.int64))
             rest = (DISCOUNT * successors + CONFIDENCE) / (counts + CONFIDENCE)
             plain = (total + ADD) / (n_tokens + ADD * (different + 1))
-            logs = np.log10(seen[inverse] + rest[rank][inverse] * plain[tokens])
+            logs = rest[rank][inverse]
+            logs *= plain[tokens]
+            logs += seen[inverse]
+            np.log10(logs, out=logs)
+            del inverse
             at = np.cumsum(block["n_tokens"]) - block["n_tokens"]
             sums = lambda x: np.add.reduceat(x, at)  # noqa: B023, E731
             yield pa.record_batch([pa.array(block["ids"], pa.int64()), pa.array(block["held"]), pa.array(block["n_tokens"].astype(np.int64)),
