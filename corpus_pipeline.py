@@ -28,6 +28,8 @@ LANGUAGE_PARTS, LANGUAGE_FOLD = 4, 2
 SHINGLE_WORDS, MOST_BITS = 3, 2
 #: Bits of a row's number that count inside its file.
 PLACE_BITS = 40
+#: Numbers of dropped rows are broadcast up to this many, by count: as files they are a tenth of what they take in memory, on the driver too.
+BROADCAST_DROPPED = 1_000_000
 
 
 def _numbered(docs: DataFrame, label: str) -> DataFrame:
@@ -50,7 +52,7 @@ def _texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
 def _without(docs: DataFrame, rows: DataFrame, dropped: DataFrame, label: str) -> DataFrame:
     """The documents whose number is not in the one column of ``dropped``."""
     dropped = written(dropped.toDF("row"), f"pipeline-{label}")
-    return rows.join(dropped, "row", "left_anti").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return rows.join(if_small(dropped, BROADCAST_DROPPED) or dropped.hint("merge"), "row", "left_anti").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def _all_but_one(docs: DataFrame, rows: DataFrame, groups: DataFrame, smallest: bool, label: str) -> DataFrame:

@@ -65,3 +65,15 @@ def test_near_stage_keeps_the_smallest_id(spark, sentences):
     rows = [(9, long + " tail"), (4, long), (None, long.upper()), (12, sentences[0]), (3, None), (2, "")]
     got = corpus_pipeline.near_stage(spark, frame(spark, rows), "").collect()
     assert sorted(r["doc_id"] for r in got) == [2, 4, 12]
+
+
+def test_many_dropped_rows_are_not_broadcast(spark, monkeypatch):
+    """The size of their files says little of what they take on the driver, so they are counted."""
+    rows = [(1, "one text here"), (5, "ONE text here"), (7, "another")]
+    docs = frame(spark, rows)
+    for most, expected in ((0, "SortMergeJoin"), (2, "BroadcastHashJoin")):
+        monkeypatch.setattr(corpus_pipeline, "BROADCAST_DROPPED", most)
+        kept = corpus_pipeline.exact_stage(spark, docs, "")
+        assert sorted(r["doc_id"] for r in kept.collect()) == [5, 7]
+        last = next(x for x in kept._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x)
+        assert expected in last

@@ -78,6 +78,18 @@ def test_group_rows_join_the_same_way_broadcast_or_salted(records):
     assert few.count() == 44
 
 
+def _physical(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_salted_group_rows_are_never_broadcast(records):
+    """Spark would take them for as few as before they were repeated for each sub-key."""
+    groups = records.filter("type is not null").groupBy("type").count()
+    many = sized_join.join_group_rows(records, groups, ["type"], broadcast_rows=0)
+    assert "SortMergeJoin" in _physical(many) and "Broadcast" not in _physical(many)
+
+
 def test_outliers_and_overlap(spark, records):
     usual = [(i, "hr", "phone", "d", NOON, "bpm", 60.0 + i % 3, "") for i in range(200)]
     df = spark.createDataFrame([*usual, (999, "hr", "watch", "d", NOON, "bpm", 190.0, "")], SCHEMA)
