@@ -1,9 +1,11 @@
 """The log of imports: races, restarts, segments and compaction."""
 
 import threading
+from functools import partial
 
 import pytest
 from vitalog import HealthStore, files
+from vitalog.plans import export_queries
 from vitalog.sources import landing, manifest
 
 
@@ -111,3 +113,21 @@ def test_large_imports_are_left_alone(spark, export, tmp_path):
     for _ in range(2):
         landing.import_export(spark, export, target, mode="append")
     assert landing.compact_imports(spark, target, file_bytes=100) == 0
+
+
+def test_imports_of_any_size_are_united_on_request(spark, export, tmp_path):
+    target = str(tmp_path / "t")
+    for _ in range(3):
+        landing.import_export(spark, export, target, mode="append")
+    before = landing.Tables(target).read(spark, "records").count()
+    assert landing.compact_imports(spark, target, file_bytes=10) == 0
+    assert landing.compact_imports(spark, target, file_bytes=10, below=1 << 30) == 3
+    assert len(landing.Tables(target).imports(spark)) == 1 and landing.Tables(target).read(spark, "records").count() == before
+
+
+def test_the_query_unites_imports_above_the_size_of_a_file(spark, tmp_path, monkeypatch):
+    """As they are where the tables are large."""
+    spark.sql("""SELECT id AS event_id, timestamp'2024-01-01 10:00:00' AS ts, id % 4 AS user_id, 'click' AS event_type,
+      1.5D AS value, 'p' AS props FROM range(12)""").write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(export_queries, "compact_imports", partial(landing.compact_imports, file_bytes=10))
+    assert export_queries.QUERIES["compact_imports"](spark, str(tmp_path)).groupBy("type").count().orderBy("type").collect() == [("click", 12), ("inner", 12)]
