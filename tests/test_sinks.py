@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vitalog import ExportFiles, HealthStore, schemas
 from vitalog.sinks import tables as sinks
-from vitalog.sources import normalize
+from vitalog.sources import landing, normalize
 from vitalog.sources.tables import read_parquet, read_table, route_by_schema, table_kind
 from vitalog.streaming import ingest, samples
 
@@ -185,3 +185,59 @@ def test_small_batches_run_at_once(spark, tmp_path):
         ingest.each_batch_of_files(spark, str(tmp_path / "in"), str(tmp_path / "cp"), work, max_files=1)
     number = "0" * 12
     assert sorted(seen) == [(number + (f"-{i}" if i else ""), [f"{i}.xml"], "true", False) for i in range(4)]
+
+
+def _one_record_files(folder, n):
+    folder.mkdir()
+    for i in range(n):
+        stat = f'<Workout><WorkoutStatistics type="s{i}" sum="{i}"/></Workout>' if i % 2 else ""
+        (folder / f"{i}.xml").write_text(f'<HealthData><Record type="t{i}" value="{i}" unit="u"/>{stat}</HealthData>')
+
+
+def test_small_batches_are_read_in_one_scan(spark, tmp_path, monkeypatch):
+    """Each still is an import of its own, with its own rows and numbers."""
+    _one_record_files(tmp_path / "a b", 5)
+    scans, scan = [], landing.scan_tables
+    monkeypatch.setattr(landing, "scan_tables", lambda *a, **b: scans.append(1) or scan(*a, **b))
+    target = str(tmp_path / "out")
+    assert ingest.import_new_files(spark, str(tmp_path / "a b"), target, str(tmp_path / "cp"), max_files=1) == {"records": 5, "workouts": 2, "stats": 2}
+    assert len(scans) == 1
+    tables = landing.Tables(target)
+    found = tables.imports(spark)
+    assert [e["name"] for e in found] == [f"batch-{'0' * 12}" + (f"-{i}" if i else "") for i in range(5)]
+    for i, e in enumerate(found):
+        assert e["rows"] == {"records": 1, "workouts": i % 2, "stats": i % 2}
+        assert [r.type for r in tables.read_imports(spark, "records", [e]).collect()] == [f"t{i}"]
+        assert [(r.type, r.sum) for r in tables.read_imports(spark, "stats", [e]).collect()] == [(f"s{i}", float(i))] * (i % 2)
+    assert ingest.read_workouts(spark, target).join(ingest.read_stats(spark, target), "workout_id").count() == 2
+    assert not [p for p in (tmp_path / "out").iterdir() if p.name.startswith("_together")]
+
+
+def test_a_malformed_file_stops_its_own_batch_only(spark, tmp_path):
+    _one_record_files(tmp_path / "in", 3)
+    (tmp_path / "in" / "1.xml").write_text("<HealthData><Record></HealthData>")
+    source, target, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    with pytest.raises(Exception, match="malformed XML"):
+        ingest.import_new_files(spark, source, target, checkpoint, max_files=1)
+    assert sorted(r.type for r in ingest.read_records(spark, target).collect()) == ["t0", "t2"]
+    (tmp_path / "in" / "1.xml").write_text('<HealthData><Record type="t1"/></HealthData>')
+    assert ingest.import_new_files(spark, source, target, checkpoint, max_files=1)["records"] == 3  # what counted already is reported, not added
+    assert sorted(r.type for r in ingest.read_records(spark, target).collect()) == ["t0", "t1", "t2"]
+
+
+def test_samples_of_small_batches_are_read_in_one_scan(spark, tmp_path, monkeypatch):
+    _one_record_files(tmp_path / "in", 4)
+    (tmp_path / "in" / "0.xml").write_text("<HealthData/>")  # a batch without samples
+    scans, scan = [], landing.scan_tables
+    monkeypatch.setattr(landing, "scan_tables", lambda *a, **b: scans.append(1) or scan(*a, **b))
+    source, target, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    samples.sample_new_files(spark, source, target, checkpoint, "month", scale=1, max_files=1)
+    assert len(scans) == 1
+    assert sorted((r.type, r.value, r.n_values) for r in samples.read_samples(spark, target, scale=1).collect()) == [(f"t{i}", float(i), 1) for i in (1, 2, 3)]
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == [f"batch={'0' * 12}" + (f"-{i}" if i else "") for i in range(4)]
+
+
+def test_scans_hold_a_bounded_amount_of_text(monkeypatch):
+    monkeypatch.setattr(ingest, "TOGETHER_BYTES", 10)
+    groups = {"a": ["1"], "b": ["2"], "c": ["3", "4"], "d": ["5"]}
+    assert [list(s) for s in ingest._scans(groups, {"1": 4, "2": 6, "3": 9, "4": 9, "5": 1})] == [["a", "b"], ["c"], ["d"]]
