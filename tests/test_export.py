@@ -379,3 +379,13 @@ def test_a_compressed_export_reads_the_same(spark, export, tmp_path):
     for name, df in landing.scan_tables(spark, str(tmp_path)).items():
         want = landing.scan_tables(spark, export)[name]
         assert rows(df.drop("workout_id")) == rows(want.drop("workout_id"))
+
+
+def test_unclosed_tags_are_told_before_depths_are_worked_out(spark, tmp_path, monkeypatch):
+    """A broken export of any depth is refused by sums per split; what a comment hides doesn't count."""
+    monkeypatch.setattr(markup, "elements", lambda *_: pytest.fail("depths were worked out"))
+    for name, text in (("open", "<a>" * 2000), ("closed", "<a></a></a>"), ("hidden", "<a><!-- </a> -->")):
+        (tmp_path / f"{name}.xml").write_text(text)
+        for read in (landing.scan_tables, landing.land_elements):
+            with pytest.raises(ValueError, match="not opened and closed in turn"):
+                read(spark, f"{tmp_path}/{name}.xml")
